@@ -20,9 +20,11 @@ def with_leaf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _weigh(nodes: DataFrame, level: str, weights: dict[str, int], default: int) -> DataFrame:
-    pairs = [x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(int(v)))]
-    known = F.element_at(F.create_map(*pairs), F.col(level)) if pairs else F.lit(None).cast("int")
-    return nodes.withColumn("w", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(level)) if pairs else known, F.lit(int(default))).cast("double"))
+    weight = F.lit(default)
+    if weights:
+        pairs = [x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(v))]
+        weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(level)), weight)
+    return nodes.withColumn("w", weight.cast("double"))
 
 
 def share_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
@@ -33,14 +35,15 @@ def share_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
     gets nothing. Adds ``share``; drops ``budget``.
     """
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy(F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(F.lit(float("inf"))), level)
+    ratio = F.coalesce(F.try_divide("cap", "w"), F.lit(float("inf")))
+    order = by.orderBy(ratio, level)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     df = (nodes.withColumn("cap", F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0.0)))
           .withColumn("left_b", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
           .withColumn("left_w", F.sum("w").over(by) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     level_at = F.when((F.col("w") > 0) & (F.col("left_w") > 0), F.col("left_b") / F.col("left_w"))
-    df = df.withColumn("open", F.when(level_at < F.col("cap") / F.col("w"), level_at))
-    df = df.withColumn("rate", F.min(F.when(F.col("open").isNotNull(), F.struct(F.col("cap") / F.col("w"), "open"))).over(by)["open"])
+    df = df.withColumn("open", F.when(level_at < ratio, level_at))
+    df = df.withColumn("rate", F.min(F.when(F.col("open").isNotNull(), F.struct(ratio.alias("ratio"), "open"))).over(by)["open"])
     share = F.when(F.col("rate").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.greatest("rate", F.lit(0.0))))
     return df.withColumn("share", share).drop("left_b", "left_w", "open", "rate", "budget")
 
@@ -53,11 +56,11 @@ def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: d
     level above already moved the budget elsewhere. So shortages are met among siblings before ancestors' siblings.
     """
     now = leaves.select(*LEVELS, "tokens", (F.col("tokens") * max_epochs).cast("double").alias("leaf_cap"))
-    total = now.groupBy().agg(F.floor(F.sum("tokens") * F.lit(float(fraction)) + 1e-6).cast("double").alias("budget"))
     above, path = None, []
+    root = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(float(fraction)) + 1e-6).cast("double")
     for level in LEVELS:
-        nodes = now.groupBy(*path, level).agg(F.sum("leaf_cap").alias("cap"))
-        nodes = nodes.join(F.broadcast(total)) if above is None else nodes.join(above, path)
+        nodes = now.groupBy(*path, level).agg(F.sum("leaf_cap").alias("cap"), F.sum("tokens").alias("tokens"))
+        nodes = nodes.withColumn("budget", root) if above is None else nodes.join(above, path)
         shared = share_out(_weigh(nodes, level, weights.get(level, {}), default), path, level)
         path = [*path, level]
         above = shared.select(*path, F.col("share").alias("budget"))
