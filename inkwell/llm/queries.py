@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, sharding, simhash
+from . import decontam, html, langid, media, mixing, quality, secrets, sharding, simhash
 
 #: Production parameters.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -19,6 +19,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
 
@@ -32,6 +40,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARDS).withColumn("slot", sharding.slot_of(docs["doc_id"])).select("doc_id", "slot", "shard")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,8 +59,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op5_mixing": op5_mixing, "op6_decontamination": op6_decontamination,
-            "op7_sharding": op7_sharding, "op10_quality": op10_quality, "pipeline": pipeline}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_media": op4_media, "op5_mixing": op5_mixing, "op6_decontamination": op6_decontamination,
+            "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_html": op9_html, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -109,3 +109,119 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str
     owner = first.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return marked.join(owner, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies of whole texts: five-word shingles, similarity 0.8, so two sign bits differ with this chance.
+WORDS = 5
+SIMILARITY = 0.8
+DIFFER = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
+#: Bits of the wide fingerprint, and how many may differ: the mean at SIMILARITY and a standard deviation.
+WIDE = 2048
+WIDE_RADIUS = int(WIDE * DIFFER + (WIDE * DIFFER * (1 - DIFFER)) ** 0.5)
+#: Bits of the check word carried with each block, and how many may differ: the mean and four standard deviations.
+CHECK_RADIUS = int(64 * DIFFER + 4 * (64 * DIFFER * (1 - DIFFER)) ** 0.5)
+#: Chance that a pair at exactly SIMILARITY shares a block.
+RECALL = 0.95
+#: Members of a large block are compared with this many pivots of it.
+PIVOTS = 8
+
+_H = np.array([[1.0]], np.float32)
+while len(_H) < 64:
+    _H = np.block([[_H, _H], [_H, -_H]])
+_FLIP = np.where(np.random.default_rng(11).random((64, 64)) < 0.5, -1, 1).astype(np.float32)
+
+
+def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
+    """(len(texts), WIDE // 8) bytes: SimHash bits of the set of five-word shingles.
+
+    The set is folded into 4096 signed sums by hash; the fingerprint is the signs of half of their Walsh-Hadamard
+    transform, so a shingle is hashed once however many bits there are. Equal sets have equal fingerprints; a text
+    without words has all bits 0.
+    """
+    sums = np.zeros((len(texts), 4096), np.float32)
+    for row, text in zip(sums, texts):
+        parts = [np.unique(h) for h in shingle_hashes(text, WORDS)]
+        if parts:
+            h = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            at, sign = (h & np.uint64(4095)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+            row += np.bincount(at, sign, 4096)
+    mixed = _H[:WIDE // 64] @ (sums.reshape(-1, 64, 64) * _FLIP) @ _H
+    return np.packbits(mixed.reshape(len(texts), WIDE) > 0.5, axis=1)
+
+
+def block_plan(n: int) -> list[np.ndarray]:
+    """Bit positions of each block for ``n`` fingerprints.
+
+    Blocks are two bits wider than n needs, so few unlike pairs share one, and as many as RECALL needs. They are cut
+    from a seeded permutation of the bits, and from further ones when the bits are used up.
+    """
+    width = min(40, max(10, int(np.ceil(np.log2(max(2, n)))) + 2))
+    count = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - DIFFER) ** width))))
+    rng, per = np.random.default_rng(5), WIDE // width
+    cuts = [p[i * width:(i + 1) * width] for _ in range(-(-count // per)) for p in [rng.permutation(WIDE)] for i in range(per)]
+    return cuts[:count]
+
+
+def _alike(x, y):
+    """Whether the check words of two structs are close."""
+    return F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= CHECK_RADIUS
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id): groups of documents whose five-word shingles are alike at 0.8 or more, linked transitively.
+
+    ``group_id`` is the smallest doc_id of the group. Wide SimHash fingerprints are split into blocks wide enough
+    for the number of different texts; pairs that share a block and agree on a 64-bit check word are verified by the
+    Hamming distance of the whole fingerprint. Equal shingle sets are one node from the start. A block with more
+    than PAIR_LIMIT members isn't paired: its members are compared with PIVOTS pivots of it, chosen by hash, and those
+    near none go to a further round among themselves, so work stays linear in the block and nothing is capped.
+    Null and wordless texts are copies of each other; shorter texts are one shingle. Rows with a null id are left
+    out; rows that share an id are one document. An empty table gives an empty table; other columns are ignored.
+    """
+
+    def sketch(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                bits = wide_fingerprints([t or b"" for t in part.column(1).to_pylist()])
+                longs = bits.view(">i8").astype(np.int64)
+                fp = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), fp], ["doc_id", "fp"])
+
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
+    marked = materialize(src.mapInArrow(sketch, "doc_id long, fp array<long>"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    plan = block_plan(nodes.count())
+
+    def keys(batches):
+        for b in batches:
+            longs = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            bits = np.unpackbits(longs.astype(">i8").view(np.uint8).reshape(len(longs), -1), axis=1)
+            for t, at in enumerate(plan):
+                key = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) + (t << 42)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1), pa.array(longs[:, -1])], ["key", "node", "sig"])
+
+    keyed = nodes.mapInArrow(keys, "key long, node long, sig long")
+    found, rest = None, keyed
+    while True:
+        member = F.struct("node", "sig")
+        sized = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = materialize(rest.join(sized, "key"))
+        few, many = met.where(F.col("n") <= PAIR_LIMIT), met.where(F.col("n") > PAIR_LIMIT).select("key", "node", "sig")
+        left, right = few.select("key", member.alias("x")), few.select("key", member.alias("y"))
+        pairs = left.join(right, "key").where("x.node < y.node").where(_alike(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        found = pairs if found is None else found.union(pairs)
+        pivots = many.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
+        near = F.filter("pivots", lambda p: _alike(F.struct("sig"), p) & (p["node"] != F.col("node")))
+        is_pivot = F.exists("pivots", lambda p: p["node"] == F.col("node"))
+        tried = materialize(many.join(pivots, "key").select("key", "node", "sig", near.alias("near"), is_pivot.alias("is_pivot")))
+        found = found.union(tried.select(F.col("node").alias("a"), F.explode("near.node").alias("b")))
+        rest = tried.where((F.size("near") == 0) & ~F.col("is_pivot")).select("key", "node", "sig")
+        if rest.isEmpty():
+            break
+    maybe = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = maybe.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    linked = connected_components(both.where(apart <= WIDE_RADIUS).select("a", "b"))
+    owner = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("group_id"))
+    return marked.join(owner, "fp").select("doc_id", "group_id")
