@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, media, mixing, quality, secrets, sharding, simhash
+from . import decontam, html, langid, langmodel, media, mixing, quality, secrets, sharding, simhash
 
 #: Production parameters.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_media": op4_media, "op5_mixing": op5_mixing, "op6_decontamination": op6_decontamination,
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op4_media": op4_media, "op5_mixing": op5_mixing, "op6_decontamination": op6_decontamination,
             "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_html": op9_html, "op10_quality": op10_quality, "pipeline": pipeline}
 
 

@@ -115,9 +115,10 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str
 WORDS = 5
 SIMILARITY = 0.8
 DIFFER = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
-#: Bits of the wide fingerprint, and how many may differ: the mean at SIMILARITY and a standard deviation.
+#: Bits of the wide fingerprint. Pairs that differ in at most SURE bits are alike, 2.5 standard deviations below the
+#: mean at SIMILARITY; those in up to MAYBE, as much above it, are checked on their shingles.
 WIDE = 2048
-WIDE_RADIUS = int(WIDE * DIFFER + (WIDE * DIFFER * (1 - DIFFER)) ** 0.5)
+SURE, MAYBE = (int(WIDE * DIFFER + k * (WIDE * DIFFER * (1 - DIFFER)) ** 0.5) for k in (-2.5, 2.5))
 #: Bits of the check word carried with each block, and how many may differ: the mean and four standard deviations.
 CHECK_RADIUS = int(64 * DIFFER + 4 * (64 * DIFFER * (1 - DIFFER)) ** 0.5)
 #: Chance that a pair at exactly SIMILARITY shares a block.
@@ -149,15 +150,13 @@ def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
     return np.packbits(mixed.reshape(len(texts), WIDE) > 0.5, axis=1)
 
 
-def block_plan(n: int) -> list[np.ndarray]:
-    """Bit positions of each block for ``n`` fingerprints.
+def block_plan(width: int) -> list[np.ndarray]:
+    """Bit positions of blocks of so many bits, as many blocks as RECALL needs.
 
-    Blocks are two bits wider than n needs, so few unlike pairs share one, and as many as RECALL needs. They are cut
-    from a seeded permutation of the bits, and from further ones when the bits are used up.
+    They are cut from a seeded permutation of the bits, and from further ones when the bits are used up.
     """
-    width = min(40, max(10, int(np.ceil(np.log2(max(2, n)))) + 2))
     count = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - DIFFER) ** width))))
-    rng, per = np.random.default_rng(5), WIDE // width
+    rng, per = np.random.default_rng(width), WIDE // width
     cuts = [p[i * width:(i + 1) * width] for _ in range(-(-count // per)) for p in [rng.permutation(WIDE)] for i in range(per)]
     return cuts[:count]
 
@@ -167,14 +166,81 @@ def _alike(x, y):
     return F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= CHECK_RADIUS
 
 
+def _blocks(nodes: DataFrame, width: int) -> DataFrame:
+    """(key, node, sig, n): members of blocks with more than one member, and the block's size."""
+    plan = block_plan(width)
+
+    def keys(batches):
+        for b in batches:
+            longs = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            bits = np.unpackbits(longs.astype(">i8").view(np.uint8).reshape(len(longs), -1), axis=1)
+            for t, at in enumerate(plan):
+                key = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) + (t << 42)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(longs[:, -1])], ["key", "node", "sig"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, node long, sig long")
+    return materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+
+
+def _pairs(few: DataFrame) -> DataFrame:
+    """Pairs within a block whose check words are close, the smaller node first."""
+    member = F.struct("node", "sig")
+    left, right = few.select("key", member.alias("x")), few.select("key", member.alias("y"))
+    met = left.join(right, "key").where("x.node < y.node").where(_alike(F.col("x"), F.col("y")))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) among the fingerprints of ``nodes`` (node, fp)."""
+    width = min(40, max(10, int(np.ceil(np.log2(max(2, nodes.count())))) + 2))
+    met = _blocks(nodes, width)
+    found = _pairs(met.where(F.col("n") <= PAIR_LIMIT))
+    large = materialize(met.where(F.col("n") > PAIR_LIMIT).select("node").distinct())
+    size = large.count()
+    if not size:
+        return found.distinct()
+    met = _blocks(nodes.join(large, "node"), min(40, width + int(np.ceil(np.log2(size)))))
+    found = found.union(_pairs(met.where(F.col("n") <= PAIR_LIMIT)))
+    rest = met.where(F.col("n") > PAIR_LIMIT).select("key", "node", "sig")
+    while not rest.isEmpty():
+        member = F.struct("node", "sig")
+        pivots = rest.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
+        near = F.filter("pivots", lambda p: _alike(F.struct("sig"), p) & (p["node"] != F.col("node")))
+        is_pivot = F.exists("pivots", lambda p: p["node"] == F.col("node"))
+        tried = materialize(rest.join(pivots, "key").select("key", "node", "sig", near.alias("near"), is_pivot.alias("is_pivot")))
+        found = found.union(tried.select(F.col("node").alias("a"), F.explode("near.node").alias("b")))
+        rest = tried.where((F.size("near") == 0) & ~F.col("is_pivot")).select("key", "node", "sig")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shingle_set(text: bytes | None) -> np.ndarray:
+    parts = list(shingle_hashes(text or b"", WORDS))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _similar(batches):
+    """Pairs whose five-word shingle sets are alike at SIMILARITY or more."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            p, q = _shingle_set(x), _shingle_set(y)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id): groups of documents whose five-word shingles are alike at 0.8 or more, linked transitively.
 
-    ``group_id`` is the smallest doc_id of the group. Wide SimHash fingerprints are split into blocks wide enough
-    for the number of different texts; pairs that share a block and agree on a 64-bit check word are verified by the
-    Hamming distance of the whole fingerprint. Equal shingle sets are one node from the start. A block with more
-    than PAIR_LIMIT members isn't paired: its members are compared with PIVOTS pivots of it, chosen by hash, and those
-    near none go to a further round among themselves, so work stays linear in the block and nothing is capped.
+    ``group_id`` is the smallest doc_id of the group. Wide SimHash fingerprints are split into blocks that suit the
+    number of different texts; pairs that share a block and agree on a 64-bit check word are held to the Hamming
+    distance of whole fingerprints. Sure pairs link; those between two groups that are neither sure nor far apart are
+    checked on their shingle sets. Equal sets are one node from the start. Members of blocks with more than PAIR_LIMIT
+    are blocked anew among themselves, by as many more bits as their number asks for; what is still larger is compared
+    with PIVOTS pivots of the block, and members near none with each other in further rounds. So work is linear in a
+    group's size and nothing is capped. A pair at exactly 0.8 shares a block with probability RECALL, closer ones more
+    surely.
+
     Null and wordless texts are copies of each other; shorter texts are one shingle. Rows with a null id are left
     out; rows that share an id are one document. An empty table gives an empty table; other columns are ignored.
     """
@@ -191,37 +257,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
     marked = materialize(src.mapInArrow(sketch, "doc_id long, fp array<long>"))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    plan = block_plan(nodes.count())
-
-    def keys(batches):
-        for b in batches:
-            longs = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            bits = np.unpackbits(longs.astype(">i8").view(np.uint8).reshape(len(longs), -1), axis=1)
-            for t, at in enumerate(plan):
-                key = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) + (t << 42)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1), pa.array(longs[:, -1])], ["key", "node", "sig"])
-
-    keyed = nodes.mapInArrow(keys, "key long, node long, sig long")
-    found, rest = None, keyed
-    while True:
-        member = F.struct("node", "sig")
-        sized = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = materialize(rest.join(sized, "key"))
-        few, many = met.where(F.col("n") <= PAIR_LIMIT), met.where(F.col("n") > PAIR_LIMIT).select("key", "node", "sig")
-        left, right = few.select("key", member.alias("x")), few.select("key", member.alias("y"))
-        pairs = left.join(right, "key").where("x.node < y.node").where(_alike(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        pivots = many.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
-        near = F.filter("pivots", lambda p: _alike(F.struct("sig"), p) & (p["node"] != F.col("node")))
-        is_pivot = F.exists("pivots", lambda p: p["node"] == F.col("node"))
-        tried = materialize(many.join(pivots, "key").select("key", "node", "sig", near.alias("near"), is_pivot.alias("is_pivot")))
-        found = found.union(tried.select(F.col("node").alias("a"), F.explode("near.node").alias("b")))
-        rest = tried.where((F.size("near") == 0) & ~F.col("is_pivot")).select("key", "node", "sig")
-        if rest.isEmpty():
-            break
-    maybe = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = maybe.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    both = _candidates(nodes).join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    linked = connected_components(both.where(apart <= WIDE_RADIUS).select("a", "b"))
-    owner = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("group_id"))
+    near = materialize(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= MAYBE))
+    linked = materialize(connected_components(near.where(F.col("apart") <= SURE).select("a", "b")))
+    side = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    open_ = near.where(F.col("apart") > SURE).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    open_ = open_.withColumns({c: F.coalesce("root_" + c, c) for c in ("root_a", "root_b")}).where("root_a <> root_b")
+    open_ = materialize(open_.select("a", "b", "root_a", "root_b"))
+    ends = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialize(src.join(ends, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")))
+    told = open_.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
+    checked = told.select("root_a", "root_b", "ta", "tb").mapInArrow(_similar, "a long, b long")
+    merged = materialize(connected_components(checked.distinct()))
+    first = linked.select("node", "root").union(merged.join(linked, merged["node"] == linked["node"], "left_anti").select("node", F.col("node").alias("root")))
+    final = first.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    owner = nodes.join(final, "node", "left").select("fp", F.coalesce("root", "node").alias("group_id"))
     return marked.join(owner, "fp").select("doc_id", "group_id")
