@@ -263,7 +263,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = materialize(connected_components(near.where(F.col("apart") <= SURE).select("a", "b")))
     side = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
     open_ = near.where(F.col("apart") > SURE).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    open_ = open_.withColumns({c: F.coalesce("root_" + c, c) for c in ("root_a", "root_b")}).where("root_a <> root_b")
+    open_ = open_.withColumns({"root_" + c: F.coalesce("root_" + c, c) for c in "ab"}).where("root_a <> root_b")
     open_ = materialize(open_.select("a", "b", "root_a", "root_b"))
     ends = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = materialize(src.join(ends, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")))
