@@ -92,25 +92,52 @@ def parse_tags(s: Column) -> Column:
     return F.transform(parts, lambda w: F.struct(F.regexp_extract(w, "^(.*)/([^/]*)$", 1).alias("word"), F.regexp_extract(w, "^(.*)/([^/]*)$", 2).alias("tag")))
 
 
-def compile_grammar(pattern: str) -> re.Pattern:
-    """A tag pattern as a regex over '<TAG><TAG>...'. A point matches within a tag only."""
-    out = re.sub(r"<([^>]*)>", lambda m: "(?:<" + m[1].replace(".", "[^<>]") + ">)", pattern)
-    return re.compile(out)
-
-
-def chunk_spans(tags: list[str], regex: re.Pattern) -> list[tuple[int, int]]:
-    """Leftmost, greedy, non-overlapping spans of tags."""
-    line, starts = "", {}
-    for i, t in enumerate(tags):
-        starts[len(line)] = i
-        line += f"<{t}>"
-    starts[len(line)] = len(tags)
-    return [(starts[m.start()], starts[m.end()]) for m in regex.finditer(line) if m.end() > m.start()]
+ITEM = re.compile(r"<([^<>]+)>([*+?]?)(\??)")
+
+
+def compile_grammar(pattern: str) -> list[tuple[re.Pattern, int, bool, bool]]:
+    """A tag pattern as items (tag, least, many, greedy). Patterns are sequences of <tag> with *, +, ? or lazy forms."""
+    if ITEM.sub("", pattern):
+        raise ValueError(f"not a sequence of tags: {ITEM.sub('', pattern)}")
+    return [(re.compile(m[1]), int(m[2] in ("", "+")), m[2] in ("*", "+"), not m[3]) for m in ITEM.finditer(pattern)]
+
+
+def chunk_spans(tags: list[str], items: list[tuple[re.Pattern, int, bool, bool]]) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping spans in the order of preference of a backtracking matcher.
+
+    What an item can reach from a place is kept, so time is bounded by items times tags times run length.
+    """
+    n = len(tags)
+    known: dict[tuple[re.Pattern, str], bool] = {}
+    reach = []
+    for regex, _, many, _ in items:
+        run = [0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            key = (regex, tags[i])
+            if key not in known:
+                known[key] = bool(regex.fullmatch(tags[i]))
+            run[i] = (run[i + 1] if many else 0) + 1 if known[key] else 0
+        reach.append(run)
+    ends = list(range(n + 1))  # where the rest of the pattern ends, from each place; -1 if it can't
+    for (_, least, _, greedy), run in zip(reversed(items), reversed(reach)):
+        now = [-1] * (n + 1)
+        for i in range(n + 1):
+            steps = range(run[i], least - 1, -1) if greedy else range(least, run[i] + 1)
+            now[i] = next((ends[i + k] for k in steps if ends[i + k] >= 0), -1)
+        ends = now
+    out, i = [], 0
+    while i < n:
+        if ends[i] > i:
+            out.append((i, ends[i]))
+            i = ends[i]
+        else:
+            i += 1
+    return out
 
 
 def chunk(tagged: Column, label: str = "NP", grammar: str | None = None) -> Column:
     """One-level parse: chunks of the pattern under its label, every other word under 'O', in order."""
-    regex = compile_grammar(grammar or GRAMMARS[label])
+    items = compile_grammar(grammar or GRAMMARS[label])
 
     @F.pandas_udf(CHUNKS)
     def run(rows: pd.Series) -> pd.Series:
@@ -118,7 +145,7 @@ def chunk(tagged: Column, label: str = "NP", grammar: str | None = None) -> Colu
             if ws is None:
                 return None
             out, at = [], 0
-            for a, b in chunk_spans([w["tag"] for w in ws], regex):
+            for a, b in chunk_spans([w["tag"] for w in ws], items):
                 out += [{"label": "O", "leaves": [w]} for w in ws[at:a]] + [{"label": label, "leaves": list(ws[a:b])}]
                 at = b
             return out + [{"label": "O", "leaves": [w]} for w in ws[at:]]
@@ -130,7 +157,7 @@ def chunk(tagged: Column, label: str = "NP", grammar: str | None = None) -> Colu
 
 def extract(chunks: Column, label: str, join_neighbours: bool = False) -> Column:
     """Leaves of the label's chunks. A chunk that ends in a verb pattern loses a last adjective before a noun; with
-    ``join_neighbours`` chunks next to each other become one."""
+    ``join_neighbours`` chunks next to each other become one. ``chunks`` is a column of its own, selected before."""
     verbal = label in ("VP", "SV", "relation_VP")
     step_type = "struct<at:int,last:int,out:array<array<struct<word:string,tag:string>>>>"
 

@@ -14,6 +14,11 @@ def clean_for_grams(s: Column) -> Column:
     return T.tags_to_spaces(T.line_breaks_to_spaces(T.remove_null_chars(T.remove_non_ascii(s))))
 
 
+def tagged(gram: Column, n: int) -> Column:
+    """Grams with their order."""
+    return F.transform(gram, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+
 def gram_stream(df: DataFrame, text_col: str = "text", orders=(1, 2, 3)) -> DataFrame:
     """(n, gram): every gram of each text. Unigrams have four letters or more; longer grams are of all words.
 
@@ -23,7 +28,7 @@ def gram_stream(df: DataFrame, text_col: str = "text", orders=(1, 2, 3)) -> Data
     parts = []
     for n in orders:
         gram = F.filter("bag", lambda w: F.length(w) >= K.UNIGRAM_LENGTH) if n == 1 else T.grams(F.col("bag"), n)
-        parts.append(F.transform(gram, lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))))
+        parts.append(tagged(gram, n))
     return bag.select(F.explode(F.concat(*parts)).alias("g")).select("g.n", "g.gram")
 
 

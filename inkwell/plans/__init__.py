@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import graphs, relations, searching, texts, vectors
+
+PARTS = (texts, relations, searching, vectors, graphs)
+
 
 def queries() -> dict:
-    return {}
+    """Name -> (spark, sf_dir) -> DataFrame."""
+    return {name: q[0] for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Name -> DuckDB SQL for the same rows; queries that SQL can't express have none."""
+    return {name: q[1] for part in PARTS for name, q in part.QUERIES.items() if q[1]}
