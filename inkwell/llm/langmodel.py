@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import mmap
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +16,9 @@ from .common import materialize
 from .langid import held_out
 
 #: Bytes of text that are tokenized together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Words, and bigram occurrences, that a shard holds on average.
-SHARD_WORDS, SHARD_GRAMS = 2_000_000, 4_000_000
+SHARD_WORDS, SHARD_GRAMS = 2_000_000, 2_000_000
 #: Taken from every seen word's count for unseen ones, and the weight of the unigram model in counts of the context.
 DISCOUNT, PRIOR = 0.75, 200.0
 #: Steps of a quantised count in an octave, and of a quantised probability in a power of ten.
@@ -28,12 +27,20 @@ COUNT_STEPS, PROB_STEPS = 8, 4096
 END = xxhash.xxh64_intdigest(b" ")
 
 
-def _pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in order: a count, a type letter and a length for each, then their bytes, compressed."""
+    head = bytes([len(arrays)]) + b"".join(x.dtype.char.encode() + len(x).to_bytes(5, "little") for x in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
 
 
-def _unpack(blob: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    data, out = zstandard.ZstdDecompressor().decompress(blob), []
+    at = 1 + 6 * data[0]
+    for i in range(1, at, 6):
+        kind, n = np.dtype(chr(data[i])), int.from_bytes(data[i + 1:i + 6], "little")
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * kind.itemsize
+    return out
 
 
 def _gaps(x: np.ndarray) -> np.ndarray:
@@ -191,7 +198,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         tokens = rank[np.array(stream, np.int64)]
         return pa.RecordBatch.from_arrays([
             pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([size], pa.list_(pa.int32())), pa.array([_pack(t=_least(tokens))]), pa.array([_pack(h=_gaps(h[order]))]),
+            pa.array([size], pa.list_(pa.int32())), pa.array([_pack(_least(tokens))]), pa.array([_pack(_gaps(h[order]))]),
             pa.array([len(h)]), pa.array([len(tokens)])], ["batch", "ids", "held", "size", "tokens", "words", "n_words", "n_tokens"])
 
     def run(batches):
@@ -226,22 +233,22 @@ def count_words(batches: DataFrame, shards: int) -> DataFrame:
     def ask(rows):
         for b in rows:
             for batch, held, size, tokens, words in zip(*(b.column(i).to_pylist() for i in range(5))):
-                h, t = np.cumsum(_unpack(words)["h"], dtype=np.uint64), _unpack(tokens)["t"]
+                h, t = np.cumsum(_unpack(words)[0], dtype=np.uint64), _unpack(tokens)[0]
                 n = np.bincount(t[np.repeat(~np.array(held, bool), size)], minlength=len(h))
                 at = np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange(shards + 1))
-                parts = [(s, _pack(h=_gaps(h[i:j]), n=_least(n[i:j]))) for s, (i, j) in enumerate(zip(at, at[1:])) if i < j]
+                parts = [(s, _pack(_gaps(h[i:j]), _least(n[i:j]))) for s, (i, j) in enumerate(zip(at, at[1:])) if i < j]
                 yield _rows([[s for s, _ in parts], [batch] * len(parts), [x for _, x in parts]], ["shard", "batch", "blob"], (pa.int32(), pa.int64(), pa.binary()))
 
     def answer(table):
         shard = table.column("shard")[0].as_py()
         asked = [_unpack(x) for x in table.column("blob").to_pylist()]
-        hashes = [np.cumsum(x["h"], dtype=np.uint64) for x in asked]
+        hashes = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
         own, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(place, np.concatenate([x["n"] for x in asked]).astype(np.float64), len(own)).astype(np.int64)
-        out, at = [_pack(stats=(int(n.sum()), int((n > 0).sum()), len(own), float(mass(count_code(n)).sum())))], 0
+        n = np.bincount(place, np.concatenate([x[1] for x in asked]).astype(np.float64), len(own)).astype(np.int64)
+        out, at = [_pack(np.array([n.sum(), (n > 0).sum(), len(own)], np.int64), mass(count_code(n)).sum(keepdims=True))], 0
         for h in hashes:
             p = place[at:at + len(h)]
-            out.append(_pack(n=_least(n[p]), p=_least(_gaps(p))))
+            out.append(_pack(_least(n[p]), _least(_gaps(p))))
             at += len(h)
         return pa.table({"shard": pa.array([shard] * len(out), pa.int32()), "batch": pa.array([None, *table.column("batch").to_pylist()], pa.int64()), "blob": pa.array(out, pa.binary())})
 
@@ -283,7 +290,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = materialize(count_words(made, word_shards))
     sums = np.zeros((word_shards, 4))
     for shard, blob in counted.where("batch is null").select("shard", "blob").toLocalIterator():
-        sums[shard] = _unpack(blob)["stats"]
+        sums[shard] = np.concatenate(_unpack(blob))
     n_all, v_all = int(sums[:, 0].sum()), int(sums[:, 1].sum())
     first = np.concatenate([[0], np.cumsum(sums[:, 2])]).astype(np.int64)
     unseen = DISCOUNT * v_all / max(1, n_all)
@@ -297,20 +304,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def grams(left, right):
         out = []
         row = left.to_pylist()[0]
-        h = np.cumsum(_unpack(row["words"])["h"], dtype=np.uint64)
+        h = np.cumsum(_unpack(row["words"])[0], dtype=np.uint64)
         n, ident = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         at = 0
         for shard, blob in sorted(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist())):
-            x = _unpack(blob)
-            k = len(x["n"])
-            n[at:at + k], ident[at:at + k] = x["n"], np.cumsum(x["p"], dtype=np.int64) + first[shard]
+            count, place = _unpack(blob)
+            k = len(count)
+            n[at:at + k], ident[at:at + k] = count, np.cumsum(place, dtype=np.int64) + first[shard]
             at += k
         size, held = np.array(row["size"], np.int64), np.array(row["held"], bool)
-        t = _unpack(row["tokens"])["t"].astype(np.int64)
+        t = _unpack(row["tokens"])[0].astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
         known = np.bincount(doc, n[t] > 0, len(size)).astype(np.int64)
         base = np.bincount(doc, np.log10(n[t] + 0.5), len(size)) - size * norm
-        out.append((int(row["batch"] % gram_shards), row["batch"], 0, _pack(ids=row["ids"], held=held, size=size, known=known, base=base)))
+        out.append((int(row["batch"] % gram_shards), row["batch"], 0, _pack(np.array([x or 0 for x in row["ids"]], np.int64), np.array([x is None for x in row["ids"]]), held, size, known, base)))
         end = int(np.searchsorted(h, np.uint64(END)))
         before = np.empty_like(t)
         before[0], before[1:] = end, t[:-1]
@@ -335,8 +342,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             step[start] = w[start]
             take = np.repeat(begins[mine] - np.append(0, np.cumsum(times[mine])[:-1]), times[mine]) + np.arange(times[mine].sum())
             out.append((s, row["batch"], 1, _pack(
-                ctx=_least(_gaps(ident[own])), n=_least(n[own]), succ=_least(np.diff(np.append(start, len(mine)))), word=_least(step),
-                code=_least(code[word[mine]]), train=_least(train[mine]), times=_least(times[mine]), docs=_least(where[take]))))
+                _least(_gaps(ident[own])), _least(n[own]), _least(np.diff(np.append(start, len(mine)))), _least(step),
+                _least(code[word[mine]]), _least(train[mine]), _least(times[mine]), _least(where[take]))))
         cols = list(zip(*out))
         return pa.table({"shard": pa.array(cols[0], pa.int32()), "batch": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "blob": pa.array(cols[3], pa.binary())})
 
@@ -347,30 +354,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         asked = [(b, _unpack(x)) for k, (b, x) in zip(kind, rows) if k]
         if asked:
             parts = []
-            for _, x in asked:
-                start = np.append(0, np.cumsum(x["succ"], dtype=np.int64))
-                step = np.cumsum(x["word"], dtype=np.int64)
+            for _, (own, n, succ, step, code, train, *_) in asked:
+                start = np.append(0, np.cumsum(succ, dtype=np.int64))
+                step = np.cumsum(step, dtype=np.int64)
                 back = np.append(0, step)[start[:-1]]
-                parts.append((np.repeat(np.cumsum(x["ctx"], dtype=np.int64), x["succ"]), step - np.repeat(back, x["succ"]), np.repeat(x["n"], x["succ"])))
-            ctx, word, total = (np.concatenate(c) for c in zip(*parts))
-            code, train = (np.concatenate([x[c] for _, x in asked]) for c in ("code", "train"))
-            seen = np.flatnonzero(train > 0)
-            seen = seen[np.lexsort((word[seen], ctx[seen]))]
+                parts.append((np.repeat(np.cumsum(own, dtype=np.int64), succ), step - np.repeat(back, succ), np.repeat(n, succ), code, train))
+            ctx, word, total, code, train = (np.concatenate(c) for c in zip(*parts))
+            del parts
+            order = np.lexsort((word, ctx))
+            ctx, word = ctx[order], word[order]
+            seen = np.flatnonzero(train[order] > 0)
             c, w = ctx[seen], word[seen]
             begins = np.flatnonzero(np.append(True, (np.diff(c) != 0) | (np.diff(w) != 0))) if len(seen) else seen
-            count = np.add.reduceat(train[seen].astype(np.int64), begins) if len(seen) else seen
-            one = seen[begins]
+            count = np.add.reduceat(train[order[seen]].astype(np.int64), begins) if len(seen) else seen
+            one = order[seen[begins]]
             p = (count + PRIOR * prior(code[one])) / (total[one] + PRIOR)
-            trie = Trie(ctx[one], word[one], np.minimum(65535, np.rint(-PROB_STEPS * np.log10(p))).astype(np.uint16))
+            trie = Trie(c[begins], w[begins], np.minimum(65535, np.rint(-PROB_STEPS * np.log10(p))).astype(np.uint16))
+            got, found = trie.find(ctx, word)
+            log = np.empty(len(ctx))
+            with np.errstate(divide="ignore"):
+                log[order] = np.where(found, got / -PROB_STEPS, np.log10(PRIOR * prior(code[order]) / (total[order] + PRIOR)) if n_all else 0.0)
             at = 0
-            for b, x in asked:
-                k = len(x["code"])
-                got, found = trie.find(ctx[at:at + k], word[at:at + k])
-                p = PRIOR * prior(x["code"]) / (total[at:at + k] + PRIOR)
-                with np.errstate(divide="ignore"):
-                    log = np.where(found, got / -PROB_STEPS, np.log10(p) if n_all else 0.0)
-                docs_ = x["docs"].astype(np.int64)
-                out.append((b, 1, _pack(part=np.bincount(docs_, np.repeat(log, x["times"])))))
+            for b, (*_, own_code, _, times, where) in asked:
+                k = len(own_code)
+                out.append((b, 1, _pack(np.bincount(where.astype(np.int64), np.repeat(log[at:at + k], times)))))
                 at += k
         return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
 
@@ -380,12 +387,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def gather(table):
         kind = table.column("kind").to_pylist()
         blobs = [_unpack(x) for x in table.column("blob").to_pylist()]
-        base = blobs[kind.index(0)]
-        score = np.zeros(len(base["size"]))
-        for x in (x for k, x in zip(kind, blobs) if k):
-            score[:len(x["part"])] += x["part"]
-        cols = (base["ids"], base["held"], base["size"], base["known"], np.full(len(score), n_all), base["base"], score)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
+        ids, null, held, size, known, base = blobs[kind.index(0)]
+        score = np.zeros(len(size))
+        for (part,) in (x for k, x in zip(kind, blobs) if k):
+            score[:len(part)] += part
+        ids = pa.array(ids, mask=null)
+        cols = (ids, held, size, known, np.full(len(score), n_all), base, score)
+        return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
     left = made.select("batch", "ids", "held", "size", "tokens", "words").groupBy("batch")
     asked = left.cogroup(counted.where("batch is not null").groupBy("batch")).applyInArrow(grams, "shard int, batch long, kind int, blob binary")
