@@ -68,8 +68,8 @@ def sentence_groups(df: DataFrame, n: int, text_col: str = "text", keep=("doc_id
 
     Sentences of a group are joined by '. ' with white space squeezed; empty groups go but keep their number.
     """
-    groups = T.group_of(section_sentences(F.col(text_col)), n)
-    rows = df.select(*keep, F.posexplode(groups).alias("sent_id", "g")).withColumn("content", T.squeeze(F.array_join("g", ". ")))
+    split = df.select(*keep, section_sentences(F.col(text_col)).alias("__s"))
+    rows = split.select(*keep, F.posexplode(T.group_of(F.col("__s"), n)).alias("sent_id", "g")).withColumn("content", T.squeeze(F.array_join("g", ". ")))
     rows = rows.where("content <> ''")
     if final_period:
         rows = rows.withColumn("content", F.when(F.endswith("content", F.lit(".")), F.col("content")).otherwise(F.concat("content", F.lit("."))))
