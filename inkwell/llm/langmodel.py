@@ -16,7 +16,7 @@ from .common import materialize
 from .langid import held_out
 
 #: Bytes of text that are tokenized together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 #: Words, and bigram occurrences, that a shard holds on average.
 SHARD_WORDS, SHARD_GRAMS = 2_000_000, 2_000_000
 #: Taken from every seen word's count for unseen ones, and the weight of the unigram model in counts of the context.
@@ -30,7 +30,7 @@ END = xxhash.xxh64_intdigest(b" ")
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays in order: a count, a type letter and a length for each, then their bytes, compressed."""
     head = bytes([len(arrays)]) + b"".join(x.dtype.char.encode() + len(x).to_bytes(5, "little") for x in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -199,7 +199,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([
             pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
             pa.array([size], pa.list_(pa.int32())), pa.array([_pack(_least(tokens))]), pa.array([_pack(_gaps(h[order]))]),
-            pa.array([len(h)]), pa.array([len(tokens)])], ["batch", "ids", "held", "size", "tokens", "words", "n_words", "n_tokens"])
+            pa.array([len(h)]), pa.array([len(tokens)]), pa.array([int(rank[-1])])], ["batch", "ids", "held", "size", "tokens", "words", "n_words", "n_tokens", "end"])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -215,7 +215,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield batch(ids, held, texts, number)
 
     src = docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col), 5), F.encode(text_col, "UTF-8"))
-    return src.mapInArrow(run, "batch long, ids array<long>, held array<boolean>, size array<int>, tokens binary, words binary, n_words long, n_tokens long")
+    return src.mapInArrow(run, "batch long, ids array<long>, held array<boolean>, size array<int>, tokens binary, words binary, n_words long, n_tokens long, end long")
 
 
 def _rows(cols, names, kinds):
@@ -304,8 +304,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def grams(left, right):
         out = []
         row = left.to_pylist()[0]
-        h = np.cumsum(_unpack(row["words"])[0], dtype=np.uint64)
-        n, ident = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        width, end = row["n_words"], row["end"]
+        n, ident = np.zeros(width, np.int64), np.zeros(width, np.int64)
         at = 0
         for shard, blob in sorted(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist())):
             count, place = _unpack(blob)
@@ -318,18 +318,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         known = np.bincount(doc, n[t] > 0, len(size)).astype(np.int64)
         base = np.bincount(doc, np.log10(n[t] + 0.5), len(size)) - size * norm
         out.append((int(row["batch"] % gram_shards), row["batch"], 0, _pack(np.array([x or 0 for x in row["ids"]], np.int64), np.array([x is None for x in row["ids"]]), held, size, known, base)))
-        end = int(np.searchsorted(h, np.uint64(END)))
         before = np.empty_like(t)
         before[0], before[1:] = end, t[:-1]
-        pair = before * len(h) + t
+        pair = before * width + t
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
         begins = np.flatnonzero(np.diff(pair, prepend=-1))
         where = doc[order]
         train = np.add.reduceat((~held)[where].astype(np.int64), begins)
         times = np.diff(np.append(begins, len(pair)))
-        ctx, word = pair[begins] // len(h), pair[begins] % len(h)
-        spread = h[ctx] ^ np.where(n[ctx] > heavy, h[word] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        ctx, word = pair[begins] // width, pair[begins] % width
+        of = ident.astype(np.uint64)
+        spread = of[ctx] ^ np.where(n[ctx] > heavy, of[word] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         shard = ((spread * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % gram_shards
         code = count_code(n)
         for s in range(gram_shards):
@@ -395,7 +395,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         cols = (ids, held, size, known, np.full(len(score), n_all), base, score)
         return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
-    left = made.select("batch", "ids", "held", "size", "tokens", "words").groupBy("batch")
+    left = made.select("batch", "ids", "held", "size", "tokens", "n_words", "end").groupBy("batch")
     asked = left.cogroup(counted.where("batch is not null").groupBy("batch")).applyInArrow(grams, "shard int, batch long, kind int, blob binary")
     found = asked.groupBy("shard").applyInArrow(look_up, "batch long, kind int, blob binary")
     return found.groupBy("batch").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
