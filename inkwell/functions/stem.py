@@ -181,7 +181,6 @@ def separate(costs: dict[str, float], longest: int, s: Column) -> Column:
     Hyphens split first; marks at a word's end stay with it. The vocabulary is a bounded table that the caller passes.
     """
 
-    @lru_cache(maxsize=1 << 14)
     def split(word: str) -> str:
         best, back = [0.0], [0]
         for i in range(1, len(word) + 1):
@@ -193,18 +192,21 @@ def separate(costs: dict[str, float], longest: int, s: Column) -> Column:
             i -= back[i]
         return " ".join(reversed(out)) if best[-1] < 1e3 else word
 
-    def one(text):
+    def one(text, known):
         if text is None:
             return None
         out = []
         for token in text.split():
-            m = re.match(r"(.*?)(\W*)$", token)
-            out.append("-".join(split(p) for p in m[1].split("-")) + m[2])
+            if token not in known:
+                m = re.match(r"(.*?)(\W*)$", token)
+                known[token] = "-".join(split(p) for p in m[1].split("-")) + m[2]
+            out.append(known[token])
         return " ".join(out)
 
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(one)
+        known: dict[str, str] = {}
+        return rows.map(lambda t: one(t, known))
 
     return run(s)
 

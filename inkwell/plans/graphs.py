@@ -21,7 +21,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return bought.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
 
 
-_EDGES = "edges AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), both AS (SELECT DISTINCT src, dst FROM edges UNION SELECT dst, src FROM edges)"
+_EDGES = "edges AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), links AS (SELECT DISTINCT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
 @register(QUERIES, f"WITH {_EDGES} SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1")
@@ -29,17 +29,17 @@ def in_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.in_degree(_edges(spark, d))
 
 
-@register(QUERIES, f"WITH {_EDGES} SELECT DISTINCT dst AS id FROM both WHERE src = 'c1'")
+@register(QUERIES, f"WITH {_EDGES} SELECT DISTINCT dst AS id FROM links WHERE src = 'c1'")
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(_edges(spark, d), spark.createDataFrame([("c1",)], "id string"))
 
 
-@register(QUERIES, f"WITH {_EDGES}, a AS (SELECT DISTINCT dst AS id FROM both WHERE src = 'c1') SELECT DISTINCT dst AS id FROM both JOIN a ON src = id")
+@register(QUERIES, f"WITH {_EDGES}, a AS (SELECT DISTINCT dst AS id FROM links WHERE src = 'c1') SELECT DISTINCT dst AS id FROM links JOIN a ON src = id")
 def graph_expand_k(spark: SparkSession, d: str) -> DataFrame:
     return graph.expand(_edges(spark, d), spark.createDataFrame([("c1",)], "id string"), 2)
 
 
-@register(QUERIES, f"WITH RECURSIVE {_EDGES}, reach AS (SELECT 'c1' AS id UNION SELECT dst FROM reach JOIN both ON src = id) SELECT id FROM reach")
+@register(QUERIES, f"WITH RECURSIVE {_EDGES}, reach AS (SELECT 'c1' AS id UNION SELECT dst FROM reach JOIN links ON src = id) SELECT id FROM reach")
 def graph_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return graph.expand_to(_edges(spark, d), spark.createDataFrame([("c1",)], "id string"))
 
