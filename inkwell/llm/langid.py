@@ -72,6 +72,8 @@ class Model:
         its own distribution, so that bits that some language's texts can't decide count little.
         """
         code = codewords(len(langs))
+        if not langs:
+            return cls([], code, np.zeros((DIM, 1), np.float32), np.ones(1))
         p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * DIM)
         side = lambda s: np.stack([p[code[:, b] == s].mean(0) if (code[:, b] == s).any() else np.full(DIM, 1 / DIM) for b in range(code.shape[1])], 1)
         w = np.log(side(1)) - np.log(side(-1))

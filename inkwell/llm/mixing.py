@@ -43,7 +43,7 @@ def share_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
           .withColumn("left_w", F.sum("w").over(by) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     level_at = F.when((F.col("w") > 0) & (F.col("left_w") > 0), F.col("left_b") / F.col("left_w"))
     df = df.withColumn("open", F.when(level_at < ratio, level_at))
-    df = df.withColumn("rate", F.min(F.when(F.col("open").isNotNull(), F.struct(ratio.alias("ratio"), "open"))).over(by)["open"])
+    df = df.withColumn("rate", F.min(F.when(F.col("open").isNotNull(), F.struct(ratio.alias("ratio"), level, "open"))).over(by)["open"])
     share = F.when(F.col("rate").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.greatest("rate", F.lit(0.0))))
     return df.withColumn("share", share).drop("left_b", "left_w", "open", "rate", "budget")
 

@@ -84,7 +84,7 @@ def mixing_sql(fraction: float = 1.0, max_epochs: int = 3, seed: int = 7) -> str
     def shared(level: str, path: str, source: str) -> str:
         by = f"PARTITION BY {path}" if path else ""
         return f"""(SELECT *, CASE WHEN rate IS NULL THEN cap ELSE least(cap, w * greatest(rate, 0.0)) END AS share FROM (
-            SELECT *, min_by(lev, ratio) FILTER (WHERE lev < ratio) OVER ({by}) AS rate FROM (
+            SELECT *, (min({{'r': ratio, 'l': {level}, 'v': lev}}) FILTER (WHERE lev < ratio) OVER ({by})).v AS rate FROM (
             SELECT *, cap / w AS ratio, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
               / (sum(w) OVER ({by}) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS lev
             FROM (SELECT *, {case(level)}::DOUBLE AS w FROM {source}) WINDOW o AS ({by} ORDER BY cap / ({case(level)})::DOUBLE, {level}))))"""
