@@ -13,10 +13,10 @@ NAME = "element_at(split(_metadata.file_path, '/'), -1)"
 
 def files(spark: SparkSession, folder: str, suffix: str = "*", recursive: bool = False) -> DataFrame:
     """(path, name, text): whole text files; an unreadable one is left out, an empty one is ''."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", suffix).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("pathGlobFilter", suffix).option("ignoreCorruptFiles", True)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.expr(NAME).alias("name"), F.coalesce("value", F.lit("")).alias("text"))
+    return reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.expr(NAME).alias("name"), F.coalesce("value", F.lit("")).alias("text"))
 
 
 def listing(spark: SparkSession, folder: str, suffix: str = "*", recursive: bool = False, least: int = 0) -> DataFrame:
