@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 LEVELS = ("domain", "lang", "source")
 DOMAINS = 4
 
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 1
     and follow their place in the order. Null lang or source counts as ''. Repeated rows are separate documents with
     equal keys: they are used together or not at all. An empty table gives an empty table.
     """
-    rows = with_leaf(docs, id_col, text_col)
+    rows = materialize(with_leaf(docs, id_col, text_col))  # texts are read and counted once
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, fraction, max_epochs, weights).join(leaves.withColumnRenamed("tokens", "leaf_tokens"), list(LEVELS))
     full = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(F.lit(0)).cast("long")
