@@ -43,12 +43,21 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes say that it isn't content."""
+#: A class that begins so tells of a page's layout, not of what an element is.
+LAYOUT = frozenset("has is no with without".split())
+
+
+def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's attributes say that it isn't content. For a holder a class must be one such word alone, or
+    begin with comment, so that its other properties don't count against it."""
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            if value and not MARKS.isdisjoint(w.lower() for w in WORD.findall(value)):
-                return True
+            for part in (value or "").split():
+                words = [w.lower() for w in WORD.findall(part)]
+                if tag in HOLDERS:
+                    words = words if len(words) == 1 or words[:1] == ["comment"] else []
+                if words and words[0] not in LAYOUT and not MARKS.isdisjoint(words):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
@@ -99,7 +108,7 @@ class Lines(HTMLParser):
                 self._leave(i)
         dropped = bool(self.open) and self.open[-1][2]
         inside = any(self.kind[e] in HOLDERS for _, e, _ in self.open) if tag in ("header", "h1") else False
-        out = dropped or tag in DROPPED or (tag == "header" and not inside) or (tag not in ("html", "body") and bool(attrs) and marked(attrs))
+        out = dropped or tag in DROPPED or (tag == "header" and not inside) or (tag not in ("html", "body") and bool(attrs) and marked(tag, attrs))
         if tag in BLOCKS or out != dropped:
             self.flush()
         self.tags += 1

@@ -65,6 +65,7 @@ LONG = "A long paragraph with many words that belongs to the article and goes on
     (f"<article><p>{LONG}</p><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", f"{LONG}\n\none\n\ntwo\n\na b\n\nc"),
     (f"<article><p>line<br>break</p><p>in<b>li</b>ne</p><p>{LONG}</p><style>p{{}}</style></article>", f"line break\n\ninline\n\n{LONG}"),
     (f"<header>Site</header><article><header><h1>T</h1></header><p>{LONG}</p><p hidden>no</p><p style='display: none'>no</p></article>", f"T\n\n{LONG}"),
+    (f"<div class='content has-sidebar'><article class='post comments-open'><p>{LONG}</p></article><article class='comment'><p>{LONG} Me too.</p></article></div>", LONG),
     (f"<!-- c --><body><p>{LONG}</b></i></p></div><p>{LONG}", f"{LONG}\n\n{LONG}"),
 ])
 def test_page_shapes(page, want):
