@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators: space and the ASCII control white space.
 SPACE = r"\x20\x09-\x0D"
+#: Distinct edges at most whose components are found in one task.
+SMALL_GRAPH = 100_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -44,27 +48,71 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(run):
+    """A function over record batches that hands back memory at the end of its partition.
+
+    Python workers are kept for later stages; what their allocators hold would count against the executor all along.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
+def slices(batches, rows: int = 512):
+    """Record batches in parts of so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def _union_find(batches):
+    """Components of the edges (u, v) of one partition, which holds all of them."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            a, c = find(a), find(c)
+            root[max(a, c)] = min(a, c)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 
+    At most SMALL_GRAPH distinct edges, a counted bound of a few megabytes, are joined in one task instead, with the
+    same result.
+
     ``edges`` has two long columns ``a`` and ``b``. Returns (node, root): each node of an edge with the smallest
     node reachable. Every round is two pre-aggregated minima and two joins; no neighbour list is ever gathered.
     An empty edge table gives an empty result.
     """
-    lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    now = materialize(edges.select(hi.alias("a"), lo.alias("b")).where("a <> b").distinct())
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if now.count() <= SMALL_GRAPH:
+        return now.coalesce(1).mapInArrow(tidy(_union_find), "node long, root long")
     mark = None
     for _ in range(rounds):
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(
-            F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
-            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = materialize(small.select("e.a", "e.b").where("a <> b").distinct())
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(
+            F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        new = materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+        seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = new
         if seen == mark:
@@ -72,5 +120,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

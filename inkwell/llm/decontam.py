@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, tidy
+
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Hamming radius of the window search. At similarity 0.8 about 10 of 64 bits differ, give or take 3.
@@ -173,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches):
             items = Items(shared.value)
-            for b in batches:
+            for b in slices(batches):
                 made = []
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if text:
@@ -182,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
-        return src.mapInArrow(run, schema)
+        return src.mapInArrow(tidy(run), schema)
 
     for row in asked.orderBy("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, tidy
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of doc_id.
 TRAIN_ROWS = 40_000
@@ -43,13 +43,13 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [document_features(t or b"") for t in b.column(3).to_pylist()]
             x = pa.array(rows, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), x], ["doc_id", "host", "path", "x"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), F.encode(text_col, "UTF-8").alias("t"))
-    return src.mapInArrow(run, "doc_id long, host string, path string, x array<double>")
+    return src.mapInArrow(tidy(run), "doc_id long, host string, path string, x array<double>")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:

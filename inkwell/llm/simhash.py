@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, slices, tidy
 
 #: A block with more distinct fingerprints than this goes by shared midpoints instead of pairs.
 PAIR_LIMIT = 48
@@ -55,12 +55,12 @@ def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
     """(doc_id, fp): the SimHash of every whole text as a signed long. Null and empty texts have fingerprint 0."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((fingerprint(t, n) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def near_links(fps: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
@@ -123,6 +123,9 @@ SURE, MAYBE = (int(WIDE * DIFFER + k * (WIDE * DIFFER * (1 - DIFFER)) ** 0.5) fo
 CHECK_RADIUS = int(64 * DIFFER + 4 * (64 * DIFFER * (1 - DIFFER)) ** 0.5)
 #: Chance that a pair at exactly SIMILARITY shares a block.
 RECALL = 0.95
+#: Shares of the blocks that are taken in each round, over all texts and over members of large blocks. What a round
+#: joins isn't compared again, so a large group is joined by few blocks before most of them are looked at.
+ROUNDS = ((0, 0.04, 0.2, 1), (0, 1))
 #: Members of a large block are compared with this many pivots of it.
 PIVOTS = 8
 
@@ -166,51 +169,72 @@ def _alike(x, y):
     return F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= CHECK_RADIUS
 
 
-def _blocks(nodes: DataFrame, width: int) -> DataFrame:
-    """(key, node, sig, n): members of blocks with more than one member, and the block's size."""
-    plan = block_plan(width)
+def _blocks(nodes: DataFrame, plan: list[np.ndarray]) -> DataFrame:
+    """(key, node, root, sig, n): members of blocks with more than one member, and the block's size."""
 
     def keys(batches):
-        for b in batches:
-            longs = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        for b in slices(batches, 2048):
+            longs = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             bits = np.unpackbits(longs.astype(">i8").view(np.uint8).reshape(len(longs), -1), axis=1)
             for t, at in enumerate(plan):
                 key = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) + (t << 42)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(longs[:, -1])], ["key", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), b.column(1), pa.array(longs[:, -1])], ["key", "node", "root", "sig"])
 
-    keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, node long, sig long")
+    keyed = nodes.select("node", "root", "fp").mapInArrow(tidy(keys), "key long, node long, root long, sig long")
     return materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
-def _pairs(few: DataFrame) -> DataFrame:
-    """Pairs within a block whose check words are close, the smaller node first."""
-    member = F.struct("node", "sig")
-    left, right = few.select("key", member.alias("x")), few.select("key", member.alias("y"))
-    met = left.join(right, "key").where("x.node < y.node").where(_alike(F.col("x"), F.col("y")))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+MEMBER = ("node", "root", "sig")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) among the fingerprints of ``nodes`` (node, fp)."""
-    width = min(40, max(10, int(np.ceil(np.log2(max(2, nodes.count())))) + 2))
-    met = _blocks(nodes, width)
-    found = _pairs(met.where(F.col("n") <= PAIR_LIMIT))
-    large = materialize(met.where(F.col("n") > PAIR_LIMIT).select("node").distinct())
-    size = large.count()
-    if not size:
-        return found.distinct()
-    met = _blocks(nodes.join(large, "node"), min(40, width + int(np.ceil(np.log2(size)))))
-    found = found.union(_pairs(met.where(F.col("n") <= PAIR_LIMIT)))
-    rest = met.where(F.col("n") > PAIR_LIMIT).select("key", "node", "sig")
-    while not rest.isEmpty():
-        member = F.struct("node", "sig")
-        pivots = rest.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
-        near = F.filter("pivots", lambda p: _alike(F.struct("sig"), p) & (p["node"] != F.col("node")))
-        is_pivot = F.exists("pivots", lambda p: p["node"] == F.col("node"))
-        tried = materialize(rest.join(pivots, "key").select("key", "node", "sig", near.alias("near"), is_pivot.alias("is_pivot")))
-        found = found.union(tried.select(F.col("node").alias("a"), F.explode("near.node").alias("b")))
-        rest = tried.where((F.size("near") == 0) & ~F.col("is_pivot")).select("key", "node", "sig")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) in blocks of at most PAIR_LIMIT members that are of different groups and whose check words are close."""
+    few = met.where(F.col("n") <= PAIR_LIMIT).select("key", F.struct(*MEMBER).alias("x"))
+    x, y = F.col("x"), F.col("y")
+    close = (x["node"] < y["node"]) & (x["root"] != y["root"]) & _alike(x, y)
+    left, right = few.alias("l"), few.select(F.col("key").alias("k"), F.col("x").alias("y"))
+    return left.join(right, (F.col("key") == F.col("k")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of larger blocks with the block's pivots of other groups, check words close."""
+    many = met.where(F.col("n") > PAIR_LIMIT).select("key", *MEMBER)
+    pivots = many.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(F.struct(*MEMBER), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
+    near = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & _alike(F.struct("sig"), p))
+    met = many.join(pivots, "key").select("node", "root", F.explode(near).alias("p"))
+    return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("root").alias("ra"), F.col("p.root").alias("rb"))
+
+
+def _tops(edges: DataFrame) -> DataFrame:
+    """(root, top): what the roots joined by edges (a, b) become."""
+    return materialize(connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")))
+
+
+def _link(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Groups (node, root) after the candidate pairs: sure ones link; those neither sure nor far apart that are still
+    between two groups are checked on their shingle sets. ``pairs`` has the roots of both ends."""
+    flip = F.col("a") > F.col("b")
+    pairs = pairs.select(*[F.when(flip, y).otherwise(F.col(x)).alias(x) for x, y in (("a", F.col("b")), ("b", F.col("a")), ("ra", F.col("rb")), ("rb", F.col("ra")))]).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias("f" + c))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", apart.alias("apart"))
+    near = materialize(near.where(F.col("apart") <= MAYBE))
+
+    def joined(tops, groups):
+        return materialize(groups.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+    tops = _tops(near.where(F.col("apart") <= SURE).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    groups = joined(tops, groups)
+    doubt = near.where(F.col("apart") > SURE)
+    for c in ("ra", "rb"):
+        doubt = doubt.join(tops.select(F.col("root").alias(c), F.col("top").alias("t" + c)), c, "left").withColumn(c, F.coalesce("t" + c, c))
+    doubt = materialize(doubt.where("ra <> rb").select("a", "b", "ra", "rb"))
+    if doubt.isEmpty():
+        return groups
+    ends = doubt.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    told = materialize(texts.join(ends, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")))
+    both = doubt.join(told.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
+    return joined(_tops(both.select("ra", "rb", "ta", "tb").mapInArrow(tidy(_similar), "a long, b long")), groups)
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
@@ -220,7 +244,7 @@ def _shingle_set(text: bytes | None) -> np.ndarray:
 
 def _similar(batches):
     """Pairs whose five-word shingle sets are alike at SIMILARITY or more."""
-    for b in batches:
+    for b in slices(batches, 128):
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             p, q = _shingle_set(x), _shingle_set(y)
@@ -233,12 +257,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, group_id): groups of documents whose five-word shingles are alike at 0.8 or more, linked transitively.
 
     ``group_id`` is the smallest doc_id of the group. Wide SimHash fingerprints are split into blocks that suit the
-    number of different texts; pairs that share a block and agree on a 64-bit check word are held to the Hamming
-    distance of whole fingerprints. Sure pairs link; those between two groups that are neither sure nor far apart are
-    checked on their shingle sets. Equal sets are one node from the start. Members of blocks with more than PAIR_LIMIT
-    are blocked anew among themselves, by as many more bits as their number asks for; what is still larger is compared
-    with PIVOTS pivots of the block, and members near none with each other in further rounds. So work is linear in a
-    group's size and nothing is capped. A pair at exactly 0.8 shares a block with probability RECALL, closer ones more
+    number of different texts and taken in a few rounds; pairs of different groups that share a block and agree on a
+    64-bit check word are held to the Hamming distance of whole fingerprints, and to their shingle sets where that
+    leaves doubt. Equal sets are one node from the start. In a block with more than PAIR_LIMIT members each is compared
+    with PIVOTS pivots only; then the members of such blocks are blocked anew among themselves, by as many more bits as
+    their number asks for. Nothing is capped, and what one round joins is no pair in the next. A pair at exactly 0.8 shares a block with probability RECALL, closer ones more
     surely.
 
     Null and wordless texts are copies of each other; shorter texts are one shingle. Rows with a null id are left
@@ -246,31 +269,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
 
     def sketch(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                bits = wide_fingerprints([t or b"" for t in part.column(1).to_pylist()])
-                longs = bits.view(">i8").astype(np.int64)
-                fp = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), fp], ["doc_id", "fp"])
+        for b in slices(batches, 256):
+            bits = wide_fingerprints([t or b"" for t in b.column(1).to_pylist()])
+            longs = bits.view(">i8").astype(np.int64)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
-    marked = materialize(src.mapInArrow(sketch, "doc_id long, fp array<long>"))
+    marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, fp array<long>"))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    both = _candidates(nodes).join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = materialize(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= MAYBE))
-    linked = materialize(connected_components(near.where(F.col("apart") <= SURE).select("a", "b")))
-    side = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-    open_ = near.where(F.col("apart") > SURE).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    open_ = open_.withColumns({"root_" + c: F.coalesce("root_" + c, c) for c in "ab"}).where("root_a <> root_b")
-    open_ = materialize(open_.select("a", "b", "root_a", "root_b"))
-    ends = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(src.join(ends, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")))
-    told = open_.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    checked = told.select("root_a", "root_b", "ta", "tb").mapInArrow(_similar, "a long, b long")
-    merged = materialize(connected_components(checked.distinct()))
-    first = linked.select("node", "root").union(merged.join(linked, merged["node"] == linked["node"], "left_anti").select("node", F.col("node").alias("root")))
-    final = first.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    owner = nodes.join(final, "node", "left").select("fp", F.coalesce("root", "node").alias("group_id"))
+    groups = nodes.select("node", F.col("node").alias("root"))
+    width = min(40, max(10, int(np.ceil(np.log2(max(2, nodes.count())))) + 2))
+    inside, large, size = nodes, None, 0
+    for level in range(2):
+        plan = block_plan(min(40, width + int(np.ceil(np.log2(max(1, size))))))
+        for a, b in zip(cuts := [round(len(plan) * x) for x in ROUNDS[level]], cuts[1:]):
+            met = _blocks(inside.join(groups, "node"), plan[a:b])
+            groups = _link(nodes, groups, _pairs(met).union(_stars(met)), src)
+            seen = met.where(F.col("n") > PAIR_LIMIT).select("node")
+            large = seen if large is None else large.union(seen)
+        if level == 0:
+            large = materialize(large.distinct())
+            size = large.count()
+            if not size:
+                break
+            inside = nodes.join(large, "node")
+    owner = nodes.join(groups, "node").select("fp", F.col("root").alias("group_id"))
     return marked.join(owner, "fp").select("doc_id", "group_id")

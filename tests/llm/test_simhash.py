@@ -70,7 +70,9 @@ def test_odd_rows(spark, odd, none):
     assert simhash.simhash_components(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
