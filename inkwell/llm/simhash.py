@@ -14,6 +14,8 @@ from .common import connected_components, materialize, slices, tidy
 
 #: A block with more distinct fingerprints than this goes by shared midpoints instead of pairs.
 PAIR_LIMIT = 48
+#: A block of near copies with more members than this is paired by whole fingerprints.
+FEW = 6
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
 
@@ -187,13 +189,30 @@ def _blocks(nodes: DataFrame, plan: list[np.ndarray]) -> DataFrame:
 MEMBER = ("node", "root", "sig")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) in blocks of at most PAIR_LIMIT members that are of different groups and whose check words are close."""
-    few = met.where(F.col("n") <= PAIR_LIMIT).select("key", F.struct(*MEMBER).alias("x"))
+def _apart(x, y):
+    """Hamming distance of two wide fingerprints."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+
+
+def _met(rows: DataFrame, more=None) -> DataFrame:
+    """Pairs (a, b) of different groups in a block whose check words are close and that meet a further condition."""
     x, y = F.col("x"), F.col("y")
     close = (x["node"] < y["node"]) & (x["root"] != y["root"]) & _alike(x, y)
-    left, right = few.alias("l"), few.select(F.col("key").alias("k"), F.col("x").alias("y"))
-    return left.join(right, (F.col("key") == F.col("k")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+    right = rows.select(F.col("key").alias("k"), F.col("x").alias("y"))
+    met = rows.join(right, (F.col("key") == F.col("k")) & (close if more is None else close & more(x, y)))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+
+
+def _pairs(met: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
+    """Candidate pairs in blocks of at most PAIR_LIMIT members.
+
+    In blocks of more than ``few`` members, where most come from one large group, whole fingerprints are compared inside
+    the join, so that it puts out near pairs only.
+    """
+    pairs = _met(met.where(F.col("n") <= few).select("key", F.struct(*MEMBER).alias("x")))
+    some = met.where((F.col("n") > few) & (F.col("n") <= PAIR_LIMIT)).join(nodes, "node")
+    some = some.select("key", F.struct(*MEMBER, "fp").alias("x"))
+    return pairs.union(_met(some, lambda x, y: _apart(x["fp"], y["fp"]) <= MAYBE))
 
 
 def _stars(met: DataFrame) -> DataFrame:
@@ -216,8 +235,7 @@ def _link(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, texts: DataFram
     flip = F.col("a") > F.col("b")
     pairs = pairs.select(*[F.when(flip, y).otherwise(F.col(x)).alias(x) for x, y in (("a", F.col("b")), ("b", F.col("a")), ("ra", F.col("rb")), ("rb", F.col("ra")))]).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias("f" + c))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", apart.alias("apart"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", _apart("fa", "fb").alias("apart"))
     near = materialize(near.where(F.col("apart") <= MAYBE))
 
     def joined(tops, groups):
@@ -285,7 +303,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         plan = block_plan(min(40, width + int(np.ceil(np.log2(max(1, size))))))
         for a, b in zip(cuts := [round(len(plan) * x) for x in ROUNDS[level]], cuts[1:]):
             met = _blocks(inside.join(groups, "node"), plan[a:b])
-            groups = _link(nodes, groups, _pairs(met).union(_stars(met)), src)
+            groups = _link(nodes, groups, _pairs(met, nodes, FEW if level == 0 else 1).union(_stars(met)), src)
             seen = met.where(F.col("n") > PAIR_LIMIT).select("node")
             large = seen if large is None else large.union(seen)
         if level == 0:
