@@ -121,6 +121,9 @@ DIFFER = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
 #: mean at SIMILARITY; those in up to MAYBE, as much above it, are checked on their shingles.
 WIDE = 2048
 SURE, MAYBE = (int(WIDE * DIFFER + k * (WIDE * DIFFER * (1 - DIFFER)) ** 0.5) for k in (-2.5, 2.5))
+#: Sets with fewer shingles than this are always checked on their shingles: few shingles fold to few fingerprints, and
+#: different short texts can share one.
+SMALL = 32
 #: Bits of the check word carried with each block, and how many may differ: the mean and four standard deviations.
 CHECK_RADIUS = int(64 * DIFFER + 4 * (64 * DIFFER * (1 - DIFFER)) ** 0.5)
 #: Chance that a pair at exactly SIMILARITY shares a block.
@@ -137,22 +140,19 @@ while len(_H) < 64:
 _FLIP = np.where(np.random.default_rng(11).random((64, 64)) < 0.5, -1, 1).astype(np.float32)
 
 
-def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """(len(texts), WIDE // 8) bytes: SimHash bits of the set of five-word shingles.
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), WIDE // 8) bytes: SimHash bits of sets of five-word shingles.
 
     The set is folded into 4096 signed sums by hash; the fingerprint is the signs of half of their Walsh-Hadamard
-    transform, so a shingle is hashed once however many bits there are. Equal sets have equal fingerprints; a text
-    without words has all bits 0.
+    transform, so a shingle is hashed once however many bits there are. Equal sets have equal fingerprints, but equal
+    fingerprints don't mean equal sets; an empty set has all bits 0.
     """
-    sums = np.zeros((len(texts), 4096), np.float32)
-    for row, text in zip(sums, texts):
-        parts = [np.unique(h) for h in shingle_hashes(text, WORDS)]
-        if parts:
-            h = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
-            at, sign = (h & np.uint64(4095)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
-            row += np.bincount(at, sign, 4096)
+    sums = np.zeros((len(sets), 4096), np.float32)
+    for row, h in zip(sums, sets):
+        at, sign = (h & np.uint64(4095)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+        row += np.bincount(at, sign, 4096)
     mixed = _H[:WIDE // 64] @ (sums.reshape(-1, 64, 64) * _FLIP) @ _H
-    return np.packbits(mixed.reshape(len(texts), WIDE) > 0.5, axis=1)
+    return np.packbits(mixed.reshape(len(sets), WIDE) > 0.5, axis=1)
 
 
 def block_plan(width: int) -> list[np.ndarray]:
@@ -231,43 +231,65 @@ def _tops(edges: DataFrame) -> DataFrame:
 
 def _link(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Groups (node, root) after the candidate pairs: sure ones link; those neither sure nor far apart that are still
-    between two groups are checked on their shingle sets. ``pairs`` has the roots of both ends."""
+    between two groups are checked on their shingle sets, as are all pairs with a small set. ``pairs`` has the roots of
+    both ends."""
     flip = F.col("a") > F.col("b")
-    pairs = pairs.select(*[F.when(flip, y).otherwise(F.col(x)).alias(x) for x, y in (("a", F.col("b")), ("b", F.col("a")), ("ra", F.col("rb")), ("rb", F.col("ra")))]).distinct()
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias("f" + c))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", _apart("fa", "fb").alias("apart"))
-    near = materialize(near.where(F.col("apart") <= MAYBE))
+    pairs = pairs.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in ("ab", "ba")], *[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("ra", "rb"), ("rb", "ra"))]).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias("f" + c), F.col("size").alias("s" + c))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(5 * F.least("sa", "sb") >= 4 * F.greatest("sa", "sb"))
+    near = near.select("a", "b", "ra", "rb", _apart("fa", "fb").alias("apart"), (F.least("sa", "sb") < SMALL).alias("small"))
+    near = materialize(near.where(F.col("small") | (F.col("apart") <= MAYBE)))
 
     def joined(tops, groups):
         return materialize(groups.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
-    tops = _tops(near.where(F.col("apart") <= SURE).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    sure = ~F.col("small") & (F.col("apart") <= SURE)
+    tops = _tops(near.where(sure).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     groups = joined(tops, groups)
-    doubt = near.where(F.col("apart") > SURE)
+    doubt = near.where(~sure)
     for c in ("ra", "rb"):
         doubt = doubt.join(tops.select(F.col("root").alias(c), F.col("top").alias("t" + c)), c, "left").withColumn(c, F.coalesce("t" + c, c))
     doubt = materialize(doubt.where("ra <> rb").select("a", "b", "ra", "rb"))
     if doubt.isEmpty():
         return groups
-    ends = doubt.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    told = materialize(texts.join(ends, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")))
-    both = doubt.join(told.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(told.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    return joined(_tops(both.select("ra", "rb", "ta", "tb").mapInArrow(tidy(_similar), "a long, b long")), groups)
+    ends = nodes.join(doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("doc").alias("doc_id"))
+    told = texts.join(ends.select("doc_id").distinct(), "doc_id").mapInArrow(tidy(_sets), "node long, hs array<long>")
+    told = materialize(told.join(ends.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")))
+    both = doubt.join(told.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(told.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
+    return joined(_tops(both.select("ra", "rb", "ha", "hb").mapInArrow(tidy(_similar), "a long, b long")), groups)
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
-    parts = list(shingle_hashes(text or b"", WORDS))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    parts = [np.unique(h) for h in shingle_hashes(text or b"", WORDS)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _name(shingles: np.ndarray) -> int:
+    """A signed long that stands for the whole set."""
+    return xxhash.xxh3_64_intdigest(shingles.astype("<u8").tobytes(), 7) - (1 << 63)
+
+
+def _long_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def _sets(batches):
+    """(node, hs): the shingle sets of texts."""
+    for b in slices(batches, 256):
+        sets = [_shingle_set(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_name(h) for h in sets], pa.int64()), _long_lists(sets)], ["node", "hs"])
 
 
 def _similar(batches):
-    """Pairs whose five-word shingle sets are alike at SIMILARITY or more."""
+    """Pairs whose five-word shingle sets are alike at SIMILARITY (4/5) or more."""
     for b in slices(batches, 128):
         keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            p, q = _shingle_set(x), _shingle_set(y)
+        for p, q in zip(b.column(2), b.column(3)):
+            p, q = (x.values.to_numpy(zero_copy_only=False) for x in (p, q))
             both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(p) + len(q) - both))
+            keep.append(5 * both >= 4 * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -277,7 +299,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``group_id`` is the smallest doc_id of the group. Wide SimHash fingerprints are split into blocks that suit the
     number of different texts and taken in a few rounds; pairs of different groups that share a block and agree on a
     64-bit check word are held to the Hamming distance of whole fingerprints, and to their shingle sets where that
-    leaves doubt. Equal sets are one node from the start. In a block with more than PAIR_LIMIT members each is compared
+    leaves doubt or a set is small. Equal sets, known by a 64-bit hash of the whole set, are one node from the start. In a block with more than PAIR_LIMIT members each is compared
     with PIVOTS pivots only; then the members of such blocks are blocked anew among themselves, by as many more bits as
     their number asks for. Nothing is capped, and what one round joins is no pair in the next. A pair at exactly 0.8 shares a block with probability RECALL, closer ones more
     surely.
@@ -288,14 +310,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def sketch(batches):
         for b in slices(batches, 256):
-            bits = wide_fingerprints([t or b"" for t in b.column(1).to_pylist()])
-            longs = bits.view(">i8").astype(np.int64)
+            sets = [_shingle_set(t) for t in b.column(1).to_pylist()]
+            longs = wide_fingerprints(sets).view(">i8").astype(np.int64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+            node, size = pa.array([_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), node, size, fp], ["doc_id", "node", "size", "fp"])
 
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
-    marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, fp array<long>"))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, node long, size int, fp array<long>"))
+    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("fp").alias("fp")))
     groups = nodes.select("node", F.col("node").alias("root"))
     width = min(40, max(10, int(np.ceil(np.log2(max(2, nodes.count())))) + 2))
     inside, large, size = nodes, None, 0
@@ -312,5 +335,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if not size:
                 break
             inside = nodes.join(large, "node")
-    owner = nodes.join(groups, "node").select("fp", F.col("root").alias("group_id"))
-    return marked.join(owner, "fp").select("doc_id", "group_id")
+    named = nodes.select("node", "doc").join(groups, "node")
+    lowest = named.groupBy("root").agg(F.min("doc").alias("group_id"))
+    return marked.select("doc_id", "node").join(named.join(lowest, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

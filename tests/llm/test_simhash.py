@@ -107,3 +107,12 @@ def test_near_copies_of_odd_rows(spark, odd, none):
     got = {r.doc_id: r.group_id for r in simhash.near_copies(odd).collect()}
     assert None not in got and got[1] == got[2] == got[3] == 1 and got[5] == 4 and got[12] == 11 and got[7] == 7
     assert simhash.near_copies(none).count() == 0
+
+
+def test_short_texts_with_one_fingerprint_are_no_copies(spark):
+    """Texts of one to five words are one shingle each: with thousands of them some fold to the same fingerprint."""
+    rows = [(i, f"short text {i}") for i in range(1500)] + [(1500, "SHORT  text 7")]
+    fps = simhash.wide_fingerprints([simhash._shingle_set(t.encode()) for _, t in rows[:1500]])
+    assert len({x.tobytes() for x in fps}) < 1500
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(1500)} | {1500: 7}
