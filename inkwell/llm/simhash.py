@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection: pigeonhole blocks, joins on blocks, Hamming verification."""
+"""Near-duplicate detection: SimHash components by pigeonhole blocks; near copies by shingle prefixes and exact similarity."""
 
 from __future__ import annotations
 
@@ -117,20 +117,19 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str
 WORDS = 5
 SIMILARITY = 0.8
 DIFFER = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
-#: Bits of the wide fingerprint. Pairs that differ in at most SURE bits are alike, 2.5 standard deviations below the
+#: Bits of the wide fingerprint. Pairs that differ in at most SURE bits are alike, 5.5 standard deviations below the
 #: mean at SIMILARITY; those in up to MAYBE, as much above it, are checked on their shingles.
 WIDE = 2048
-SURE, MAYBE = (int(WIDE * DIFFER + k * (WIDE * DIFFER * (1 - DIFFER)) ** 0.5) for k in (-2.5, 2.5))
+SURE, MAYBE = (int(WIDE * DIFFER + k * (WIDE * DIFFER * (1 - DIFFER)) ** 0.5) for k in (-5.5, 5.5))
 #: Sets with fewer shingles than this are always checked on their shingles: few shingles fold to few fingerprints, and
 #: different short texts can share one.
 SMALL = 32
-#: Bits of the check word carried with each block, and how many may differ: the mean and four standard deviations.
-CHECK_RADIUS = int(64 * DIFFER + 4 * (64 * DIFFER * (1 - DIFFER)) ** 0.5)
-#: Chance that a pair at exactly SIMILARITY shares a block.
-RECALL = 0.95
-#: Shares of the blocks that are taken in each round, over all texts and over members of large blocks. What a round
-#: joins isn't compared again, so a large group is joined by few blocks before most of them are looked at.
-ROUNDS = ((0, 0.04, 0.2, 1), (0, 1))
+#: Documents from which frequent shingles are counted, and how many of these are known. They only decide which shingles
+#: come last in a prefix; candidates are complete under any order.
+SAMPLE = 20_000
+FREQUENT = 1 << 16
+#: One key in so many is taken in the first round; what it joins isn't compared again in the second.
+FIRST = 8
 #: Members of a large block are compared with this many pivots of it.
 PIVOTS = 8
 
@@ -155,38 +154,37 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(mixed.reshape(len(sets), WIDE) > 0.5, axis=1)
 
 
-def block_plan(width: int) -> list[np.ndarray]:
-    """Bit positions of blocks of so many bits, as many blocks as RECALL needs.
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample, ascending, and their counts."""
 
-    They are cut from a seeded permutation of the bits, and from further ones when the bits are used up.
-    """
-    count = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - DIFFER) ** width))))
-    rng, per = np.random.default_rng(width), WIDE // width
-    cuts = [p[i * width:(i + 1) * width] for _ in range(-(-count // per)) for p in [rng.permutation(WIDE)] for i in range(per)]
-    return cuts[:count]
-
-
-def _alike(x, y):
-    """Whether the check words of two structs are close."""
-    return F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= CHECK_RADIUS
+    def sets(batches):
+        for b in slices(batches, 256):
+            found = [_shingle_set(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
+    part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, texts.count() // SAMPLE))) == 0).select("t")
+    seen = part.mapInArrow(tidy(sets), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    rows = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
 
-def _blocks(nodes: DataFrame, plan: list[np.ndarray]) -> DataFrame:
-    """(key, node, root, sig, n): members of blocks with more than one member, and the block's size."""
 
-    def keys(batches):
-        for b in slices(batches, 2048):
-            longs = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            bits = np.unpackbits(longs.astype(">i8").view(np.uint8).reshape(len(longs), -1), axis=1)
-            for t, at in enumerate(plan):
-                key = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) + (t << 42)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), b.column(1), pa.array(longs[:, -1])], ["key", "node", "root", "sig"])
+def _prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n shingles, rare ones first, in an order that is the same for all sets.
 
-    keyed = nodes.select("node", "root", "fp").mapInArrow(tidy(keys), "key long, node long, root long, sig long")
-    return materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    Two sets alike at 0.8 share at least ceil(0.8 n) shingles for either n, so the first shingle they share is in both
+    prefixes.
+    """
+    known, counts = frequent
+    n, times = len(shingles), np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        times = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, times))[: n - (4 * n + 4) // 5 + 1]]
 
 
-MEMBER = ("node", "root", "sig")
+MEMBER = ("node", "root", "size", "pos")
 
 
 def _apart(x, y):
@@ -194,33 +192,39 @@ def _apart(x, y):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
 
 
+def _may_meet(x, y):
+    """Whether two members of a key, of different groups, can be alike if it is the first shingle they share: then they
+    share what follows it at most, and need 4/9 of both sizes."""
+    return (x["root"] != y["root"]) & (9 * F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= 4 * (x["size"] + y["size"]))
+
+
 def _met(rows: DataFrame, more=None) -> DataFrame:
-    """Pairs (a, b) of different groups in a block whose check words are close and that meet a further condition."""
+    """Pairs (a, b) of different groups under a key that may be alike and meet a further condition."""
     x, y = F.col("x"), F.col("y")
-    close = (x["node"] < y["node"]) & (x["root"] != y["root"]) & _alike(x, y)
+    close = (x["node"] < y["node"]) & _may_meet(x, y)
     right = rows.select(F.col("key").alias("k"), F.col("x").alias("y"))
     met = rows.join(right, (F.col("key") == F.col("k")) & (close if more is None else close & more(x, y)))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
 
 
-def _pairs(met: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
-    """Candidate pairs in blocks of at most PAIR_LIMIT members.
+def _pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs under keys of at most PAIR_LIMIT members.
 
-    In blocks of more than ``few`` members, where most come from one large group, whole fingerprints are compared inside
+    Under keys of more than FEW members, where most come from one large family, whole fingerprints are compared inside
     the join, so that it puts out near pairs only.
     """
-    pairs = _met(met.where(F.col("n") <= few).select("key", F.struct(*MEMBER).alias("x")))
-    some = met.where((F.col("n") > few) & (F.col("n") <= PAIR_LIMIT)).join(nodes, "node")
+    pairs = _met(met.where(F.col("n") <= FEW).where(F.col("n") <= PAIR_LIMIT).select("key", F.struct(*MEMBER).alias("x")))
+    some = met.where((F.col("n") > FEW) & (F.col("n") <= PAIR_LIMIT)).join(nodes.select("node", "fp"), "node")
     some = some.select("key", F.struct(*MEMBER, "fp").alias("x"))
-    return pairs.union(_met(some, lambda x, y: _apart(x["fp"], y["fp"]) <= MAYBE))
+    return pairs.union(_met(some, lambda x, y: (F.least(x["size"], y["size"]) < SMALL) | (_apart(x["fp"], y["fp"]) <= MAYBE)))
 
 
 def _stars(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of larger blocks with the block's pivots of other groups, check words close."""
+    """Pairs (a, b) of the members of larger keys with the key's pivots of other groups and like size."""
     many = met.where(F.col("n") > PAIR_LIMIT).select("key", *MEMBER)
     pivots = many.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(F.struct(*MEMBER), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
-    near = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & _alike(F.struct("sig"), p))
-    met = many.join(pivots, "key").select("node", "root", F.explode(near).alias("p"))
+    like = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & (5 * F.least("size", p["size"]) >= 4 * F.greatest("size", p["size"])))
+    met = many.join(pivots, "key").select("node", "root", F.explode(like).alias("p"))
     return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("root").alias("ra"), F.col("p.root").alias("rb"))
 
 
@@ -296,45 +300,38 @@ def _similar(batches):
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id): groups of documents whose five-word shingles are alike at 0.8 or more, linked transitively.
 
-    ``group_id`` is the smallest doc_id of the group. Wide SimHash fingerprints are split into blocks that suit the
-    number of different texts and taken in a few rounds; pairs of different groups that share a block and agree on a
-    64-bit check word are held to the Hamming distance of whole fingerprints, and to their shingle sets where that
-    leaves doubt or a set is small. Equal sets, known by a 64-bit hash of the whole set, are one node from the start. In a block with more than PAIR_LIMIT members each is compared
-    with PIVOTS pivots only; then the members of such blocks are blocked anew among themselves, by as many more bits as
-    their number asks for. Nothing is capped, and what one round joins is no pair in the next. A pair at exactly 0.8 shares a block with probability RECALL, closer ones more
-    surely.
+    ``group_id`` is the smallest doc_id of the group. Equal sets, known by a 64-bit hash of the whole set, are one node
+    from the start. Each set is keyed by the shingles of its prefix, so that any two sets alike at 0.8 share a key: no
+    pair is missed by chance. Pairs that share a key and can be alike by their sizes and the key's place are held to the
+    Hamming distance of wide SimHash fingerprints, with cut-offs of 5.5 standard deviations, and to their shingle sets
+    where that leaves doubt or a set is small. What one round joins is no pair in the next.
 
     Null and wordless texts are copies of each other; shorter texts are one shingle. Rows with a null id are left
     out; rows that share an id are one document. An empty table gives an empty table; other columns are ignored.
     """
 
     def sketch(batches):
+        frequent = known.value
         for b in slices(batches, 256):
             sets = [_shingle_set(t) for t in b.column(1).to_pylist()]
             longs = wide_fingerprints(sets).view(">i8").astype(np.int64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
             node, size = pa.array([_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), node, size, fp], ["doc_id", "node", "size", "fp"])
+            keys = _long_lists([_prefix(h, frequent) for h in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), node, size, fp, keys], ["doc_id", "node", "size", "fp", "keys"])
 
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
-    marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, node long, size int, fp array<long>"))
-    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("fp").alias("fp")))
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(src))
+    marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, node long, size int, fp array<long>, keys array<long>"))
+    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("size", "fp", "keys")]))
     groups = nodes.select("node", F.col("node").alias("root"))
-    width = min(40, max(10, int(np.ceil(np.log2(max(2, nodes.count())))) + 2))
-    inside, large, size = nodes, None, 0
-    for level in range(2):
-        plan = block_plan(min(40, width + int(np.ceil(np.log2(max(1, size))))))
-        for a, b in zip(cuts := [round(len(plan) * x) for x in ROUNDS[level]], cuts[1:]):
-            met = _blocks(inside.join(groups, "node"), plan[a:b])
-            groups = _link(nodes, groups, _pairs(met, nodes, FEW if level == 0 else 1).union(_stars(met)), src)
-            seen = met.where(F.col("n") > PAIR_LIMIT).select("node")
-            large = seen if large is None else large.union(seen)
-        if level == 0:
-            large = materialize(large.distinct())
-            size = large.count()
-            if not size:
-                break
-            inside = nodes.join(large, "node")
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    first = F.pmod("key", F.lit(FIRST)) == 0
+    rooted = met.where(first | (F.col("n") > PAIR_LIMIT)).join(groups, "node")
+    groups = _link(nodes, groups, _pairs(rooted, nodes).union(_stars(rooted)), src)
+    rooted = met.where(~first).join(groups, "node")
+    groups = _link(nodes, groups, _pairs(rooted, nodes), src)
     named = nodes.select("node", "doc").join(groups, "node")
     lowest = named.groupBy("root").agg(F.min("doc").alias("group_id"))
     return marked.select("doc_id", "node").join(named.join(lowest, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

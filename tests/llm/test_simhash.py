@@ -116,3 +116,14 @@ def test_short_texts_with_one_fingerprint_are_no_copies(spark):
     assert len({x.tobytes() for x in fps}) < 1500
     got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i for i in range(1500)} | {1500: 7}
+
+
+def test_no_isolated_pair_at_the_threshold_is_lost(spark):
+    """One edited word of 49 gives 40 shared of 50 shingles, exactly 0.8; of 48, just less. Each pair is on its own."""
+    rows = []
+    for i in range(300):
+        for n in (49, 48):
+            w = [f"w{i}n{n}p{k}" for k in range(n)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:24], "edited", *w[25:]]))]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - (i % 4 == 1) for i in range(1200)}
