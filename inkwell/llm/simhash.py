@@ -130,8 +130,10 @@ SAMPLE = 20_000
 FREQUENT = 1 << 16
 #: One key in so many is taken in the first round; what it joins isn't compared again in the second.
 FIRST = 8
-#: Members of a large block are compared with this many pivots of it.
+#: Members of a larger key are first compared with this many pivots of it, then those of different groups with each
+#: other, in pieces of about CROWD members.
 PIVOTS = 8
+CROWD = 1024
 
 _H = np.array([[1.0]], np.float32)
 while len(_H) < 64:
@@ -164,8 +166,8 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, texts.count() // SAMPLE))) == 0).select("t")
     seen = part.mapInArrow(tidy(sets), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    rows = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    rows = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = (rows[c].to_numpy() for c in ("h", "n"))
     order = np.argsort(h.view(np.uint64))
     return h.view(np.uint64)[order], n[order]
 
@@ -228,6 +230,60 @@ def _stars(met: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("root").alias("ra"), F.col("p.root").alias("rb"))
 
 
+def _crowds(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) under keys of more than PAIR_LIMIT members that are still in different groups.
+
+    Members are dealt into pieces, and each two pieces are compared whole in a task of their own.
+    """
+    many = met.where(F.col("n") > PAIR_LIMIT)
+    mixed = many.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    last = F.ceil(F.col("n") / CROWD).cast("int") - 1
+    many = many.join(mixed, "key").withColumn("piece", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
+    dealt = many.select("key", *MEMBER, "piece", F.explode(F.sequence(F.lit(0), last)).alias("other")).join(nodes.select("node", "fp"), "node")
+    dealt = dealt.select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", *MEMBER, "fp")
+    return dealt.groupBy("key", "p", "q").applyInArrow(_crowd, "a long, b long, ra long, rb long")
+
+
+def _crowd(t: pa.Table) -> pa.Table:
+    """Candidate pairs of two pieces, or of one with itself. Sure ones are put out only as far as they join groups, and
+    others only between groups that those leave apart."""
+    t = t.combine_chunks()
+    piece, node, root, size, pos = (t[c].to_numpy().astype(np.int64) for c in ("piece", *MEMBER))
+    fp = t["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1).view(np.uint64)
+    p, q = t["p"][0].as_py(), t["q"][0].as_py()
+    xs, ys = np.flatnonzero(piece == p), np.flatnonzero(piece == q)
+    sure, doubt = [], []
+    for i in range(0, len(xs), 32):
+        x = xs[i:i + 32, None]
+        may = (root[x] != root[ys]) & (9 * np.minimum(size[x] - pos[x], size[ys] - pos[ys]) >= 4 * (size[x] + size[ys]))
+        if p == q:
+            may &= node[x] < node[ys]
+        a, b = np.nonzero(may)
+        a, b = x[a, 0], ys[b]
+        apart, small = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64), np.minimum(size[a], size[b]) < SMALL
+        close = ~small & (apart <= SURE)
+        sure.append(np.stack([a, b], 1)[close])
+        doubt.append(np.stack([a, b], 1)[~close & (small | (apart <= MAYBE))])
+    top = {}
+
+    def find(r):
+        while top.setdefault(r, r) != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    kept = []
+    for pairs, join in ((sure, True), (doubt, False)):
+        for a, b in np.concatenate(pairs).tolist() if pairs else ():
+            u, v = find(root[a].item()), find(root[b].item())
+            if u != v:
+                kept.append((a, b))
+                if join:
+                    top[u] = v
+    a, b = np.array(kept, np.int64).reshape(-1, 2).T
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in (node[a], node[b], root[a], root[b])], ["a", "b", "ra", "rb"])
+
+
 def _tops(edges: DataFrame) -> DataFrame:
     """(root, top): what the roots joined by edges (a, b) become."""
     return materialize(connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")))
@@ -304,7 +360,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from the start. Each set is keyed by the shingles of its prefix, so that any two sets alike at 0.8 share a key: no
     pair is missed by chance. Pairs that share a key and can be alike by their sizes and the key's place are held to the
     Hamming distance of wide SimHash fingerprints, with cut-offs of 5.5 standard deviations, and to their shingle sets
-    where that leaves doubt or a set is small. What one round joins is no pair in the next.
+    where that leaves doubt or a set is small. Under a key of more than PAIR_LIMIT members each is compared with PIVOTS
+    pivots first, then all that are still in different groups with each other, in pieces. What one round joins is no pair in the next.
 
     Null and wordless texts are copies of each other; shorter texts are one shingle. Rows with a null id are left
     out; rows that share an id are one document. An empty table gives an empty table; other columns are ignored.
@@ -324,14 +381,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = docs.sparkSession.sparkContext.broadcast(_frequent(src))
     marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, node long, size int, fp array<long>, keys array<long>"))
     nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("size", "fp", "keys")]))
+    known.destroy()
     groups = nodes.select("node", F.col("node").alias("root"))
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     first = F.pmod("key", F.lit(FIRST)) == 0
     rooted = met.where(first | (F.col("n") > PAIR_LIMIT)).join(groups, "node")
     groups = _link(nodes, groups, _pairs(rooted, nodes).union(_stars(rooted)), src)
-    rooted = met.where(~first).join(groups, "node")
-    groups = _link(nodes, groups, _pairs(rooted, nodes), src)
+    rooted = materialize(met.where(~first | (F.col("n") > PAIR_LIMIT)).join(groups, "node"))
+    groups = _link(nodes, groups, _pairs(rooted.where(~first), nodes).union(_crowds(rooted, nodes)), src)
     named = nodes.select("node", "doc").join(groups, "node")
     lowest = named.groupBy("root").agg(F.min("doc").alias("group_id"))
     return marked.select("doc_id", "node").join(named.join(lowest, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

@@ -127,3 +127,19 @@ def test_no_isolated_pair_at_the_threshold_is_lost(spark):
             rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:24], "edited", *w[25:]]))]
     got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - (i % 4 == 1) for i in range(1200)}
+
+
+def test_links_inside_a_large_family(spark, monkeypatch):
+    """A chain whose neighbours only are alike, so that pivots miss most of its links."""
+    for name, x in (("PAIR_LIMIT", 2), ("PIVOTS", 1), ("CROWD", 5)):
+        monkeypatch.setattr(simhash, name, x, raising=False)
+    w, rows = text_of(9, 200).split(), []
+    for i in range(40):
+        rows.append((i, " ".join(w)))
+        for k in range(3):
+            w[(i * 15 + k * 5 + 2) % 200] = f"e{i}x{k}"
+    sets = [shingle_set(t) for _, t in rows]
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(sim(i, i + 1) >= 0.8 for i in range(39)) and all(sim(i, i + 2) < 0.8 for i in range(38))
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
