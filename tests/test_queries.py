@@ -54,3 +54,17 @@ def test_nothing_else_imports_the_training_data_part():
     for path in [*root.glob("inkwell/**/*.py"), *root.glob("tests/*.py"), root / "bench.py"]:
         if "inkwell/llm" not in str(path) and path.name != "test_queries.py":
             assert not re.search(r"inkwell\.llm|from \.+llm", path.read_text()), path
+
+
+def test_cooccurrence_has_rare_terms(spark):
+    """Every pair of terms in five documents or more, by brute force."""
+    import re
+    from collections import Counter
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    tf = [Counter(w for w in re.split(r"[^\w]+", t.lower()) if len(w) >= 2) for t in texts]
+    df = Counter(w for t in tf for w in t)
+    want = {(a, b) for t in tf for k in [sorted(w for w in t if df[w] >= 5)] for n, a in enumerate(k) for b in k[n:]}
+    cut = {(r.i, r.j) for r in plans.queries()["cooccurrence"](spark, SF).collect()}
+    got = {(r.i, r.j) for r in plans.queries()["cooccurrence_all"](spark, SF).collect()}
+    assert cut < got and got == want
