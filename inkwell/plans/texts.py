@@ -260,10 +260,21 @@ def _subset(s: str) -> str:
 @register(QUERIES, f"""WITH q AS (SELECT item_id, {_subset('text')} AS q FROM benchmark WHERE item_id < 20), s AS (SELECT doc_id, {_subset('text')} AS s FROM documents)
     SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, s)) / len(q)::DOUBLE END, 6) AS coverage FROM q, s""")
 def query_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of twenty queries, a stated set, against every document."""
+    """Coverage of the first twenty queries only; query_coverage_all has the others."""
+    return _coverage(table(spark, d, "benchmark").where("item_id < 20"), table(spark, d, "documents"))
+
+
+@register(QUERIES, f"""WITH q AS (SELECT item_id, {_subset('text')} AS q FROM benchmark), s AS (SELECT doc_id, {_subset('text')} AS s FROM documents)
+    SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, s)) / len(q)::DOUBLE END, 6) AS coverage FROM q, s""")
+def query_coverage_all(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of every benchmark item, in blocks, against every document."""
+    return _coverage(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+def _coverage(items: DataFrame, docs: DataFrame) -> DataFrame:
     sub = lambda s: F.array_distinct(T.subword_set(T.token_set(s, K.DETERMINERS)))
-    q = table(spark, d, "benchmark").where("item_id < 20").agg(F.collect_list(F.struct("item_id", sub(F.col("text")).alias("q"))).alias("qs")).withColumn("one", F.lit(1))
-    s = table(spark, d, "documents").select("doc_id", sub(F.col("text")).alias("s"), F.lit(1).alias("one"))
+    q = items.groupBy(F.expr("item_id div 20").alias("block")).agg(F.collect_list(F.struct("item_id", sub(F.col("text")).alias("q"))).alias("qs")).withColumn("one", F.lit(1))
+    s = docs.select("doc_id", sub(F.col("text")).alias("s"), F.lit(1).alias("one"))
     rows = s.join(F.broadcast(q), "one").select("doc_id", "s", F.explode("qs").alias("x"))
     return rows.select("x.item_id", "doc_id", F.round(T.coverage(F.col("x.q"), F.col("s")), 6).alias("coverage"))
 

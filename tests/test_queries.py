@@ -68,3 +68,8 @@ def test_cooccurrence_has_rare_terms(spark):
     cut = {(r.i, r.j) for r in plans.queries()["cooccurrence"](spark, SF).collect()}
     got = {(r.i, r.j) for r in plans.queries()["cooccurrence_all"](spark, SF).collect()}
     assert cut < got and got == want
+
+
+def test_coverage_has_every_item(spark):
+    items, docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("benchmark", "documents"))
+    assert plans.queries()["query_coverage_all"](spark, SF).select("item_id", "doc_id").distinct().count() == items * docs
