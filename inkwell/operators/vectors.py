@@ -171,13 +171,17 @@ def ladder(s: Column) -> Column:
 
 
 def adjusted_similarity(matrix: DataFrame) -> DataFrame:
-    """(i, j, sim): rows scaled so that their second-largest value meets the ladder, cut at 1, averaged with the transpose."""
+    """(i, j, sim): rows scaled so that their second-largest value meets the ladder, cut at 1, averaged with the transpose.
+
+    Further columns of ``matrix`` are keys of matrices of their own and come first in the result.
+    """
+    keys = [c for c in matrix.columns if c not in ("i", "j", "sim")]
     second = F.element_at(F.sort_array(F.collect_list("sim"), asc=False), 2)
-    rows = matrix.groupBy("i").agg(second.alias("s"))
+    rows = matrix.groupBy(*keys, "i").agg(second.alias("s"))
     factor = F.when((F.col("s") == 0) | F.col("s").isNull(), F.lit(0.0)).otherwise(F.try_divide(ladder(F.col("s")), F.col("s")))
-    scaled = matrix.join(rows, "i").select("i", "j", F.least(F.lit(1.0), F.col("sim") * factor).alias("sim"))
-    back = scaled.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("sim").alias("t"))
-    return scaled.join(back, ["i", "j"]).select("i", "j", ((F.col("sim") + F.col("t")) / 2).alias("sim"))
+    scaled = matrix.join(rows, [*keys, "i"]).select(*keys, "i", "j", F.least(F.lit(1.0), F.col("sim") * factor).alias("sim"))
+    back = scaled.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), F.col("sim").alias("t"))
+    return scaled.join(back, [*keys, "i", "j"]).select(*keys, "i", "j", ((F.col("sim") + F.col("t")) / 2).alias("sim"))
 
 
 def submatrix(matrix: DataFrame, left: list[str], right: list[str], missing: str = "not_embedded") -> DataFrame:

@@ -58,6 +58,15 @@ def similarity_adjust(spark: SparkSession, d: str) -> DataFrame:
     return vectors.adjusted_similarity(matrix).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+@register(QUERIES, f"""WITH {_UNIT}, {_PAIRS}, m AS (SELECT block, i, j, sim FROM pairs UNION ALL SELECT block, j, i, sim FROM pairs WHERE i <> j),
+    r AS (SELECT block, i, list_reverse_sort(list(sim))[2] AS s FROM m GROUP BY 1, 2), t AS (SELECT block, i, j, least(1.0, sim * CASE WHEN s = 0 OR s IS NULL THEN 0 ELSE ({_LADDER}) / s END) AS sim FROM m JOIN r USING (block, i))
+    SELECT a.block, a.i, a.j, round((a.sim + b.sim) / 2, 6) AS sim FROM t a JOIN t b ON a.block = b.block AND a.i = b.j AND a.j = b.i""")
+def similarity_adjust_all(spark: SparkSession, d: str) -> DataFrame:
+    """Adjusted similarity within every label; similarity_adjust has label 0 only."""
+    matrix = vectors.mirrored(_pairs(spark, d))
+    return vectors.adjusted_similarity(matrix).select("block", "i", "j", F.round("sim", 6).alias("sim"))
+
+
 @register(QUERIES, f"""WITH {_UNIT}, {_PAIRS}, m AS (SELECT block, i, sim FROM pairs UNION ALL SELECT block, j, sim FROM pairs WHERE i <> j), s AS (SELECT block, i, round(sum(sim), 9) AS s FROM m GROUP BY 1, 2)
     SELECT block, i AS center FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY s DESC, i) AS r FROM s) WHERE r = 1""")
 def medoid_per_label(spark: SparkSession, d: str) -> DataFrame:

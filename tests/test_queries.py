@@ -73,3 +73,9 @@ def test_cooccurrence_has_rare_terms(spark):
 def test_coverage_has_every_item(spark):
     items, docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("benchmark", "documents"))
     assert plans.queries()["query_coverage_all"](spark, SF).select("item_id", "doc_id").distinct().count() == items * docs
+
+
+def test_similarity_is_adjusted_in_every_label(spark):
+    rows = plans.queries()["similarity_adjust_all"](spark, SF).groupBy("block").count().collect()
+    sizes = spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().collect()
+    assert len(sizes) > 1 and {r[0]: r[1] for r in rows} == {r[0]: r[1] ** 2 for r in sizes}
