@@ -122,8 +122,18 @@ def sentence_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @register(QUERIES, f"SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM (SELECT doc_id, source, lang, {C.words('lower(text)')} AS w FROM documents WHERE n_chars < 400) a JOIN (SELECT doc_id, source, lang, {C.words('lower(text)')} AS w FROM documents WHERE n_chars < 400) b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id")
 def shared_words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words in common of short documents of one source and language."""
-    rows = table(spark, d, "documents").where("n_chars < 400").select("doc_id", "source", "lang", T.words(F.lower("text")).alias("w"))
+    """Distinct words in common of short documents of one source and language; shared_words_all has all documents."""
+    return _shared(table(spark, d, "documents").where("n_chars < 400"))
+
+
+@register(QUERIES, f"WITH r AS (SELECT doc_id, source, lang, {C.words('lower(text)')} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM r a JOIN r b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id")
+def shared_words_all(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct words in common of all documents of one source and language: as many rows as pairs."""
+    return _shared(table(spark, d, "documents"))
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "source", "lang", T.words(F.lower("text")).alias("w"))
     a, b = (rows.select("source", "lang", F.col("doc_id").alias(n), F.col("w").alias("w" + n)) for n in "ab")
     return a.join(b, ["source", "lang"]).where("a < b").select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"))
 

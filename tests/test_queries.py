@@ -79,3 +79,8 @@ def test_similarity_is_adjusted_in_every_label(spark):
     rows = plans.queries()["similarity_adjust_all"](spark, SF).groupBy("block").count().collect()
     sizes = spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().collect()
     assert len(sizes) > 1 and {r[0]: r[1] for r in rows} == {r[0]: r[1] ** 2 for r in sizes}
+
+
+def test_shared_words_of_all_documents(spark):
+    sizes = spark.read.parquet(f"{SF}/documents.parquet").where("source IS NOT NULL AND lang IS NOT NULL").groupBy("source", "lang").count().collect()
+    assert plans.queries()["shared_words_all"](spark, SF).count() == sum(r[2] * (r[2] - 1) // 2 for r in sizes)
