@@ -72,6 +72,12 @@ def plain_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(T.plain_tokens(s), 1, 5), "|").alias("head"), F.size(T.paragraphs(s)).alias("n_paragraphs"), F.size(T.segments(s)).alias("n_segments"))
 
 
+@register(QUERIES, f"SELECT doc_id, array_to_string(list_filter(string_split(replace(translate(regexp_replace(text, '<(.*?)>', '', 'g'), {C.lit(K.ALL_MARKS)}, ''), chr(10), ' '), ' '), lambda w: w <> ''), '|') AS tokens FROM documents")
+def plain_tokens_all(spark: SparkSession, d: str) -> DataFrame:
+    """All tokens of each text; plain_tokens has the first five."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.plain_tokens(F.col("text")), "|").alias("tokens"))
+
+
 # Filters and masks
 
 _SENTENCES = f"sents AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS s FROM (SELECT doc_id, list_transform(string_split(text, '.'), lambda x: {C.strip('x')}) AS a FROM documents))"

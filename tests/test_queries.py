@@ -84,3 +84,9 @@ def test_similarity_is_adjusted_in_every_label(spark):
 def test_shared_words_of_all_documents(spark):
     sizes = spark.read.parquet(f"{SF}/documents.parquet").where("source IS NOT NULL AND lang IS NOT NULL").groupBy("source", "lang").count().collect()
     assert plans.queries()["shared_words_all"](spark, SF).count() == sum(r[2] * (r[2] - 1) // 2 for r in sizes)
+
+
+def test_plain_tokens_go_on_after_the_fifth(spark):
+    rows = plans.queries()["plain_tokens_all"](spark, SF).collect()
+    heads = {r.doc_id: r["head"] for r in plans.queries()["plain_tokens"](spark, SF).collect()}
+    assert all("|".join(r.tokens.split("|")[:5]) == heads[r.doc_id] for r in rows) and any(r.tokens.count("|") > 4 for r in rows)
