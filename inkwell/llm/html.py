@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -17,80 +18,109 @@ BLOCKS = frozenset(
     "tbody tfoot thead title tr ul".split())
 #: Elements that hold no content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never part of an article.
+#: Elements whose text is never part of an article. A form can be wrapped around a whole page, so it's judged by what it holds.
 DROPPED = frozenset(
-    "aside audio button canvas dialog footer form head iframe label menu nav noscript object option script search select "
+    "aside audio button canvas dialog footer head iframe label menu nav noscript object option script search select "
     "style svg template textarea title video".split())
 #: Elements that hold the main content where a page has them.
 HOLDERS = frozenset(("article", "main"))
-#: Words in a class, id or role that mark menus, notices, adverts, comments and the like.
+#: Words in a class, id or role that mark menus, notices, adverts, comments and the like, wherever a name begins with them.
 MARKS = frozenset(
-    "ad ads adsense advert advertisement adverts alert alertdialog banner breadcrumb breadcrumbs byline-share comment "
-    "commentlist comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr hidden "
-    "login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo "
-    "promoted promotion recommended related replies respond responses search share sharing sidebar signup skip social sponsor "
-    "sponsored sponsors subscribe subscription tags toolbar widget".split())
+    "ad ads adsense advert advertisement adverts breadcrumb breadcrumbs comment commentlist comments cookie cookies disqus footer gdpr "
+    "masthead menu nav navbar navigation newsletter pagination paywall popup promo sidebar sponsor sponsored sponsors".split())
+#: Words that mark the same if they stand alone or beside words of layout.
+WEAK = frozenset(
+    "alert alertdialog banner complementary consent contentinfo copyright dialog disclaimer hidden login modal notice notification overlay "
+    "pager promoted promotion recommended related replies respond responses search share sharing signup skip social subscribe "
+    "subscription tags toolbar widget".split())
+#: Words of layout, which say nothing of what an element is.
+PLAIN = frozenset(
+    "area bar block bottom box byline card center column container content fixed form global group header inner item items left link "
+    "links list main message modal outer page panel post posts primary region right row secondary section site sticky text top unit "
+    "wrap wrapper".split())
 #: An open element on the left is closed by a start tag on the right.
 CLOSES = {
     "p": BLOCKS - {"caption", "optgroup", "option", "tbody", "tfoot", "thead", "tr"} | {"td", "th"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
-    "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
+    "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": (BLOCKS | {"body"}) - {"title"}}
 #: Elements that can be the article where there is no article or main element.
 REGIONS = frozenset("#page body center div html section td".split())
 #: How far up an open element is looked for.
 FENCES = frozenset("article aside body button div footer form header html main nav section table ul ol dl td th template".split())
 
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+COMMENT_END = re.compile(r"--!?>")
 
 #: A class that begins so tells of a page's layout, not of what an element is.
 LAYOUT = frozenset("has is no with without".split())
+#: What an element's names or tag say of it: content, doubtful, to be judged as a form, or no content.
+CONTENT, DOUBTFUL, FORM, OUT = range(4)
+
 
+def marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """CONTENT, DOUBTFUL or OUT by an element's attributes.
 
-def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes say that it isn't content. For a holder a class must be one such word alone, or
-    begin with comment, so that its other properties don't count against it."""
+    A name in a class, id or role marks an element if it begins with a word of MARKS, or has one of WEAK and else only
+    words of PLAIN. One of WEAK beside other words leaves doubt: what such an element holds decides. For a holder a
+    class must be one such word alone, or begin with comment, so that its other properties don't count against it.
+    """
+    said = CONTENT
     for name, value in attrs:
         if name in ("class", "id", "role"):
             for part in (value or "").split():
                 words = [w.lower() for w in WORD.findall(part)]
+                if not words or words[0] in LAYOUT:
+                    continue
                 if tag in HOLDERS:
-                    words = words if len(words) == 1 or words[:1] == ["comment"] else []
-                if words and words[0] not in LAYOUT and not MARKS.isdisjoint(words):
-                    return True
+                    if len(words) == 1 and words[0] in MARKS | WEAK or words[0] == "comment":
+                        return OUT
+                elif words[0] in MARKS or not WEAK.isdisjoint(words) and WEAK.union(MARKS, PLAIN).issuperset(words):
+                    return OUT
+                elif not WEAK.isdisjoint(words):
+                    said = DOUBTFUL
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return OUT
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return OUT
+    return said
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: one for each block, with its text, its tags and the element that holds it."""
+    """Turns parser events into lines: one for each block, with its text, its tags and the element that holds it.
+
+    What is no content by its tag or names gives no line. Every event costs a bounded time on average, however deep
+    elements are nested.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # (tag, element, dropped)
-        self.parent, self.kind = [-1], ["#page"]
-        self.lines: list[tuple[str, int, int, bool]] = []  # (text, tags, element, dropped)
+        self.open: list[tuple[str, int, bool, bool]] = []  # (tag, element, begins a block, silent)
+        self.fences: list[int] = []  # places in open of elements that start tags can end, or that stop the search
+        self.held = Counter()  # open elements of each tag
+        self.silent = 0
+        self.parent, self.kind, self.said = [-1], ["#page"], [CONTENT]
+        self.lines: list[tuple[str, int, int]] = []  # (text, tags, element)
         self.text: list[str] = []
         self.tags = 0
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            tag, element, dropped = self.open[-1] if self.open else ("", 0, False)
-            self.lines.append((text, self.tags, element, dropped))
+            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
         self.text, self.tags = [], 0
 
     def _leave(self, depth: int):
-        if any(t in BLOCKS or t in ("td", "th") or t in DROPPED for t, _, _ in self.open[depth:]):
+        if any(block for _, _, block, _ in self.open[depth:]):
             self.flush()
+        for tag, _, _, silent in self.open[depth:]:
+            self.held[tag] -= 1
+            self.silent -= silent
         del self.open[depth:]
+        while self.fences and self.fences[-1] >= depth:
+            self.fences.pop()
 
     def _closed_by(self, tag) -> int:
         """Place of the open element that a start tag ends, or -1."""
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in reversed(self.fences):
             t = self.open[i][0]
             if tag in CLOSES.get(t, ()):
                 return i
@@ -99,47 +129,65 @@ class Lines(HTMLParser):
         return -1
 
     def handle_starttag(self, tag, attrs):
-        if tag == "br" or tag in ("td", "th"):
-            self.text.append(" ")
+        cell = tag in ("td", "th")
         while (i := self._closed_by(tag)) >= 0:
-            if tag in ("td", "th") and self.open[i][0] in ("td", "th"):
-                del self.open[i:]
-            else:
-                self._leave(i)
-        dropped = bool(self.open) and self.open[-1][2]
-        inside = any(self.kind[e] in HOLDERS for _, e, _ in self.open) if tag in ("header", "h1") else False
-        out = dropped or tag in DROPPED or (tag == "header" and not inside) or (tag not in ("html", "body") and bool(attrs) and marked(tag, attrs))
-        if tag in BLOCKS or out != dropped:
+            self._leave(i)
+        if tag == "br" or cell:
+            self.handle_data(" ")
+        inside = self.held["article"] + self.held["main"] > 0
+        said = OUT if tag in DROPPED or tag == "header" and not inside or tag == "form" and inside else FORM if tag == "form" else CONTENT
+        if attrs and said < OUT and tag not in ("html", "body"):
+            said = max(said, marked(tag, attrs))
+        block = tag in BLOCKS
+        if said == DOUBTFUL and not block:
+            said = CONTENT
+        if block:
             self.flush()
-        self.tags += 1
+        if not self.silent:
+            self.tags += said < OUT
         if tag in VOID:
-            if tag in BLOCKS:
+            if block:
                 self.flush()
             return
         self.parent.append(self.open[-1][1] if self.open else 0)
         self.kind.append(tag)
-        self.open.append((tag, len(self.kind) - 1, out))
+        self.said.append(said)
+        if tag in CLOSES or tag in FENCES:
+            self.fences.append(len(self.open))
+        self.open.append((tag, len(self.kind) - 1, block, said == OUT))
+        self.held[tag] += 1
+        self.silent += said == OUT
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "iframe"):
+        if tag in ("svg", "iframe"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.tags += 1
-                before = self.open[i - 1][2] if i else False
-                if tag in BLOCKS or self.open[-1][2] != before or len(self.open) > i + 1:
-                    self._leave(i)
-                else:
-                    if tag in ("td", "th"):
-                        self.text.append(" ")
-                    del self.open[i:]
-                return
+        if not self.held[tag]:
+            return
+        i = len(self.open) - 1
+        while self.open[i][0] != tag:
+            i -= 1
+        if not self.silent:
+            self.tags += 1
+        self._leave(i)
+        if tag in ("td", "th"):
+            self.handle_data(" ")
 
     def handle_data(self, data):
-        self.text.append(data)
+        if not self.silent:
+            self.text.append(data)
+
+    def parse_marked_section(self, i, report=1):
+        """A section in <![ ... > is a comment, as browsers take it; one without an end is the rest of the page."""
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i) + 1
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -167,6 +215,28 @@ def content_lines(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return s >= level
 
 
+def _subtrees(own: list[int], parent: list[int]) -> list[int]:
+    """Sums over each element and all below it; an element comes after its parent."""
+    total = list(own)
+    for e in range(len(own) - 1, 0, -1):
+        total[parent[e]] += total[e]
+    return total
+
+
+def _region(p: Lines, weight: list[int]) -> int:
+    """The element that holds the content lines, by their length in each subtree.
+
+    An article or main element with a quarter of it or more, the one with most; else the innermost element that holds
+    85 % of it.
+    """
+    holders = [e for e, kind in enumerate(p.kind) if kind in HOLDERS and 4 * weight[e] >= weight[0] > 0]
+    if holders:
+        best = max(holders, key=lambda e: (weight[e], p.kind[e] == "article", -e))
+        inner = [e for e in holders if p.kind[e] == "article" and 2 * weight[e] > weight[best]]
+        return max(inner, key=lambda e: weight[e]) if inner and p.kind[best] == "main" else best
+    return max((e for e in range(len(p.kind)) if weight[e] >= 0.85 * weight[0] > 0 and p.kind[e] in REGIONS), default=0)
+
+
 def extract(html: str | None) -> str:
     """Main text of one page: its blocks, white space as one space each, joined by empty lines."""
     if not html:
@@ -175,43 +245,40 @@ def extract(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.flush()
-    lines = p.lines
-    if not lines:
-        return ""
-    ratio = np.array([len(t) / max(1, n) for t, n, _, _ in lines])
+    lines, n = p.lines, len(p.kind)
+    ratio = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
     dense = content_lines(ratio)
-    weight, held = [0] * len(p.kind), 0
-    for (text, _, element, dropped), up in zip(lines, dense.tolist()):
-        if text and not dropped:
-            size = len(text) if up else len(text) // 8 + 1
-            held += size
-            while element >= 0:
-                weight[element] += size
-                element = p.parent[element]
-    if not held:
-        return ""
-    holders = [e for e, kind in enumerate(p.kind) if kind in HOLDERS and weight[e]]
-    if holders:
-        best = max(holders, key=lambda e: (weight[e], p.kind[e] == "article", -e))
-        inner = [e for e in holders if p.kind[e] == "article" and weight[e] > 0.5 * weight[best]]
-        best = max(inner, key=lambda e: weight[e]) if inner and p.kind[best] == "main" else best
-    else:
-        best = max((e for e in range(len(p.kind)) if weight[e] >= 0.85 * held and p.kind[e] in REGIONS), default=0)
-    under = [False] * len(p.kind)
+    alone = dense & (ratio >= ratio[dense].mean() / 4) if dense.any() else dense  # not by its neighbours only
+
+    def weigh(lit, gone):
+        own = [0] * n
+        for (text, _, e), up in zip(lines, lit.tolist()):
+            if up and not gone[e]:
+                own[e] += len(text)
+        return _subtrees(own, p.parent)
+
+    gone = [False] * n
+    weight, proven = weigh(dense, gone), weigh(alone, gone)
+    for e in range(1, n):
+        empty = p.said[e] == DOUBTFUL and not proven[e] or p.said[e] == FORM and 2 * weight[e] <= weight[0]
+        gone[e] = gone[p.parent[e]] or empty
+    best, under = _region(p, weigh(dense, gone)), [False] * n
     under[best] = True
-    for e in range(best + 1, len(p.kind)):
+    for e in range(best + 1, n):
         under[e] = under[p.parent[e]]
-    return "\n\n".join(t for t, _, e, dropped in lines if t and not dropped and under[e])
+    return "\n\n".join(t for t, _, e in lines if t and under[e] and not gone[e])
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``, from the whole html.
 
-    Every block is a line with a text-to-tag ratio. Ratios are smoothed and split into two clusters; the upper one
-    marks content regions. The element that holds most of them (an article or main element where there is one) is the
-    article, and all its blocks are kept but for menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles and reader comments, known by element, role, class or id. Null or empty html gives ''. Repeated rows give
-    equal results, an empty table an empty one; other columns are ignored. No shuffle.
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element,
+    role, class or id, are left out first. Every other block is a line with a text-to-tag ratio. Ratios are smoothed
+    and split into two clusters; the lines of the upper one are content. They decide which element is the article, of
+    which all blocks are kept; whether a block with a doubtful name is content; and whether a form is a wrapper of the
+    page (it holds more than half of the content). Null or empty html gives ''; a very long or deeply nested page takes
+    time in proportion to its length. Repeated rows give equal results, an empty table an empty one; other columns are
+    ignored. No shuffle.
     """
 
     def run(batches):

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,11 @@ LONG = "A long paragraph with many words that belongs to the article and goes on
     (f"<header>Site</header><article><header><h1>T</h1></header><p>{LONG}</p><p hidden>no</p><p style='display: none'>no</p></article>", f"T\n\n{LONG}"),
     (f"<div class='content has-sidebar'><article class='post comments-open'><p>{LONG}</p></article><article class='comment'><p>{LONG} Me too.</p></article></div>", LONG),
     (f"<!-- c --><body><p>{LONG}</b></i></p></div><p>{LONG}", f"{LONG}\n\n{LONG}"),
+    (f"<form action=x><div><nav>n</nav><h1>T</h1><p>{LONG}</p><input><button>Go</button></div></form>", f"T\n\n{LONG}"),
+    (f"<body><h1>T</h1><p class='tags-explained'>{LONG}</p><p>{LONG}</p><p class='tags-cloud'>a b</p></body>", f"T\n\n{LONG}\n\n{LONG}"),
+    (f"<div><div id='search-engines'><h2>How they work</h2><p>{LONG}</p></div><p>{LONG}</p></div>", f"How they work\n\n{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG} <span class='hidden'>not this</span> but this</p></article>", f"{LONG} but this"),
+    (f"<![foo[b]]><article><p>{LONG}</p><![CDATA[x]]></article><![ x", LONG), (f"<p>{LONG}</p><!-- never closed <p>x</p>", LONG), (f"<head><title>t</title><p>{LONG}", LONG),
 ])
 def test_page_shapes(page, want):
     assert pages.extract(page) == want
@@ -80,6 +86,29 @@ def test_odd_pages(spark):
     assert pages.extract_pages(spark.createDataFrame([], schema)).count() == 0
 
 
+UNMARKED = "<body><div>" + "".join(f"<p><a href=/{i}>to place {i}</a></p>" for i in range(12)) + f"</div><div><h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div><p><a>x</a></p><p><a>y</a></p></div></body>"
+
+
+def test_clusters_decide(monkeypatch):
+    """On a page without any mark the content lines find the article; with all lines, or none, as content it's lost."""
+    want = f"Title\n\n{LONG}\n\nShort.\n\n{LONG}"
+    assert pages.extract(UNMARKED) == want
+    for flat in (np.ones, np.zeros):
+        monkeypatch.setattr(pages, "content_lines", lambda ratio, flat=flat: flat(len(ratio), bool))
+        assert pages.extract(UNMARKED) != want
+
+
+def test_time_grows_with_length():
+    def took(page):
+        began = time.perf_counter()
+        pages.extract(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<span>" * n + "</i>" * n, lambda n: "<b><p>x" * n, lambda n: "<![ x" * n, lambda n: "<!--" * n, lambda n: "<header><h1>a" * n):
+        took(make(2000))
+        assert took(make(40_000)) < 25 * max(0.05, took(make(4000)))
+
+
 def test_smoothing_and_clusters():
     x = np.array([1.0, 1, 1, 90, 100, 95, 1, 1])
     s = pages.smooth(x, 1.0)
