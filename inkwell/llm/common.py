@@ -1,4 +1,4 @@
-"""Shared helpers: tables in the shared scratch folder and connected components."""
+"""Shared helpers: tables in the shared scratch folder, row keys and connected components."""
 
 from __future__ import annotations
 
@@ -17,9 +17,12 @@ SMALL_GRAPH = 100_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """Shared folder named by ``spark.checkpoint.dir``. Where that is unset, a local master gets a fresh local folder;
+    a cluster gets an error, since its machines share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="inkwell-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,6 +51,38 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two long columns that tell its rows apart, and their names.
+
+    Rows of a Parquet scan are named by a hash of their file and their place in it, so nothing is copied. Any other
+    table is written once with a number in each row, since numbers given on the fly could change when a task runs
+    again.
+    """
+    file, place = fresh(df, "row_file", "row_place")
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0].lower():
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)), [file, place]
+    return materialize(df.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(place))), [file, place]
+
+
+def without_rows(df: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a keyed table whose key isn't in ``gone``, without the key. Keys are unique, so no key is hot."""
+    return df.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns if c not in key])
+
+
 def tidy(run):
     """A function over record batches that hands back memory at the end of its partition.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,14 @@ LEVELS = ("domain", "lang", "source")
 DOMAINS = 4
 
 
-def with_leaf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tree columns: source, lang (null: '') and the domain, a fixed grouping of sources by the first byte of their MD5."""
+def with_leaf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Columns to carry and tree columns: source, lang (null: '') and the domain, a fixed grouping of sources by the first byte of their MD5."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     domain = F.conv(F.substring(F.md5(text("source")), 1, 2), 16, 10).cast("int") % DOMAINS
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.concat(F.lit("d"), domain.cast("string")).alias("domain"),
-        text("lang").alias("lang"), text("source").alias("source"), tokens.alias("tokens"))
+        text("lang").alias("lang"), text("source").alias("source"), tokens.alias("tokens"), *carry)
 
 
 def _weigh(nodes: DataFrame, level: str, weights: dict[str, int], default: int) -> DataFrame:
@@ -70,7 +72,7 @@ def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: d
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 1.0, max_epochs: int = 3, seed: int = 7,
-        hex_digits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        hex_digits: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, copies): how often each document is used; zero where it isn't.
 
     A leaf with budget b and t tokens gives b div t whole epochs and, of the next epoch, the documents in order of
@@ -78,9 +80,10 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 1
     16**hex_digits ranges by the leading digits: range sums find the one range where the prefix ends, and only its
     rows are sorted, so a leaf with a third of all rows never meets in one task. Texts without tokens cost nothing
     and follow their place in the order. Null lang or source counts as ''. Repeated rows are separate documents with
-    equal keys: they are used together or not at all. An empty table gives an empty table.
+    equal keys: they are used together or not at all. An empty table gives an empty table. The columns ``carry`` of
+    ``docs`` come last; they must not have the names of others.
     """
-    rows = materialize(with_leaf(docs, id_col, text_col))  # texts are read and counted once
+    rows = materialize(with_leaf(docs, id_col, text_col, carry))  # texts are read and counted once
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, fraction, max_epochs, weights).join(leaves.withColumnRenamed("tokens", "leaf_tokens"), list(LEVELS))
     full = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(F.lit(0)).cast("long")
@@ -93,8 +96,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 1
     sums = sums.select(*LEVELS, "span", (F.col("rest") - (upto - F.col("t"))).alias("room"), "t")
     state = F.when(F.col("room") >= F.col("t"), 2).when(F.col("room") >= 0, 1).otherwise(0)
     placed = ranked.join(sums.select(*LEVELS, "span", "room", state.alias("state")), [*LEVELS, "span"])
-    out = [*LEVELS, "doc_id", "tokens", "epochs"]
+    out = [*LEVELS, "doc_id", "tokens", "epochs", *carry]
     whole = placed.where("state <> 1").select(*out, F.when(F.col("state") == 2, 1).otherwise(0).alias("more"))
     run = F.sum("tokens").over(Window.partitionBy(*LEVELS, "span").orderBy("ord"))
     cut = placed.where("state = 1").select(*out, F.when(run <= F.col("room"), 1).otherwise(0).alias("more"))
-    return whole.union(cut).select("doc_id", *LEVELS, "tokens", (F.col("epochs") + F.col("more")).cast("int").alias("copies"))
+    return whole.union(cut).select("doc_id", *LEVELS, "tokens", (F.col("epochs") + F.col("more")).cast("int").alias("copies"), *carry)

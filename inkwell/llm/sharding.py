@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SLOTS = 65537
 #: Largest table that is broadcast: slots are at most this many rows of two ints.
 MAX_SLOTS = 1 << 20
@@ -61,10 +63,11 @@ def assign_shards(df: DataFrame, shards: tuple[str, ...], key: str = "doc_id", s
     broadcast of ``slots`` rows (at most MAX_SLOTS): no shuffle.
     """
     look = table_frame(df.sparkSession, tuple(shards), slots)
-    look = look.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    kept = [c for c in df.columns if c != into]
-    slotted = df.withColumn("__slot", slot_of(F.col(key), slots))
-    return slotted.join(F.broadcast(look), "__slot", "left").select(*[F.col(f"`{c}`") for c in kept], F.col("__shard").alias(into))
+    slot, shard = fresh(df, "slot_of_key", "shard_of_slot")
+    look = look.select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    kept = [c for c in df.columns if c.lower() != into.lower()]
+    slotted = df.withColumn(slot, slot_of(F.col(key), slots))
+    return slotted.join(F.broadcast(look), slot, "left").select(*[F.col(f"`{c}`") for c in kept], F.col(shard).alias(into))
 
 
 def write_shards(df: DataFrame, path: str, shards: tuple[str, ...], key: str = "doc_id") -> None:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, materialize, slices, tidy
 
@@ -363,9 +364,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     where that leaves doubt or a set is small. Under a key of more than PAIR_LIMIT members each is compared with PIVOTS
     pivots first, then all that are still in different groups with each other, in pieces. What one round joins is no pair in the next.
 
-    Null and wordless texts are copies of each other; shorter texts are one shingle. Rows with a null id are left
-    out; rows that share an id are one document. An empty table gives an empty table; other columns are ignored.
+    Null and wordless texts are copies of each other; shorter texts are one shingle. The id is a long, or a struct of
+    columns without nulls, ordered by its fields. Rows with a null id are left out; rows that share an id are one
+    document. An empty table gives an empty table; other columns are ignored.
     """
+    kind = docs.schema[id_col].dataType
+    kind = kind.simpleString() if isinstance(kind, T.StructType) else "long"
 
     def sketch(batches):
         frequent = known.value
@@ -377,9 +381,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keys = _long_lists([_prefix(h, frequent) for h in sets])
             yield pa.RecordBatch.from_arrays([b.column(0), node, size, fp, keys], ["doc_id", "node", "size", "fp", "keys"])
 
-    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
     known = docs.sparkSession.sparkContext.broadcast(_frequent(src))
-    marked = materialize(src.mapInArrow(tidy(sketch), "doc_id long, node long, size int, fp array<long>, keys array<long>"))
+    marked = materialize(src.mapInArrow(tidy(sketch), f"doc_id {kind}, node long, size int, fp array<long>, keys array<long>"))
     nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("size", "fp", "keys")]))
     known.destroy()
     groups = nodes.select("node", F.col("node").alias("root"))
