@@ -18,7 +18,8 @@ except ImportError:  # before Python 3.11
     import sre_parse as parser
 
 #: (kind, pattern, group whose length counts, least length), on UTF-8 bytes. The first three are the base kinds.
-#: A run of 16 hex digits or more is what is left of all runs when shorter ones are dropped.
+#: A run of 16 hex digits or more is what is left of all runs when shorter ones are dropped. No pattern reads a run of
+#: characters again from within: what precedes a run is none of its characters, so time grows with the text's length.
 RULES = (
     ("assign", rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     ("access", rb"AKIA[A-Z0-9]+", 0, 18),
@@ -26,7 +27,7 @@ RULES = (
     ("github", rb"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", rb"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("google", rb"AIza[A-Za-z0-9_-]{35}", 0, 39),
-    ("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    ("jwt", rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("private_key", rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 27),
     ("url_login", rb"://[^\s/:@]+:[^\s/@]+@", 0, 7),
     ("bearer", rb"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{20,}", 0, 27),
@@ -178,8 +179,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The rules' matches are leftmost and non-overlapping for each rule; those too short are dropped. Texts are taken in
     blocks; each block has its own trigram index, a rule's query intersects its postings, and only candidates are
-    searched. A rule without mandatory trigrams searches every text. Null is the empty text. Repeated rows give equal
-    results, an empty table an empty one; other columns are ignored. No shuffle.
+    searched. A rule without mandatory trigrams searches every text. Null is the empty text; a very long text is a block
+    of its own and is searched whole. Repeated rows give equal results, an empty table an empty one; other columns are ignored. No shuffle.
     """
 
     def run(batches):

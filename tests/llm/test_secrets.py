@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from inkwell.llm import secrets
 
@@ -45,6 +46,31 @@ def test_queries_hold_for_every_match():
     assert rules.scan([b"nothing here", b""]) == [[], []]
 
 
+def test_added_kinds_at_their_edges():
+    """Just long enough and just too short; with something before and after."""
+    rules = secrets.Rules()
+    kinds = lambda text: [(secrets.RULES[k][0], a, z) for a, k, z in rules.scan([text])[0] if k >= secrets.BASE]
+    a = lambda n: b"g" * n
+    for text, want in (
+            (b"ghp_" + a(36), ("github", 0, 40)), (b"ghp_" + a(35), None), (b"ghx_" + a(40), None), (b"x ghs_" + a(36) + b" y", ("github", 2, 42)),
+            (b"xoxb-" + a(10), ("slack", 0, 15)), (b"xoxb-" + a(9), None), (b"xoxz-" + a(20), None),
+            (b"AIza" + a(35), ("google", 0, 39)), (b"AIza" + a(34), None), (b"AIza" + a(50), ("google", 0, 39)),
+            (b"eyJ" + a(8) + b".eyJ" + a(8) + b"." + a(8), ("jwt", 0, 32)), (b"eyJ" + a(8) + b".eyJ" + a(8) + b"." + a(7), None), (b"eyJ" + a(7) + b".eyJ" + a(8) + b"." + a(8), None),
+            (b"xeyJ" + a(8) + b".eyJ" + a(8) + b"." + a(8), None), (b"eyJ" + a(9) + b".eyJ" + a(9) + b".eyJ" + a(9) + b"." + a(8), ("jwt", 0, 38)),
+            (b"-----BEGIN PRIVATE KEY-----", ("private_key", 0, 27)), (b"-----BEGIN EC PRIVATE KEY-----", ("private_key", 0, 30)), (b"-----BEGIN PUBLIC KEY-----", None),
+            (b"ftp://me:pw@h", ("url_login", 3, 12)), (b"ftp://me@h", None), (b"ftp://h/me:pw@x", None),
+            (b"Bearer " + a(20), ("bearer", 0, 27)), (b"Bearer " + a(19), None), (b"BEARER   " + a(20), ("bearer", 0, 29))):
+        assert kinds(text) == ([want] if want else []), text
+
+
+def test_time_grows_with_length():
+    rules = secrets.Rules()
+    for unit in (b"eyJ", b"eyJabcdefgh.", b"ghp_", b"xoxb-", b"AIza", b"://a", b"://a:", b"bearer ", b"token ", b"-----BEGIN A ", b"A ", b"password=", b"AKIA", b"0a"):
+        began = time.perf_counter()
+        rules.scan([unit * (2_000_000 // len(unit))])
+        assert time.perf_counter() - began < 5, unit
+
+
 def test_redact():
     assert secrets.redact("a bcd e", [{"start": 2, "end": 5}, {"start": 3, "end": 4}]) == "a [secret] e"
     assert secrets.redact(None, []) is None
