@@ -24,6 +24,8 @@ BANDS = ((1, 5), (6, 63))
 #: MCUs in a row at most: an image is a strip of this many, or several rows of them.
 ROW = 4095
 MAX_EOBRUN = 32767
+#: Bytes of tensors in a record batch, about.
+PART_BYTES = 16 << 20
 
 #: Fixed values of the JPEG standard: the zigzag order, row by row.
 ZIGZAG = np.array([
@@ -461,32 +463,48 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload, media, rgb_shape, feature) of media made by ``store_texts``, from the stored bytes alone.
+    """(doc_id, n_bytes, payload, media, rgb_shape, rgb, feature) of media made by ``store_texts``, from the stored bytes alone.
 
-    Tensors are one image at a time; ``feature`` is taken from the full-resolution RGB tensor.
+    ``rgb`` holds the full-resolution tensor, height x width x 3 unsigned bytes of shape ``rgb_shape``; ``tensor``
+    gives it as an array. ``feature`` is taken from it. One image at a time is decoded; a part of a batch ends when its
+    tensors have PART_BYTES.
     """
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.string())
+    names = ["doc_id", "n_bytes", "payload", "media", "rgb_shape", "rgb", "feature"]
+
+    def part(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part, rows = b.slice(i, 256), []
-                for doc_id, media in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    pic = decode(media)
-                    rgb = to_rgb(pic)
-                    rows.append((doc_id, int(pic.comment.removeprefix(b"n=")), payload_of(pic), media, list(rgb.shape), feature_of(rgb)))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.string())
-                names = ["doc_id", "n_bytes", "payload", "media", "rgb_shape", "feature"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            rows, held = [], 0
+            for doc_id, media in zip(b.column(0), b.column(1)):
+                media = media.as_py()
+                pic = decode(media)
+                rgb = to_rgb(pic)
+                rows.append((doc_id.as_py(), int(pic.comment.removeprefix(b"n=")), payload_of(pic), media, list(rgb.shape), rgb.tobytes(), feature_of(rgb)))
+                held += rgb.nbytes
+                if held >= PART_BYTES:
+                    yield part(rows)
+                    rows, held = [], 0
+            if rows:
+                yield part(rows)
+
+    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload binary, media binary, rgb_shape array<int>, rgb binary, feature string")
+
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload binary, media binary, rgb_shape array<int>, feature string")
+def tensor(rgb: bytes, shape) -> np.ndarray:
+    """The stored tensor as an array."""
+    return np.frombuffer(rgb, np.uint8).reshape(tuple(shape))
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sizes, digests and feature of every text's media, all from the bytes as read back.
 
     Each text is encoded, decoded from the stored bytes alone and digested in one task, so that no media cross a
-    shuffle. Equal texts give equal values; repeated rows stay; an empty table gives an empty table; other columns
-    are ignored.
+    shuffle. ``rgb_sha256`` is that of the full-resolution tensor, which ``read_media`` returns as a column. Null is the
+    empty text. Equal texts give equal values; repeated rows stay; an empty table gives an empty table; other columns
+    are ignored. A very long text is one picture and takes about thirty times its size in memory while it's coded.
     """
 
     def run(batches):
@@ -495,13 +513,13 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 media = encode(padded(text or b""), len(text or b""))
                 pic = decode(media)
-                back = payload_of(pic)
+                back, rgb = payload_of(pic), to_rgb(pic)
                 rows.append((doc_id, int(pic.comment.removeprefix(b"n=")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]),
-                             len(media), hashlib.sha256(media).hexdigest(), feature_of(to_rgb(pic))))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                             len(media), hashlib.sha256(media).hexdigest(), feature_of(rgb), hashlib.sha256(rgb).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rgb_sha256"]
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return src.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rgb_sha256 string")

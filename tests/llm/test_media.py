@@ -175,5 +175,9 @@ def test_query(spark, odd, none, documents):
     for r in got:
         assert by.setdefault(r.payload_sha256, r[5:]) == r[5:]
     assert media.media_digest(none).count() == 0
-    back = media.read_media(media.store_texts(odd)).collect()
-    assert sorted(r.payload[:r.n_bytes] for r in back) == sorted((r.text or "").encode() for r in odd.collect())
+    back = media.read_media(media.store_texts(rows)).collect()
+    shas = {(str(r.doc_id), r.rgb_sha256) for r in got}
+    for r in back:  # the stored tensors, read back
+        rgb = media.tensor(r.rgb, r.rgb_shape)
+        assert np.array_equal(rgb, media.to_rgb(media.decode(r.media))) and (str(r.doc_id), hashlib.sha256(rgb.tobytes()).hexdigest()) in shas
+    assert sorted(r.payload[:r.n_bytes] for r in back) == sorted((r.text or "").encode() for r in rows.collect())
