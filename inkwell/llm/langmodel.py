@@ -266,6 +266,29 @@ def mass(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 2.0 ** ((code.astype(np.float64) - 1) / COUNT_STEPS) - DISCOUNT, 0.0)
 
 
+def prob_code(p: np.ndarray) -> np.ndarray:
+    """Quantised logarithm of a probability."""
+    with np.errstate(divide="ignore"):
+        return np.minimum(65535, np.rint(-PROB_STEPS * np.log10(p))).astype(np.uint16)
+
+
+def _bigrams(row: dict):
+    """Of a batch: its tokens, each one's document, the distinct bigrams as context * n_words + word, rising, the order
+    that sorts all bigrams, and where in it each distinct one begins."""
+    t = _unpack(row["tokens"])[0].astype(np.int64)
+    size = np.array(row["size"], np.int64)
+    before = np.append(row["end"], t[:-1])
+    pair = before * row["n_words"] + t
+    order = np.argsort(pair, kind="stable")
+    begins = np.flatnonzero(np.diff(pair[order], prepend=-1))
+    return t, np.repeat(np.arange(len(size)), size), pair[order[begins]], order, begins
+
+
+def _shards_of(ctx: np.ndarray, word: np.ndarray, home: np.ndarray, split: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each bigram: its context's, or one for each word after it if the context has many counts."""
+    return np.where(split[ctx], (home[ctx] + home[word] + 1) % shards, home[ctx])
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -275,13 +298,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     unseen words share DISCOUNT times the seen words. The probabilities are proper: over seen words and one unseen word
     they sum to one in every context.
 
-    Texts are tokenized once, in batches. Three shuffles of compressed blobs follow: words to ranges of hashes and
-    their counts back, bigrams to shards by context, and sums back to their batch. A shard's bigrams of training
-    texts make a trie, which all its bigrams are looked up in; a context with many counts is split by word. So no table
-    grows on the driver or in a broadcast, and a shard holds a bounded number of bigrams. Words are known by 64-bit
-    hashes. Null is the empty text, whose only token is the end; a null id is text ''. Repeated rows count and are
-    scored as they come; without training texts base_score follows its formula and score is 0; an empty table gives
-    an empty table; other columns are ignored.
+    Texts are tokenized once, in batches. Three exchanges of compressed blobs follow: words to ranges of hashes and
+    their counts back, distinct bigrams to shards by context, and quantised probabilities back to their batch, which
+    sums them over its tokens. A shard's bigrams of training texts make a trie, which all its bigrams are looked up in.
+    A batch asks once for a bigram, however often it has it, and a context with many counts is split by word, so that
+    no word and no pair of words is hot. No table grows on the driver or in a broadcast, and a shard holds a bounded
+    number of bigrams. Words are known by 64-bit hashes. Null is the empty text, whose only token is the end; a null id
+    is text ''; a very long text is a batch of its own. Repeated rows count and are scored as they come; without
+    training texts base_score follows its formula and score is 0; an empty table gives an empty table; other columns
+    are ignored.
     """
     made = materialize(tokenize(docs, id_col, text_col))
     words, tokens = made.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
@@ -302,9 +327,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return np.where(code > 0, mass(code) * scale, unseen)
 
     def grams(left, right):
-        out = []
         row = left.to_pylist()[0]
-        width, end = row["n_words"], row["end"]
+        width, blobs = row["n_words"], []
         n, ident = np.zeros(width, np.int64), np.zeros(width, np.int64)
         at = 0
         for shard, blob in sorted(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist())):
@@ -313,48 +337,39 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             n[at:at + k], ident[at:at + k] = count, np.cumsum(place, dtype=np.int64) + first[shard]
             at += k
         size, held = np.array(row["size"], np.int64), np.array(row["held"], bool)
-        t = _unpack(row["tokens"])[0].astype(np.int64)
-        doc = np.repeat(np.arange(len(size)), size)
+        t, doc, pair, order, begins = _bigrams(row)
         known = np.bincount(doc, n[t] > 0, len(size)).astype(np.int64)
         base = np.bincount(doc, np.log10(n[t] + 0.5), len(size)) - size * norm
-        out.append((int(row["batch"] % gram_shards), row["batch"], 0, _pack(np.array([x or 0 for x in row["ids"]], np.int64), np.array([x is None for x in row["ids"]]), held, size, known, base)))
-        before = np.empty_like(t)
-        before[0], before[1:] = end, t[:-1]
-        pair = before * width + t
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        begins = np.flatnonzero(np.diff(pair, prepend=-1))
-        where = doc[order]
-        train = np.add.reduceat((~held)[where].astype(np.int64), begins)
-        times = np.diff(np.append(begins, len(pair)))
-        ctx, word = pair[begins] // width, pair[begins] % width
-        of = ident.astype(np.uint64)
-        spread = of[ctx] ^ np.where(n[ctx] > heavy, of[word] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-        shard = ((spread * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % gram_shards
+        home = ((ident.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % gram_shards
+        split = n > heavy
+        ids = np.array([x or 0 for x in row["ids"]], np.int64), np.array([x is None for x in row["ids"]])
+        blobs.append((int(row["batch"] % gram_shards), 0, _pack(*ids, held, known, base, _least(home), split)))
+        train = np.add.reduceat((~held)[doc[order]].astype(np.int64), begins)
+        ctx, word = pair // width, pair % width
+        shard = _shards_of(ctx, word, home, split, gram_shards)
+        by = np.argsort(shard, kind="stable")
+        ctx, word, train, shard = ctx[by], word[by], train[by], shard[by]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
         code = count_code(n)
-        for s in range(gram_shards):
-            mine = np.flatnonzero(shard == s)
-            if not len(mine):
-                continue
-            own, start = np.unique(ctx[mine], return_index=True)
-            w = ident[word[mine]]
-            step = np.diff(w, prepend=0)
-            step[start] = w[start]
-            take = np.repeat(begins[mine] - np.append(0, np.cumsum(times[mine])[:-1]), times[mine]) + np.arange(times[mine].sum())
-            out.append((s, row["batch"], 1, _pack(
-                _least(_gaps(ident[own])), _least(n[own]), _least(np.diff(np.append(start, len(mine)))), _least(step),
-                _least(code[word[mine]]), _least(train[mine]), _least(times[mine]), _least(where[take]))))
-        cols = list(zip(*out))
-        return pa.table({"shard": pa.array(cols[0], pa.int32()), "batch": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "blob": pa.array(cols[3], pa.binary())})
+        for i, j in zip(cuts, np.append(cuts[1:], len(shard))):
+            c, x = ctx[i:j], ident[word[i:j]]
+            start = np.flatnonzero(np.diff(c, prepend=-1))
+            step = np.diff(x, prepend=0)
+            step[start] = x[start]
+            blobs.append((int(shard[i]), 1, _pack(
+                _least(_gaps(ident[c[start]])), _least(n[c[start]]), _least(np.diff(np.append(start, j - i))), _least(step),
+                _least(code[word[i:j]]), _least(train[i:j]))))
+        cols = list(zip(*blobs))
+        return pa.table({"shard": pa.array(cols[0], pa.int32()), "batch": pa.array([row["batch"]] * len(blobs), pa.int64()), "kind": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary())})
 
     def look_up(table):
-        kind = table.column("kind").to_pylist()
+        kind, shard = table.column("kind").to_pylist(), table.column("shard")[0].as_py()
         rows = list(zip(table.column("batch").to_pylist(), table.column("blob").to_pylist()))
         out = [(b, 0, x) for k, (b, x) in zip(kind, rows) if not k]
         asked = [(b, _unpack(x)) for k, (b, x) in zip(kind, rows) if k]
         if asked:
             parts = []
-            for _, (own, n, succ, step, code, train, *_) in asked:
+            for _, (own, n, succ, step, code, train) in asked:
                 start = np.append(0, np.cumsum(succ, dtype=np.int64))
                 step = np.cumsum(step, dtype=np.int64)
                 back = np.append(0, step)[start[:-1]]
@@ -368,34 +383,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             begins = np.flatnonzero(np.append(True, (np.diff(c) != 0) | (np.diff(w) != 0))) if len(seen) else seen
             count = np.add.reduceat(train[order[seen]].astype(np.int64), begins) if len(seen) else seen
             one = order[seen[begins]]
-            p = (count + PRIOR * prior(code[one])) / (total[one] + PRIOR)
-            trie = Trie(c[begins], w[begins], np.minimum(65535, np.rint(-PROB_STEPS * np.log10(p))).astype(np.uint16))
+            trie = Trie(c[begins], w[begins], prob_code((count + PRIOR * prior(code[one])) / (total[one] + PRIOR)))
             got, found = trie.find(ctx, word)
-            log = np.empty(len(ctx))
-            with np.errstate(divide="ignore"):
-                log[order] = np.where(found, got / -PROB_STEPS, np.log10(PRIOR * prior(code[order]) / (total[order] + PRIOR)) if n_all else 0.0)
+            told = np.zeros(len(ctx), np.uint16)
+            if n_all:
+                told[order] = np.where(found, got, prob_code(PRIOR * prior(code[order]) / (total[order] + PRIOR)))
             at = 0
-            for b, (*_, own_code, _, times, where) in asked:
-                k = len(own_code)
-                out.append((b, 1, _pack(np.bincount(where.astype(np.int64), np.repeat(log[at:at + k], times)))))
-                at += k
-        return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
+            for b, (*_, own_code, _) in asked:
+                out.append((b, 1, _pack(told[at:at + len(own_code)])))
+                at += len(own_code)
+        return pa.table({"shard": pa.array([shard] * len(out), pa.int32()), "batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
-    def gather(table):
-        kind = table.column("kind").to_pylist()
-        blobs = [_unpack(x) for x in table.column("blob").to_pylist()]
-        ids, null, held, size, known, base = blobs[kind.index(0)]
-        score = np.zeros(len(size))
-        for (part,) in (x for k, x in zip(kind, blobs) if k):
-            score[:len(part)] += part
+    def gather(left, right):
+        row = left.to_pylist()[0]
+        rows = sorted(zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(), right.column("blob").to_pylist()), key=lambda r: r[:2])
+        ids, null, held, known, base, home, split = _unpack(rows[0][2])
+        _, doc, pair, order, begins = _bigrams(row)
+        by = np.argsort(_shards_of(pair // row["n_words"], pair % row["n_words"], home.astype(np.int64), split, gram_shards), kind="stable")
+        log = np.empty(len(pair))
+        log[by] = np.concatenate([_unpack(x)[0] for _, _, x in rows[1:]]) / -PROB_STEPS
+        size = np.array(row["size"], np.int64)
+        score = np.bincount(doc[order], np.repeat(log, np.diff(np.append(begins, len(order)))), len(size))
         ids = pa.array(ids, mask=null)
         cols = (ids, held, size, known, np.full(len(score), n_all), base, score)
         return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
-    left = made.select("batch", "ids", "held", "size", "tokens", "n_words", "end").groupBy("batch")
-    asked = left.cogroup(counted.where("batch is not null").groupBy("batch")).applyInArrow(grams, "shard int, batch long, kind int, blob binary")
-    found = asked.groupBy("shard").applyInArrow(look_up, "batch long, kind int, blob binary")
-    return found.groupBy("batch").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = made.select("batch", "ids", "held", "size", "tokens", "n_words", "end").groupBy("batch")
+    asked = texts.cogroup(counted.where("batch is not null").groupBy("batch")).applyInArrow(grams, "shard int, batch long, kind int, blob binary")
+    found = asked.groupBy("shard").applyInArrow(look_up, "shard int, batch long, kind int, blob binary")
+    again = made.select("batch", "size", "tokens", "n_words", "end").groupBy("batch")
+    return again.cogroup(found.groupBy("batch")).applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
