@@ -1,71 +1,12 @@
 """Corpus pipeline: quality classifier, near-dedup, decontamination, mixing and sharding, one after the other.
 
-Counted as part of inkwell.llm. Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
-the result is written as Parquet and read again as the next stage's docs. All but the last return the columns of
-documents. Rows with nulls, empty texts and repeated rows follow the rules in each operator's docstring.
+The stages are in inkwell.llm.pipeline. Each takes (spark, docs, sf_dir); the result is written as Parquet and read
+again as the next stage's docs.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from inkwell.llm import decontam, mixing, quality, sharding, simhash
-from inkwell.llm.common import materialize
-from inkwell.llm.queries import SHARDS, WEIGHTS
+from inkwell.llm.pipeline import STAGES, materialize, run
 
 #: No SQL twin: classifier, fingerprints and windows are not expressible there. Tests hold each stage to a brute-force version.
 ORACLE_SQL = None
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    bad = quality.score_quality(docs, _table(spark, sf_dir, "labels")).where("NOT keep").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
-
-    Rows that share an id are one document and stay together; documents without an id have no group and stay.
-    """
-    seen = simhash.near_copies(docs).where("doc_id <> group_id").select("doc_id").distinct()
-    return docs.join(seen, "doc_id", "left_anti").select(*docs.columns)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in their seeded epochs: a document used twice is two rows, one outside its leaf's prefix none."""
-    copies = mixing.mix(docs, WEIGHTS).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    used = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).where("__copies > 0").drop(copies["doc_id"])
-    return used.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
-
-
-def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard."""
-    return sharding.assign_shards(docs, SHARDS)
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("near_dedup", drop_copies),
-    ("decontamination", drop_leaks),
-    ("mixing", mix_sources),
-    ("sharding", place),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is a table in the shared scratch folder."""
-    docs = _table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "materialize", "run"]
