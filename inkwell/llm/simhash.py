@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, slices, tidy
+from .common import connected_components, discard, materialize, slices, tidy
 
 #: A block with more distinct fingerprints than this goes by shared midpoints instead of pairs.
 PAIR_LIMIT = 48
@@ -131,10 +131,8 @@ SAMPLE = 20_000
 FREQUENT = 1 << 16
 #: One key in so many is taken in the first round; what it joins isn't compared again in the second.
 FIRST = 8
-#: Members of a larger key are first compared with this many pivots of it, then those of different groups with each
-#: other, in pieces of about CROWD members.
-PIVOTS = 8
-CROWD = 1024
+#: Members of a larger key, and shingles of them, in one of the pieces that are compared with each other.
+CROWD, CROWD_SHINGLES = 4096, 1 << 20
 
 _H = np.array([[1.0]], np.float32)
 while len(_H) < 64:
@@ -222,74 +220,113 @@ def _pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.union(_met(some, lambda x, y: (F.least(x["size"], y["size"]) < SMALL) | (_apart(x["fp"], y["fp"]) <= MAYBE)))
 
 
-def _stars(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of larger keys with the key's pivots of other groups and like size."""
-    many = met.where(F.col("n") > PAIR_LIMIT).select("key", *MEMBER)
-    pivots = many.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(F.struct(*MEMBER), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
-    like = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & (5 * F.least("size", p["size"]) >= 4 * F.greatest("size", p["size"])))
-    met = many.join(pivots, "key").select("node", "root", F.explode(like).alias("p"))
-    return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("root").alias("ra"), F.col("p.root").alias("rb"))
+def _crowds(met: DataFrame, groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b, ra, rb) between groups that share a key of more than PAIR_LIMIT members, checked.
 
-
-def _crowds(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) under keys of more than PAIR_LIMIT members that are still in different groups.
-
-    Members are dealt into pieces, and each two pieces are compared whole in a task of their own.
+    Only sets of like size can be alike, so a key's members are dealt into cells by size: a member goes to the cell of
+    its own size, and as a guest to the next. A cell of many members is cut into pieces, and each two pieces are
+    compared in a task of their own, which puts out no more links than it has members.
     """
-    many = met.where(F.col("n") > PAIR_LIMIT)
-    mixed = many.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    last = F.ceil(F.col("n") / CROWD).cast("int") - 1
-    many = many.join(mixed, "key").withColumn("piece", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
-    dealt = many.select("key", *MEMBER, "piece", F.explode(F.sequence(F.lit(0), last)).alias("other")).join(nodes.select("node", "fp"), "node")
-    dealt = dealt.select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", *MEMBER, "fp")
-    return dealt.groupBy("key", "p", "q").applyInArrow(_crowd, "a long, b long, ra long, rb long")
+    many = met.where(F.col("n") > PAIR_LIMIT).join(groups, "node").select("key", "node", "root", "size")
+    cell = F.floor(F.log("size") / F.log(F.lit(1.26))).cast("int")  # sizes within 4/5 of each other are at most one apart
+    many = many.select("*", F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("home")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("home")))).alias("c")).select("key", "node", "root", "size", "c.*")
+    cells = many.groupBy("key", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("s"), F.max("home").alias("any"))
+    last = F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("s") / CROWD_SHINGLES)).cast("int") - 1
+    many = materialize(many.join(cells.where("lo < hi AND any").select("key", "cell", last.alias("last")), ["key", "cell"]))
+    told = _told(nodes, many.select("node").distinct(), texts)
+    keys = many.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("others"))
+    held = nodes.join(keys, "node").join(told, "node").select("node", "fp", "hs", "others")
+    piece = F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")
+    dealt = many.select("key", "cell", "node", "root", "size", "home", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    dealt = dealt.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).drop("other").join(held, "node")
+    return dealt.groupBy("key", "cell", "p", "q").applyInArrow(_crowd, "a long, b long, ra long, rb long")
 
 
 def _crowd(t: pa.Table) -> pa.Table:
-    """Candidate pairs of two pieces, or of one with itself. Sure ones are put out only as far as they join groups, and
-    others only between groups that those leave apart."""
+    """Links between two pieces, or within one: as few as join the groups of all alike pairs.
+
+    A pair that shares a smaller crowded key is left to that key. Fingerprints decide the clear cases and shingle sets
+    the others; pairs that earlier links have joined aren't compared.
+    """
     t = t.combine_chunks()
-    piece, node, root, size, pos = (t[c].to_numpy().astype(np.int64) for c in ("piece", *MEMBER))
-    fp = t["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1).view(np.uint64)
+    piece, node, root, size, home = (t[c].to_numpy() for c in ("piece", "node", "root", "size", "home"))
+    rows = len(node)
+
+    def flat(name):
+        x = t[name].combine_chunks()
+        return x.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))
+
+    fp = flat("fp")[0].reshape(rows, -1).view(np.uint64)
+    shingles, at = flat("hs")
+    shingles = shingles.view(np.uint64)
+    others, ends = flat("others")
+    smaller = others < t["key"][0].as_py()
+    names, column = np.unique(others[smaller], return_inverse=True)
+    shared = np.zeros((rows, len(names)), np.float32)
+    shared[np.repeat(np.arange(rows), np.diff(ends))[smaller], column] = 1
+    label = np.unique(root, return_inverse=True)[1]
     p, q = t["p"][0].as_py(), t["q"][0].as_py()
     xs, ys = np.flatnonzero(piece == p), np.flatnonzero(piece == q)
-    sure, doubt = [], []
+
+    def alike(me, ask):
+        """Which of ``ask`` are alike to ``me`` by their sets."""
+        own, n = shingles[at[me]:at[me + 1]], at[ask + 1] - at[ask]
+        out = []
+        for part in np.split(np.arange(len(ask)), np.flatnonzero(np.diff(np.cumsum(n) // CROWD_SHINGLES)) + 1):
+            begins = np.append(0, np.cumsum(n[part])[:-1])
+            asked = shingles[np.repeat(at[ask[part]] - begins, n[part]) + np.arange(n[part].sum())]
+            both = np.add.reduceat(own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] == asked, begins, dtype=np.int64)
+            out.append(5 * both >= 4 * (len(own) + n[part] - both))
+        return np.concatenate(out)
+
+    links = []
+
+    def join(me, found):
+        for one, j in zip(*np.unique(label[found], return_index=True)):
+            if one != label[me]:
+                links.append((me, found[j]))
+                label[label == one] = label[me]
+
     for i in range(0, len(xs), 32):
-        x = xs[i:i + 32, None]
-        may = (root[x] != root[ys]) & (9 * np.minimum(size[x] - pos[x], size[ys] - pos[ys]) >= 4 * (size[x] + size[ys]))
+        x = xs[i:i + 32]
+        may = (label[x][:, None] != label[ys]) & (home[x][:, None] | home[ys]) & (5 * np.minimum(size[x][:, None], size[ys]) >= 4 * np.maximum(size[x][:, None], size[ys]))
         if p == q:
-            may &= node[x] < node[ys]
+            may &= x[:, None] < ys
+        if len(names):
+            may &= shared[x] @ shared[ys].T == 0
         a, b = np.nonzero(may)
-        a, b = x[a, 0], ys[b]
-        apart, small = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64), np.minimum(size[a], size[b]) < SMALL
-        close = ~small & (apart <= SURE)
-        sure.append(np.stack([a, b], 1)[close])
-        doubt.append(np.stack([a, b], 1)[~close & (small | (apart <= MAYBE))])
-    top = {}
-
-    def find(r):
-        while top.setdefault(r, r) != r:
-            top[r] = top[top[r]]
-            r = top[r]
-        return r
-
-    kept = []
-    for pairs, join in ((sure, True), (doubt, False)):
-        for a, b in np.concatenate(pairs).tolist() if pairs else ():
-            u, v = find(root[a].item()), find(root[b].item())
-            if u != v:
-                kept.append((a, b))
-                if join:
-                    top[u] = v
-    a, b = np.array(kept, np.int64).reshape(-1, 2).T
+        b = ys[b]
+        apart, small = np.bitwise_count(fp[x[a]] ^ fp[b]).sum(1, dtype=np.int64), np.minimum(size[x[a]], size[b]) < SMALL
+        sure = ~small & (apart <= SURE)
+        doubt = ~sure & (small | (apart <= MAYBE))
+        cuts = np.searchsorted(a, np.arange(len(x) + 1))
+        for me, j, k in zip(x.tolist(), cuts, cuts[1:]):
+            join(me, b[j:k][sure[j:k]])
+            ask = b[j:k][doubt[j:k]]
+            ask = ask[label[ask] != label[me]]
+            if len(ask):
+                join(me, ask[alike(me, ask)])
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
     return pa.table([pa.array(np.ascontiguousarray(c)) for c in (node[a], node[b], root[a], root[b])], ["a", "b", "ra", "rb"])
 
 
+def _told(nodes: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, hs): the shingle sets of the nodes wanted, from their documents' texts again."""
+    ends = nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id"))
+    told = texts.join(ends.select("doc_id").distinct(), "doc_id").select("doc_id", "t").mapInArrow(tidy(_sets), "node long, hs array<long>")
+    return materialize(told.join(ends.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")))
+
+
 def _tops(edges: DataFrame) -> DataFrame:
     """(root, top): what the roots joined by edges (a, b) become."""
     return materialize(connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")))
 
 
+def _joined(tops: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups after their roots became others."""
+    return materialize(groups.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
 def _link(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Groups (node, root) after the candidate pairs: sure ones link; those neither sure nor far apart that are still
     between two groups are checked on their shingle sets, as are all pairs with a small set. ``pairs`` has the roots of
@@ -301,23 +338,18 @@ def _link(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, texts: DataFram
     near = near.select("a", "b", "ra", "rb", _apart("fa", "fb").alias("apart"), (F.least("sa", "sb") < SMALL).alias("small"))
     near = materialize(near.where(F.col("small") | (F.col("apart") <= MAYBE)))
 
-    def joined(tops, groups):
-        return materialize(groups.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-
     sure = ~F.col("small") & (F.col("apart") <= SURE)
     tops = _tops(near.where(sure).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    groups = joined(tops, groups)
+    groups = _joined(tops, groups)
     doubt = near.where(~sure)
     for c in ("ra", "rb"):
         doubt = doubt.join(tops.select(F.col("root").alias(c), F.col("top").alias("t" + c)), c, "left").withColumn(c, F.coalesce("t" + c, c))
     doubt = materialize(doubt.where("ra <> rb").select("a", "b", "ra", "rb"))
     if doubt.isEmpty():
         return groups
-    ends = nodes.join(doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("doc").alias("doc_id"))
-    told = texts.join(ends.select("doc_id").distinct(), "doc_id").mapInArrow(tidy(_sets), "node long, hs array<long>")
-    told = materialize(told.join(ends.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")))
+    told = _told(nodes, doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
     both = doubt.join(told.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(told.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
-    return joined(_tops(both.select("ra", "rb", "ha", "hb").mapInArrow(tidy(_similar), "a long, b long")), groups)
+    return _joined(_tops(both.select("ra", "rb", "ha", "hb").mapInArrow(tidy(_similar), "a long, b long")), groups)
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
@@ -361,8 +393,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from the start. Each set is keyed by the shingles of its prefix, so that any two sets alike at 0.8 share a key: no
     pair is missed by chance. Pairs that share a key and can be alike by their sizes and the key's place are held to the
     Hamming distance of wide SimHash fingerprints, with cut-offs of 5.5 standard deviations, and to their shingle sets
-    where that leaves doubt or a set is small. Under a key of more than PAIR_LIMIT members each is compared with PIVOTS
-    pivots first, then all that are still in different groups with each other, in pieces. What one round joins is no pair in the next.
+    where that leaves doubt or a set is small. What one round joins is no pair in the next. Members of a key of more
+    than PAIR_LIMIT come last and are compared in tasks, which put out only links that join groups: the time of such a
+    family of texts grows with the square of its members that nothing has joined yet, spread over tasks of CROWD by
+    CROWD members.
 
     Null and wordless texts are copies of each other; shorter texts are one shingle. The id is a long, or a struct of
     columns without nulls, ordered by its fields. Rows with a null id are left out; rows that share an id are one
@@ -389,11 +423,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = nodes.select("node", F.col("node").alias("root"))
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    first = F.pmod("key", F.lit(FIRST)) == 0
-    rooted = met.where(first | (F.col("n") > PAIR_LIMIT)).join(groups, "node")
-    groups = _link(nodes, groups, _pairs(rooted, nodes).union(_stars(rooted)), src)
-    rooted = materialize(met.where(~first | (F.col("n") > PAIR_LIMIT)).join(groups, "node"))
-    groups = _link(nodes, groups, _pairs(rooted.where(~first), nodes).union(_crowds(rooted, nodes)), src)
+    few, first = met.where(F.col("n") <= PAIR_LIMIT), F.pmod("key", F.lit(FIRST)) == 0
+    for some in (few.where(first), few.where(~first)):
+        groups = _link(nodes, groups, _pairs(some.join(groups, "node"), nodes), src)
+    if not met.where(F.col("n") > PAIR_LIMIT).isEmpty():
+        tops = _tops(_crowds(met, groups, nodes, src).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        groups = _joined(tops, groups)
+    discard(met)
     named = nodes.select("node", "doc").join(groups, "node")
     lowest = named.groupBy("root").agg(F.min("doc").alias("group_id"))
     return marked.select("doc_id", "node").join(named.join(lowest, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

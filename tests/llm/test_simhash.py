@@ -130,9 +130,9 @@ def test_no_isolated_pair_at_the_threshold_is_lost(spark):
 
 
 def test_links_inside_a_large_family(spark, monkeypatch):
-    """A chain whose neighbours only are alike, so that pivots miss most of its links."""
-    for name, x in (("PAIR_LIMIT", 2), ("PIVOTS", 1), ("CROWD", 5)):
-        monkeypatch.setattr(simhash, name, x, raising=False)
+    """A chain whose neighbours only are alike."""
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", 2)
+    monkeypatch.setattr(simhash, "CROWD", 5)
     w, rows = text_of(9, 200).split(), []
     for i in range(40):
         rows.append((i, " ".join(w)))
@@ -143,3 +143,28 @@ def test_links_inside_a_large_family(spark, monkeypatch):
     assert all(sim(i, i + 1) >= 0.8 for i in range(39)) and all(sim(i, i + 2) < 0.8 for i in range(38))
     got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0}
+
+
+def test_crowded_keys_against_brute_force(spark, monkeypatch):
+    """A family around 0.8 of many sizes, in pieces: all links and no other."""
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", 6)
+    monkeypatch.setattr(simhash, "CROWD", 40)
+    rng, rows = random.Random(6), []
+    base = [f"w{i}" for i in range(160)]
+    for n in range(260):
+        w = base[:rng.choice((30, 45, 110, 130, 160))]
+        for at in rng.sample(range(3, len(w)), rng.randint(0, max(1, len(w) // 25))):
+            w[at] = f"e{rng.randrange(10 ** 9)}"
+        rows.append((n, " ".join(w)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for a in sets for b in sets if a < b and sim(a, b) >= 0.8]
+    want = plain_components(pairs, sets)
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(pairs) > 1000 and 5 < len(set(want.values())) < 200
+
+
+def test_ids_may_be_structs(spark):
+    rows = spark.createDataFrame([((False, 5), "a b c d e f"), ((True, 0), "a b c d e f"), ((False, 2), "other words here")], "id struct<none:boolean,n:long>, text string")
+    got = {tuple(r.doc_id): tuple(r.group_id) for r in simhash.near_copies(rows, "id").collect()}
+    assert got == {(False, 5): (False, 5), (True, 0): (False, 5), (False, 2): (False, 2)}
