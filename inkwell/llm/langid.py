@@ -51,8 +51,9 @@ def ngram_counts(texts: list[bytes]) -> np.ndarray:
     pair = flat[:-1] * np.uint32(257) + flat[1:]
     two = (pair * np.uint32(2654435761)) >> np.uint32(19)
     three = ((pair[:-1] * np.uint32(263) + flat[2:]) * np.uint32(2246822519)) >> np.uint32(19)
-    n = np.bincount(row[:-1] + two, minlength=len(texts) * DIM) + np.bincount(row[:-2] + three, minlength=len(texts) * DIM)
-    return n.reshape(len(texts), DIM)
+    own = row[1:] == row[:-1]  # grams don't cross from one text to the next
+    two, three = (row[:-1] + two)[own], (row[:-2] + three)[row[2:] == row[:-2]]
+    return (np.bincount(two, minlength=len(texts) * DIM) + np.bincount(three, minlength=len(texts) * DIM)).reshape(len(texts), DIM)
 
 
 @dataclass
@@ -98,7 +99,8 @@ def folded(text: Column) -> Column:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on every row with a language. Counts are summed in tasks, then by (language, n-gram): bounded by MAX_LANGS * DIM."""
+    """Fit on every row with a language; null texts count as ''. Counts are summed in tasks, then by (language, n-gram);
+    one vector of DIM numbers for each language comes to the driver, at most MAX_LANGS of them."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -116,15 +118,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     src = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), folded(F.col(text_col)).alias("t"))
     sums = src.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = sums.limit(MAX_LANGS * DIM + 1).collect()
-    langs = sorted({r[0] for r in rows})
-    if len(langs) > MAX_LANGS:
+    by_lang = sums.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n"))  # DIM numbers at most
+    rows = by_lang.limit(MAX_LANGS + 1).toArrow()
+    if rows.num_rows > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = np.zeros((len(langs), DIM))
-    at = {lang: i for i, lang in enumerate(langs)}
-    for lang, gram, n in rows:
-        counts[at[lang], gram] = n
-    return Model.fit(langs, counts)
+    found = {lang: (gram.values.to_numpy(), n.values.to_numpy()) for lang, gram, n in zip(rows["lang"].to_pylist(), rows["gram"], rows["n"])}
+    counts = np.zeros((len(found), DIM))
+    for i, lang in enumerate(sorted(found)):
+        counts[i, found[lang][0]] = found[lang][1]
+    return Model.fit(sorted(found), counts)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

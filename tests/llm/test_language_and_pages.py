@@ -1,6 +1,8 @@
 import html
 import re
 import time
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -41,6 +43,47 @@ def test_ambiguous_text_is_flagged():
     assert (lang[0], lang[2]) == ("a", "d") and not close[0] and score[1] < score[0]
 
 
+def plain_grams(text):
+    """Counts of the hashed byte pairs and triples of one text by itself."""
+    b = [32, *(c + 32 if 65 <= c < 91 else c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode()), 32]
+    n, low = Counter(), (1 << 32) - 1
+    for i in range(len(b) - 1):
+        pair = b[i] * 257 + b[i + 1]
+        n[(pair * 2654435761 & low) >> 19] += 1
+        if i + 2 < len(b):
+            n[((pair * 263 + b[i + 2] & low) * 2246822519 & low) >> 19] += 1
+    return n
+
+
+def test_query_against_plain_decoding(spark, sf):
+    """Counts, bit classifiers, weights and loss-weighted decoding with plain loops, over the whole table."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows += [(9001, None, "en"), (9002, "12 !?", "en"), (9003, "the thing", None)]
+    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows}
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and not held[i]:
+            counts[lang].update(plain_grams(text or ""))
+    langs = sorted(counts)
+    p = np.array([[(counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.DIM) for g in range(langid.DIM)] for x in langs])
+    code = np.array([[1 if (s | 1 << (len(langs) - 1)) >> i & 1 else -1 for s in range(2 ** (len(langs) - 1) - 1)] for i in range(len(langs))])
+    w = np.stack([np.log(p[code[:, b] == 1].mean(0) / p[code[:, b] == -1].mean(0)) for b in range(code.shape[1])], 1)
+    margin = (p @ w) * code
+    typical = np.maximum(margin.mean(0), 1e-3)
+    trust = np.maximum(margin.min(0) / typical, 0.05)
+    trust, w = trust / trust.mean(), w / typical
+    got = {r.doc_id: r for r in langid.train_and_identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            want = ("und", 0.0)
+        else:
+            n = plain_grams(text)
+            m = sum(c * w[g] for g, c in n.items()) / sum(n.values())
+            loss = [(trust * np.log1p(np.exp(-4 * m * c))).sum() for c in code]
+            want = (langs[int(np.argmin(loss))], 1 / np.exp(min(loss) - np.array(loss)).sum())
+        assert (got[i].lang_pred, got[i].held_out) == (want[0], held[i]) and got[i].score == pytest.approx(want[1], abs=1e-4)
+
+
 def plain_text(page):
     article = re.search(r"<article>(.*)</article>", page, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", p))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
