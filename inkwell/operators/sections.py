@@ -12,13 +12,8 @@ from ..functions import text as T
 
 
 def titles(names) -> list[str]:
-    """Titles with plurals and colons, then all of them in lower case."""
-    out = []
-    for name in names:
-        for form in ((name[:-3], name[:-3] + ":", name[:-3] + "s", name[:-3] + "s:") if name.endswith("(s)") else (name,)):
-            if form not in out:
-                out.append(form)
-    return out + [x.lower() for x in out]
+    """Titles, then all of them in lower case."""
+    return [*names, *(x.lower() for x in names)]
 
 
 def _last(s: Column, pattern: str) -> Column:
@@ -34,15 +29,22 @@ def extract_section(s: Column, section: str) -> Column:
     start title, else between it and further end titles. The last match counts; the first success ends the search.
     """
     starts, ends = (titles(x) for x in K.SECTION_TITLES[section])
-    tries = []
-    for a in starts:
-        q = re.escape(a)
-        between = [_last(s, f"<title>{q}</title>(.*?)<title>{re.escape(b)}</title>") for b in ends]
-        own = _last(s, f"<{q}>(.*?)</{q}>")
-        tries += [between[0], own, *between[1:]]
-    one = F.coalesce(s, F.lit(""))
-    hit = F.when(~F.lower(one).rlike("|".join(sorted({re.escape(x.lower()) for x in starts}))), F.lit(""))
-    return hit.otherwise(F.coalesce(*tries, F.lit("")))
+    listed = lambda names: "|".join(re.escape(x) for x in sorted(set(names), key=len, reverse=True))
+
+    def find(x):
+        """Only titles that the article has are looked for."""
+        tries = []
+        for a in starts:
+            q = re.escape(a)
+            between = [F.when(F.array_contains(x["titles"], a) & F.array_contains(x["titles"], b), _last(x["text"], f"<title>{q}</title>(.*?)<title>{re.escape(b)}</title>")) for b in ends]
+            tries += [between[0], F.when(F.array_contains(x["elements"], a), _last(x["text"], f"<{q}>(.*?)</{q}>")), *between[1:]]
+        return F.coalesce(*tries, F.lit(""))
+
+    text = F.coalesce(s, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(f"<title>({listed(starts + ends)})</title>"), F.lit(1))
+    own = F.regexp_extract_all(text, F.lit(f"<({listed(starts)})>"), F.lit(1))
+    article = F.array(F.struct(text.alias("text"), found.alias("titles"), own.alias("elements")))
+    return F.transform(article, find)[0]
 
 
 def plain_section(lines: DataFrame, section: str, doc: str = "doc_id", pos: str = "pos", line: str = "line") -> DataFrame:
