@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,18 +17,19 @@ from ..functions import constants as K
 TAGGED = "array<struct<word:string,tag:string>>"
 CHUNKS = "array<struct<label:string,leaves:array<struct<word:string,tag:string>>>>"
 
-# The tag grammars. NP_V continues with NP from its sixth character on, as its users' patterns did.
-NP = r"<PDT>?<DT>?<PRP\$>?<CD>?<RB>*<JJ.*>*<NN.*>+"
-NP_V = r"<PDT>?<DT>?<PRP\$>?<CD>?<VB.*>*" + NP[5:]
-NP_V_SKIP = NP_V[:-1] + "*"
-NP_CONJ = NP_V + "<CC>?" + NP_V_SKIP
-NP_CONJ_SKIP = NP_V_SKIP + "<CC>?" + NP_V_SKIP
-NP_FULL = NP_CONJ + ("<IN>?" + NP_CONJ_SKIP) * 3
-NP_FULL_SKIP = NP_CONJ_SKIP + ("<IN>?" + NP_CONJ_SKIP) * 3
-VP = "<MD>*<RB.*>*<VB.*>+<JJ.*>*<VB.*>*<NN.*>*<IN>*<TO>?"
-GRAMMARS = {"NP": NP, "VP": VP, "relation_VP": VP + "<RB.*>*<JJ.*>*", "SV": NP_FULL + VP, "SV_O": NP_FULL + VP + NP_FULL_SKIP, "SVO": NP_FULL + VP + NP_FULL}
-#: Older, narrower forms.
-OLD_GRAMMARS = {"NP": NP[6:], "VP": "<MD>*<RB.*>*<VB.*>+"}
+# The tag patterns.
+NOUNS = r"<PDT>?<DT>?<PRP\$>?<CD>?<RB>*<JJ.*>*<NN.*>+"
+VERBS = "<MD>*<RB.*>*<VB.*>+<JJ.*>*<VB.*>*<NN.*>*<IN>*<TO>?"
+OLD_GRAMMARS = {"NP": "<DT>?<PRP\\$>?<CD>?<RB>*<JJ.*>*<NN.*>+", "VP": "<MD>*<RB.*>*<VB.*>+"}
+#: A link of a chain of noun phrases; the first of a chain that must have a noun ends in + in place of *.
+LINK = r"<PDT>?<DT>?<PRP\$>?<CD>?<VB.*>*?<DT>?<PRP\$>?<CD>?<RB>*<JJ.*>*<NN.*>*"
+#: What stands before each link.
+BEFORE = ("", "<CC>?", "<IN>?", "<CC>?", "<IN>?", "<CC>?", "<IN>?", "<CC>?")
+PERHAPS_CHAIN = "".join(before + LINK for before in BEFORE)
+CHAIN = LINK[:-1] + "+" + PERHAPS_CHAIN[len(LINK):]
+GRAMMARS = {
+    "NP": NOUNS, "VP": VERBS, "relation_VP": VERBS + "<RB.*>*<JJ.*>*",
+    "SV": CHAIN + VERBS, "SV_O": CHAIN + VERBS + PERHAPS_CHAIN, "SVO": CHAIN + VERBS + CHAIN}
 
 #: Small lexicon of the default tagger; other words go by their endings.
 LEXICON = {
@@ -46,37 +50,45 @@ def tokenize(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
+@lru_cache(maxsize=1 << 17)
+def _tag_of(word: str, first: bool) -> str:
+    low = word.lower()
+    if low in WORD_TAGS:
+        return WORD_TAGS[low]
+    if re.fullmatch(r"[\d.,%-]*\d[\d.,%-]*", word):
+        return "CD"
+    if not re.search(r"\w", word):
+        return word if word in ".,:" else ":"
+    if word[0].isupper() and not first:
+        return "NNP"
+    return next((t for end, t in ENDINGS if low.endswith(end) and len(low) > len(end) + 2 and not low.endswith("ss")), "NN")
+
+
 def rule_tagger(words: list[str]) -> list[str]:
     """Default tagger: lexicon, then shape and ending. Plainer than a trained one; any Tagger can take its place."""
-    out = []
-    for i, w in enumerate(words):
-        low = w.lower()
-        if low in WORD_TAGS:
-            tag = WORD_TAGS[low]
-        elif re.fullmatch(r"[\d.,%-]*\d[\d.,%-]*", w):
-            tag = "CD"
-        elif not re.search(r"\w", w):
-            tag = w if w in ".,:" else ":"
-        elif w[0].isupper() and i:
-            tag = "NNP"
-        else:
-            tag = next((t for end, t in ENDINGS if low.endswith(end) and len(low) > len(end) + 2 and not low.endswith("ss")), "NN")
-        out.append(tag)
-    return out
+    return [_tag_of(w, not i) for i, w in enumerate(words)]
+
+
+def _lists(sizes: list[int], values: pa.Array, null=None) -> pa.ListArray:
+    """Rows of so many values each, in order; null where ``null`` is true."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=None if null is None or not len(sizes) else pa.array(null, pa.bool_()))
 
 
 def tag(s: Column, tagger: Tagger = rule_tagger, tokenizer: Callable[[str], list[str]] = tokenize) -> Column:
     """Words of a sentence with their tags."""
 
-    @F.pandas_udf(TAGGED)
-    def run(rows: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            words = tokenizer(t)
-            return [{"word": w, "tag": g} for w, g in zip(words, tagger(words))]
-
-        return rows.map(one)
+    @F.arrow_udf(TAGGED)
+    def run(rows: pa.Array) -> pa.Array:
+        words, tags, sizes, null = [], [], [], []
+        for text in rows.to_pylist():
+            own = tokenizer(text) if text is not None else []
+            words += own
+            tags += tagger(own)
+            sizes.append(len(own))
+            null.append(text is None)
+        both = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(tags, pa.string())], ["word", "tag"])
+        return _lists(sizes, both, null)
 
     return run(s)
 
@@ -102,86 +114,121 @@ def compile_grammar(pattern: str) -> list[tuple[re.Pattern, int, bool, bool]]:
     return [(re.compile(m[1]), int(m[2] in ("", "+")), m[2] in ("*", "+"), not m[3]) for m in ITEM.finditer(pattern)]
 
 
-def chunk_spans(tags: list[str], items: list[tuple[re.Pattern, int, bool, bool]]) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping spans in the order of preference of a backtracking matcher.
+def _spans(tags: np.ndarray, names: list[str], sizes: np.ndarray, items) -> list[tuple[int, int]]:
+    """Spans in many sentences at once: ``tags`` are numbers of ``names``, sentence after sentence, of ``sizes``.
 
-    What an item can reach from a place is kept, so time is bounded by items times tags times run length.
+    For each item, from the last, it is found for all places together where the rest of the pattern would end, in the
+    order of preference of a backtracking matcher: how far an item can reach, and which of those places the rest can
+    follow. So time is bounded by items times tags, whatever the pattern.
     """
-    n = len(tags)
-    known: dict[tuple[re.Pattern, str], bool] = {}
-    reach = []
-    for regex, _, many, _ in items:
-        run = [0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            key = (regex, tags[i])
-            if key not in known:
-                known[key] = bool(regex.fullmatch(tags[i]))
-            run[i] = (run[i + 1] if many else 0) + 1 if known[key] else 0
-        reach.append(run)
-    ends = list(range(n + 1))  # where the rest of the pattern ends, from each place; -1 if it can't
-    for (_, least, _, greedy), run in zip(reversed(items), reversed(reach)):
-        now = [-1] * (n + 1)
-        for i in range(n + 1):
-            steps = range(run[i], least - 1, -1) if greedy else range(least, run[i] + 1)
-            now[i] = next((ends[i + k] for k in steps if ends[i + k] >= 0), -1)
-        ends = now
-    out, i = [], 0
-    while i < n:
-        if ends[i] > i:
-            out.append((i, ends[i]))
-            i = ends[i]
+    n, rows = len(tags), len(sizes)
+    place = np.arange(n) + np.repeat(np.arange(rows), sizes)  # each sentence has one place more than tags
+    size = n + rows
+    tag = np.full(size, len(names))
+    tag[place] = tags
+    at = np.arange(size)
+    ends = at.copy()
+    for regex, least, many, greedy in reversed(items):
+        fits = np.array([bool(regex.fullmatch(x)) for x in names] + [False])[tag]
+        if many:
+            stop = np.minimum.accumulate(np.where(fits, size, at)[::-1])[::-1]  # the first place that doesn't fit
+        else:
+            stop = at + fits
+        if greedy:
+            found = np.maximum.accumulate(np.where(ends >= 0, at, -1))[stop]
+            good = found >= at + least
         else:
-            i += 1
+            following = np.append(np.minimum.accumulate(np.where(ends >= 0, at, size)[::-1])[::-1], size)
+            found = following[np.minimum(at + least, size)]
+            good = (found <= stop) & (at + least <= stop)
+        ends = np.where(good, ends[np.where(good, found, 0)], -1)
+    begins = np.append(np.minimum.accumulate(np.where(ends > at, at, size)[::-1])[::-1], size).tolist()
+    back = np.cumsum(np.bincount(place, minlength=size)).tolist() if size else []  # tags up to and with each place
+    ends, out, i = ends.tolist(), [], begins[0]
+    while i < size:
+        out.append((back[i] - 1, back[ends[i] - 1]))
+        i = begins[ends[i]]
     return out
 
 
+def chunk_spans(tags: list[str], items: list[tuple[re.Pattern, int, bool, bool]]) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping spans of one sentence in the order of preference of a backtracking matcher."""
+    names = sorted(set(tags))
+    return _spans(np.array([names.index(x) for x in tags], np.int64), names, np.array([len(tags)]), items)
+
+
+def _parts(rows: pa.Array):
+    """Rows of a list column: their sizes, flattened values and which rows are null."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, rows.flatten(), rows.is_null().to_numpy(zero_copy_only=False)
+
+
 def chunk(tagged: Column, label: str = "NP", grammar: str | None = None) -> Column:
-    """One-level parse: chunks of the pattern under its label, every other word under 'O', in order."""
-    items = compile_grammar(grammar or GRAMMARS[label])
+    """One-level parse: chunks of the pattern under its label, every other word under 'O', in order.
 
-    @F.pandas_udf(CHUNKS)
-    def run(rows: pd.Series) -> pd.Series:
-        def one(ws):
-            if ws is None:
-                return None
-            out, at = [], 0
-            for a, b in chunk_spans([w["tag"] for w in ws], items):
-                out += [{"label": "O", "leaves": [w]} for w in ws[at:a]] + [{"label": label, "leaves": list(ws[a:b])}]
-                at = b
-            return out + [{"label": "O", "leaves": [w]} for w in ws[at:]]
+    A batch's sentences are matched together, and the chunks are cuts of the same words: nothing is copied.
+    """
+    items = compile_grammar(grammar or GRAMMARS[label])
 
-        return rows.map(one)
+    @F.arrow_udf(CHUNKS)
+    def run(rows: pa.Array) -> pa.Array:
+        sizes, words, null = _parts(rows)
+        coded = words.field("tag").dictionary_encode() if len(words) else None
+        n, inside, first = len(words), np.zeros(len(words), bool), np.ones(len(words), bool)
+        if n:
+            spans = np.array(_spans(coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), sizes, items), np.int64).reshape(-1, 2)
+            depth = np.zeros(n + 1, np.int64)
+            np.add.at(depth, spans[:, 0], 1)
+            np.add.at(depth, spans[:, 1], -1)
+            inside = np.cumsum(depth)[:-1] > 0
+            first = ~inside
+            first[spans[:, 0]] = True
+        begins = np.flatnonzero(first)
+        leaves = _lists(np.diff(np.append(begins, n)).tolist(), words)
+        labels = pa.array(np.where(inside[begins], label, "O"), pa.string())
+        owner = np.repeat(np.arange(len(sizes)), sizes)[begins] if n else begins
+        return _lists(np.bincount(owner, minlength=len(sizes)).tolist(), pa.StructArray.from_arrays([labels, leaves], ["label", "leaves"]), null)
 
     return run(tagged)
 
 
 def extract(chunks: Column, label: str, join_neighbours: bool = False) -> Column:
     """Leaves of the label's chunks. A chunk that ends in a verb pattern loses a last adjective before a noun; with
-    ``join_neighbours`` chunks next to each other become one. ``chunks`` is a column of its own, selected before."""
+    ``join_neighbours`` chunks next to each other become one."""
     verbal = label in ("VP", "SV", "relation_VP")
-    step_type = "struct<at:int,last:int,out:array<array<struct<word:string,tag:string>>>>"
 
-    def step(a, x):
-        i = a["at"]
-        following = F.try_element_at(chunks, i + 2)["leaves"][0]["tag"]
-        leaves = x["leaves"]
+    @F.arrow_udf(f"array<{TAGGED}>")
+    def run(rows: pa.Array) -> pa.Array:
+        sizes, parts, null = _parts(rows)
+        if not len(parts):
+            return _lists(sizes.tolist(), pa.array([], pa.list_(pa.struct([("word", pa.string()), ("tag", pa.string())]))), null)
+        leaves = parts.field("leaves")
+        n = pc.list_value_length(leaves).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = leaves.flatten()
+        owner, stop = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(n)
+        own = pc.equal(parts.field("label"), label).to_numpy(zero_copy_only=False)
+        begin, end = stop - n, stop.copy()
         if verbal:
-            cut = F.startswith(following, F.lit("NN")) & F.startswith(F.element_at(leaves, -1)["tag"], F.lit("JJ"))
-            leaves = F.when(F.coalesce(cut, F.lit(False)), F.slice(leaves, 1, F.size(leaves) - 1)).otherwise(leaves)
-        grown = F.concat(a["out"], F.array(leaves))
+            tags = words.field("tag")
+            noun, adjective = (pc.starts_with(tags, x).to_numpy(zero_copy_only=False) for x in ("NN", "JJ"))
+            before = np.append(owner[1:] == owner[:-1], False)
+            cut = own & before & noun[np.minimum(stop, len(words) - 1)] & adjective[stop - 1]
+            end[cut] -= 1
+        mine = np.flatnonzero(own)
+        new = np.ones(len(mine), bool)
         if join_neighbours:
-            joined = F.concat(F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(F.concat(F.element_at(a["out"], -1), leaves)))
-            grown = F.when((a["last"] + 1 == i) & (F.size(a["out"]) > 0), joined).otherwise(grown)
-        hit = x["label"] == label
-        return F.struct((i + 1).alias("at"), F.when(hit, i).otherwise(a["last"]).alias("last"), F.when(hit, grown).otherwise(a["out"]).alias("out")).cast(step_type)
+            new[1:] = (np.diff(mine) > 1) | (np.diff(owner[mine]) > 0)
+        kept = (end - begin)[mine]
+        at = np.append(0, np.cumsum(kept)[:-1]) if len(mine) else mine
+        take = np.repeat(begin[mine] - at, kept) + np.arange(kept.sum())
+        phrases = _lists(np.add.reduceat(kept, np.flatnonzero(new)).tolist() if len(mine) else [], words.take(pa.array(take)))
+        return _lists(np.bincount(owner[mine[new]], minlength=len(sizes)).tolist(), phrases, null)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(-9).alias("last"), F.array().alias("out")).cast(step_type)
-    return F.reduce(chunks, start, step, lambda a: a["out"])
+    return run(chunks)
 
 
 def remove_subject(chunks: Column, placeholder: bool = True) -> Column:
     """Words of a sentence chunked by SV: within a chunk only verbs and modals stay, the first other word as a mark."""
-    empty = F.array().cast("array<string>")
 
     def leaves(x):
         verb = lambda w: F.substring(w["tag"], 1, 2).isin("VB", "MD")
@@ -189,7 +236,7 @@ def remove_subject(chunks: Column, placeholder: bool = True) -> Column:
         kept = F.transform(x["leaves"], lambda w, i: F.when(verb(w), w["word"]).when((i + 1 == first) & F.lit(placeholder), F.lit(K.SUBJECT_MARK)).otherwise(F.lit("")))
         return F.when(x["label"] == "SV", kept).otherwise(F.transform(x["leaves"], lambda w: w["word"]))
 
-    return F.filter(F.reduce(chunks, empty, lambda a, x: F.concat(a, leaves(x))), lambda w: w != "")
+    return F.filter(F.flatten(F.transform(chunks, leaves)), lambda w: w != "")
 
 
 def divide_noun_phrase(leaves: Column) -> Column:
