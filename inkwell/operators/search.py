@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,39 @@ def postings(docs: DataFrame, id_col: str, text_col: str, analyzer=analyze) -> D
     return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "content", parts: int = 64, analyzer=analyze) -> None:
+    """Store an index once for many queries: postings by part and term, each term's document frequency, and the number
+    of texts.
+
+    A term's postings are split by id over tasks, so a word that most texts have is no hot key. Terms are sorted within
+    a file, so a query reads the parts and row groups of its words only.
+    """
+    df = docs.sparkSession
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    index = postings(docs, id_col, text_col, analyzer).withColumn("part", part)
+    index.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    df.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    docs.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def index_scores(spark, path: str, query: str, scoring: str = "bm25", fuzzy: bool = False, parts: int = 64, analyzer=analyze) -> DataFrame:
+    """(id, score) of a query from a stored index, which alone is read."""
+    asked = spark.range(1).select(F.explode(F.array_distinct(analyzer(F.lit(query)))).alias("term"))
+    known = spark.read.parquet(f"{path}/terms")
+    words = [r[0] for r in (expand_terms(asked, known).select("term").distinct() if fuzzy else asked).collect()]
+    where = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).collect()})
+    index = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(*where) & F.col("term").isin(*words)) if words else spark.read.parquet(f"{path}/postings").limit(0)
+    if scoring == "const":
+        return index.select("id").distinct().withColumn("score", F.lit(1.0))
+    n, df = spark.read.parquet(f"{path}/size").first()["n"], {r[0]: r[1] for r in known.where(F.col("term").isin(*words)).collect()} if words else {}
+    weight = F.create_map(*[x for t, d in sorted(df.items()) for x in (F.lit(t), F.lit(idf(n, d)))]) if df else F.create_map().cast("map<string,double>")
+    return index.groupBy("id").agg(F.sum(weight[F.col("term")] * F.col("tf") / (F.col("tf") + K1)).alias("score"))
+
+
+def idf(total: int, df: int) -> float:
+    return math.log(1 + (total - df + 0.5) / (df + 0.5))
+
+
 def fuzziness(term: Column) -> Column:
     """Edits allowed: none up to two letters, one up to five, else two."""
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
@@ -43,7 +78,7 @@ def expand_terms(query_terms: DataFrame, vocabulary: DataFrame, fuzzy: bool = Tr
 
 def bm25(index: DataFrame, total: int | Column, terms: DataFrame) -> DataFrame:
     """(id, score): summed idf * tf / (tf + k1) of the matched terms; length norms are off."""
-    hit = index.join(F.broadcast(terms.select("term").distinct()), "term")
+    hit = index.join(terms.select("term").distinct(), "term")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(total) if isinstance(total, int) else total
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -52,7 +87,7 @@ def bm25(index: DataFrame, total: int | Column, terms: DataFrame) -> DataFrame:
 
 def constant_score(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, score): every hit scores one."""
-    return index.join(F.broadcast(terms.select("term").distinct()), "term").select("id").distinct().withColumn("score", F.lit(1.0))
+    return index.join(terms.select("term").distinct(), "term").select("id").distinct().withColumn("score", F.lit(1.0))
 
 
 def groups_for_query(words: Column) -> Column:
@@ -77,18 +112,49 @@ def filtered(df: DataFrame, section: str | None = None, journal: str | None = No
 
 def search(groups: DataFrame, query: str, id_col: str = "id", text_col: str = "content", scoring: str = "bm25", fuzzy: bool = False, size: int = K.SEARCH_SIZE, **conditions) -> DataFrame:
     """The best ``size`` groups for a query under the conditions, by score and citations. Each range condition adds one
-    to the score, as clauses that must hold do."""
-    kept = filtered(groups, **conditions)
-    index = postings(groups, id_col, text_col)
-    terms = groups.sparkSession.range(1).select(F.explode(F.array_distinct(analyze(F.lit(query)))).alias("term"))
-    found = expand_terms(terms, index, fuzzy)
-    scores = constant_score(index, found) if scoring == "const" else bm25(index, groups.count(), found)
+    to the score, as clauses that must hold do.
+
+    Without an index the texts are read: the query's words are counted in place in each text, so nothing moves but one
+    row of document frequencies and each task's best hits. Words within a few edits go by an index of all words.
+    """
     ranges = sum(conditions.get(k) is not None for k in ("min_year", "min_cited", "max_group")) + 1
-    hits = kept.join(scores, kept[id_col] == scores["id"]).drop(scores["id"]).withColumn("score", F.col("score") + ranges)
+    asked = groups.sparkSession.range(1).select(F.array_distinct(analyze(F.lit(query))).alias("t"))
+    if fuzzy:
+        index = postings(groups, id_col, text_col)
+        found = expand_terms(asked.select(F.explode("t").alias("term")), index)
+        scores = constant_score(index, found) if scoring == "const" else bm25(index, groups.count(), found)
+        kept = filtered(groups, **conditions)
+        hits = kept.join(scores, kept[id_col] == scores["id"]).drop(scores["id"])
+    else:
+        terms = asked.first()["t"]
+        times = lambda t: F.size(F.filter("__w", lambda w: w == t))
+        counted = lambda df: df.withColumn("__w", analyze(F.col(text_col))).withColumn("__tf", F.array(*map(times, terms)).cast("array<int>"))
+        score = F.lit(1.0)
+        if scoring != "const":
+            df = counted(groups.select(text_col)).agg(F.count("*"), *[F.count_if(F.col("__tf")[i] > 0) for i in range(len(terms))]).first()
+            score = sum((F.lit(idf(df[0], df[i + 1])) * F.col("__tf")[i] / (F.col("__tf")[i] + K1) for i in range(len(terms))), F.lit(0.0))
+        hits = counted(filtered(groups, **conditions)).where(F.exists("__tf", lambda n: n > 0)).withColumn("score", score).drop("__w", "__tf")
+    hits = hits.withColumn("score", F.col("score") + ranges)
     order = [F.desc("score")] + ([F.desc("cited_times")] if "cited_times" in groups.columns else []) + [id_col]
     return hits.orderBy(*order).limit(size)
 
 
+def coverage_of(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 64, stopwords=K.DETERMINERS) -> DataFrame:
+    """(query_id, id, coverage): the share of each query's subwords that each text has.
+
+    The queries (query_id, text) are a stated set: ``block`` of them at a time are constants of one narrow pass over all texts.
+    """
+    sub = lambda s: F.array_distinct(T.subword_set(T.token_set(s, stopwords)))
+    asked = queries.select("query_id", sub(F.col("text")).alias("q")).orderBy("query_id").collect()
+    out = None
+    for i in range(0, len(asked), block):
+        known = F.array(*[F.struct(F.lit(r[0]).alias("query_id"), F.array(*map(F.lit, r[1])).cast("array<string>").alias("q")) for r in asked[i:i + block]])
+        rows = docs.select(id_col, sub(F.col(text_col)).alias("s")).select(id_col, "s", F.explode(known).alias("x"))
+        part = rows.select("x.query_id", id_col, T.coverage(F.col("x.q"), F.col("s")).alias("coverage"))
+        out = part if out is None else out.unionByName(part)
+    return docs.select(F.lit(0).alias("query_id"), id_col, F.lit(0.0).alias("coverage")).limit(0) if out is None else out
+
+
 def highlight(s: Column, terms: list[str]) -> Column:
     """Found words marked with <em>, fragments between dots."""
     if not terms:

@@ -125,9 +125,9 @@ def word_separation(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import stem
     from ..operators import grams
 
-    top = grams.keep_top(grams.count_grams(table(spark, d, "documents"), orders=(1,)), {1: 1000})
+    top = grams.top_grams(table(spark, d, "documents"), top={1: 1000})
     ranked = [r[0] for r in top.orderBy(F.desc("cnt"), "gram").select("gram").collect()]
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    rows = table(spark, d, "documents").select("doc_id", "text")
     return rows.select("doc_id", stem.separate(stem.word_costs(ranked), 20, F.col("text")).alias("text"))
 
 
