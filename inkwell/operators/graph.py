@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rounds after which the tables of reached nodes become one.
+COMPACT = 16
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id): distinct nodes one step away from ``nodes`` (id), in either direction."""
@@ -21,17 +24,22 @@ def expand(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     return now
 
 
-def expand_to(edges: DataFrame, seeds: DataFrame, size: int | None = None, rounds: int = 100) -> DataFrame:
-    """(id): everything reached, until nothing is new or there are ``size`` nodes. Only new nodes are expanded."""
-    seen = seeds.select("id").distinct().checkpoint()
-    fresh = seen
-    for _ in range(rounds):
+def expand_to(edges: DataFrame, seeds: DataFrame, size: int | None = None) -> DataFrame:
+    """(id): everything reached, until nothing is new or there are ``size`` nodes, however many rounds that takes.
+
+    Only new nodes are expanded. Each round writes its new nodes; what was written before is rewritten as one table
+    every COMPACT rounds only.
+    """
+    fresh = seeds.select("id").distinct().checkpoint()
+    seen, parts, total = fresh, 1, fresh.count()
+    while size is None or total < size:
         fresh = neighbours(edges, fresh).join(seen, "id", "left_anti").checkpoint()
-        if fresh.isEmpty():
-            break
-        seen = seen.union(fresh).checkpoint()
-        if size is not None and seen.count() >= size:
+        new = fresh.count()
+        if not new:
             break
+        seen, parts, total = seen.union(fresh), parts + 1, total + new
+        if parts == COMPACT:
+            seen, parts = seen.checkpoint(), 1
     return seen
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster, graph
+from ..session import scratch
 from ..streaming import incremental
 from . import common as C
 from .common import register, table
@@ -51,14 +50,10 @@ def layerwise_division(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["layerwise_division"] = (layerwise_division, None)
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/inkwell-streams/{uuid.uuid4().hex}"
-
-
 @register(QUERIES, f"WITH {C.gram_counts((2,))} SELECT n, gram, cnt FROM counts")
 def stream_gram_counts(spark: SparkSession, d: str) -> DataFrame:
     """Bigram counts of the documents read as a stream of files."""
-    at = _scratch(spark)
+    at = scratch(spark, "streams")
     docs = table(spark, d, "documents")
     texts = incremental.file_stream(spark, d, docs.schema, glob="documents.parquet")
     return incremental.stream_gram_counts(texts, f"{at}/out", f"{at}/state")
@@ -67,7 +62,7 @@ def stream_gram_counts(spark: SparkSession, d: str) -> DataFrame:
 @register(QUERIES, "SELECT doc_id, CAST(length(text) AS INTEGER) AS size FROM documents")
 def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     """Documents processed once although the job runs twice."""
-    at = _scratch(spark)
+    at = scratch(spark, "streams")
     texts = incremental.file_stream(spark, d, table(spark, d, "documents").schema, glob="documents.parquet")
     for _ in range(2):
         incremental.resume(texts, lambda t: t.select("doc_id", F.length("text").alias("size")), f"{at}/out", f"{at}/state")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings for any size of data: partitions follow the data at run time, skewed joins are split, times are UTC.
@@ -15,6 +18,16 @@ SETTINGS = {
 }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that all machines share. Without that setting only a local master may go on."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="inkwell-")
+    return f"{root.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 def session(app: str = "inkwell", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the library's settings; on a cluster the master comes from spark-submit."""
     builder = SparkSession.builder.appName(app)
