@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import squared_l2
+from .vectors import dot, normalized, squared_l2
 
 #: Rows that one agglomerative run or one node of a division may hold.
 MAX_GROUP = 2_000
+#: Texts that a task trains word vectors on.
+ROWS_PER_TASK = 100_000
 
 
 def with_vector(df: DataFrame, col: str = "embedding", out: str = "features") -> DataFrame:
@@ -32,17 +35,28 @@ def predict(model: KMeansModel, df: DataFrame, col: str = "embedding") -> DataFr
     return model.transform(with_vector(df, col)).drop("features").withColumnRenamed("prediction", "cluster")
 
 
-def update_centers(centers: list[list[float]], weights: list[float], batch: DataFrame, col: str = "embedding", decay: float = 1.0) -> tuple[list[list[float]], list[float]]:
-    """One mini-batch step: decayed means of the old centres and the batch's rows. Only sums by cluster come back."""
+def update_centers(centers: list[list[float]], weights: list[float], batch: DataFrame, col: str = "embedding", decay: float = 1.0, reassign: float = 0.0, seed: int = 0) -> tuple[list[list[float]], list[float]]:
+    """One mini-batch step: decayed means of the old centres and the batch's rows. Only sums by cluster come back.
+
+    Centres whose weight is less than ``reassign`` of the largest are set anew to rows of the batch, those with the
+    smallest seeded hash, with the least weight of the others.
+    """
     listed = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
     cell = F.array_min(F.transform(listed, lambda c, i: F.struct(squared_l2(F.col(col), c).alias("d"), i.alias("i"))))["i"]
-    sums = batch.select(cell.alias("c"), F.posexplode(col).alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("s"), F.count("*").alias("n")).collect()
+    sums = batch.select(cell.alias("c"), F.col(col).alias("v")).select("c", F.posexplode("v").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("s"), F.count("*").alias("n")).collect()
     new, w = [list(c) for c in centers], [x * decay for x in weights]
     seen = {r["c"]: r["n"] for r in sums}
     for r in sums:
         c, d = r["c"], r["d"]
         new[c][d] = (centers[c][d] * w[c] + r["s"]) / (w[c] + r["n"])
-    return new, [x + seen.get(i, 0) for i, x in enumerate(w)]
+    w = [x + seen.get(i, 0) for i, x in enumerate(w)]
+    poor = [i for i, x in enumerate(w) if x < reassign * max(w)]
+    if poor:
+        rows = batch.select(F.transform(col, lambda x: x.cast("double")).alias("v")).distinct().orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(len(poor)).collect()
+        rest = min(x for i, x in enumerate(w) if i not in poor)
+        for i, r in zip(poor, rows):
+            new[i], w[i] = list(r["v"]), rest
+    return new, w
 
 
 def members(df: DataFrame, cluster: str = "label", id_col: str = "vec_id") -> DataFrame:
@@ -56,6 +70,17 @@ def medoids(pairs: DataFrame) -> DataFrame:
     return sums.groupBy("block").agg(F.max_by("i", F.struct(F.round("s", 9), -F.col("i"))).alias("center"))
 
 
+def cosine_medoids(df: DataFrame, cluster: str = "label", id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+    """(cluster, center): the member with the largest sum of cosines to all members, the smallest of equals.
+
+    That sum is the member's product with the sum of all unit vectors, so no pair is made.
+    """
+    unit = df.select(cluster, F.col(id_col).alias("id"), normalized(F.col(col)).alias("u"))
+    total = unit.groupBy(cluster).agg(vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("total"))
+    near = unit.join(total, cluster).select(cluster, "id", F.round(dot(F.col("u"), F.col("total")), 6).alias("s"))
+    return near.groupBy(cluster).agg(F.min(F.struct((-F.col("s")).alias("s"), "id")).alias("m")).select(cluster, F.col("m.id").alias("center"))
+
+
 def nearest_to_mean(df: DataFrame, cluster: str = "label", id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """(cluster, center): the member with the smallest sum of squared distances, by the cluster's mean in two passes.
 
@@ -63,7 +88,7 @@ def nearest_to_mean(df: DataFrame, cluster: str = "label", id_col: str = "vec_id
     """
     mean = df.select(cluster, F.posexplode(col).alias("d", "x")).groupBy(cluster, "d").agg(F.avg("x").alias("m"))
     mean = mean.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
-    near = df.join(F.broadcast(mean) if mean.count() <= 10_000 else mean, cluster).select(cluster, id_col, squared_l2(F.col(col), F.col("mean")).alias("d"))
+    near = df.join(mean, cluster).select(cluster, id_col, squared_l2(F.col(col), F.col("mean")).alias("d"))
     return near.groupBy(cluster).agg(F.min_by(id_col, F.struct(F.round("d", 9), id_col)).alias("center"))
 
 
@@ -71,8 +96,6 @@ def agglomerative(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "emb
     """(group, id, cluster): merges the two nearest clusters until k are left, in groups of at most MAX_GROUP rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         if len(pdf) > MAX_GROUP:
             raise ValueError(f"a group has more than {MAX_GROUP} rows")
         pdf = pdf.sort_values("id")
@@ -121,8 +144,9 @@ def layerwise_division(df: DataFrame, layers: int, k: int, id_col: str = "vec_id
     return out
 
 
-def train_words(docs: DataFrame, tokens: str = "tokens", size: int = 150, least: int = 100, seed: int = 0, partitions: int = 1) -> DataFrame:
-    """(word, vec) by skip-gram."""
+def train_words(docs: DataFrame, tokens: str = "tokens", size: int = 150, least: int = 100, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """(word, vec) by skip-gram, in one task for every ROWS_PER_TASK texts unless told otherwise."""
+    partitions = partitions or max(1, docs.count() // ROWS_PER_TASK)
     model = Word2Vec(vectorSize=size, minCount=least, seed=seed, numPartitions=partitions, inputCol=tokens, outputCol="v").fit(docs)
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))
 
@@ -135,15 +159,42 @@ def approximate_nearest(corpus: DataFrame, vector: list[float], k: int, id_col:
 
 
 def svd(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding") -> tuple[DataFrame, list[float]]:
-    """((id, vec), share of each singular value): the left singular vectors, not centred. Kept as it is if short enough."""
+    """((id, vec), share of each singular value): the left singular vectors, not centred. Kept as it is if short enough.
+
+    Tasks sum the products of dimensions; their square table, of a size set by the dimension, comes to the driver. The
+    largest number of each right vector is positive.
+    """
     size = df.select(F.max(F.size(col))).first()[0] or 0
     if size <= k:
         return df.select(F.col(id_col).alias("id"), F.col(col).alias("vec")), []
-    rows = df.select(id_col, col).rdd.map(lambda r: IndexedRow(r[0], OldVectors.dense([float(x) for x in r[1]])))
-    found = IndexedRowMatrix(rows).computeSVD(k, computeU=True)
-    s = found.s.toArray()
-    u = found.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector])).toDF("id long, vec array<double>")
-    return u, [float(x * x / (s * s).sum()) for x in s]
+
+    def matrix(column):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
+
+    def products(batches):
+        total = np.zeros((size, size))
+        for b in batches:
+            x = matrix(b.column(0))
+            total += x.T @ x
+        i, j = np.indices((size, size))
+        yield pa.RecordBatch.from_arrays([pa.array(a.ravel()) for a in (i, j, total)], ["i", "j", "x"])
+
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.transform(col, lambda x: x.cast("double")).alias("v"))
+    sums = src.select("v").mapInArrow(products, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    gram = np.zeros((size, size))
+    for r in sums:
+        gram[r["i"], r["j"]] = r["x"]
+    values, right = np.linalg.eigh(gram)
+    values, right = np.maximum(values[::-1][:k], 0), right[:, ::-1][:, :k]
+    right = right * np.sign(right[np.abs(right).argmax(0), np.arange(k)])
+    scale = np.divide(right, np.sqrt(values), out=np.zeros_like(right), where=values > 1e-12 * max(1e-300, values.max()))
+
+    def left(batches):
+        for b in batches:
+            u = matrix(b.column(1)) @ scale
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(u.ravel()), k).cast(pa.list_(pa.float64()))], ["id", "vec"])
+
+    return src.mapInArrow(left, "id long, vec array<double>"), [float(x / values.sum()) for x in values]
 
 
 def pca(df: DataFrame, k: int, col: str = "embedding") -> tuple[DataFrame, list[float]]:

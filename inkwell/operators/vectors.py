@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,15 +102,26 @@ def word_weights(words: DataFrame, idf: DataFrame, stopwords=(), default: float
     return words.join(known, "word", "left").select("word", F.when(stop, 0.0).otherwise(F.coalesce("idf", F.lit(float(default)))).alias("weight"))
 
 
+def left_out(word: Column, letters: int) -> Column:
+    """A word with none to so many letters left out, each form once."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    forms = now = F.array(word)
+    for _ in range(letters):
+        now = F.array_distinct(F.flatten(F.transform(now, one)))
+        forms = F.concat(forms, now)
+    return F.array_distinct(forms)
+
+
 def spell_corrected(words: DataFrame, vocabulary: DataFrame, edits: int = 2) -> DataFrame:
-    """(word, corrected): the most frequent vocabulary word within two edits that shares a deletion-free prefix block.
+    """(word, corrected): the most frequent vocabulary word within so many edits; a word without a neighbour stays.
 
-    Words are blocked by first letter and compared with vocabulary words of nearly equal length only; a word without a
-    neighbour stays.
+    Two words within so many edits become equal by leaving out at most so many letters of each, so words are joined on
+    what is left of them, whichever letters differ, and then compared.
     """
-    w = words.select("word").distinct().withColumn("k", F.substring("word", 1, 1))
-    v = vocabulary.select(F.col("term").alias("v"), "df").withColumn("k", F.substring("v", 1, 1))
-    near = w.join(v, "k").where((F.abs(F.length("word") - F.length("v")) <= edits) & (F.levenshtein("word", "v", edits) >= 0))
+    w = words.select("word").distinct()
+    v = vocabulary.select(F.col("term").alias("v"), "df")
+    keyed = lambda df, c: df.select("*", F.explode(left_out(F.col(c), edits)).alias("k"))
+    near = keyed(w, "word").join(keyed(v, "v"), "k").select("word", "v", "df").distinct().where(F.levenshtein("word", "v", edits) >= 0)
     best = near.groupBy("word").agg(F.max_by("v", F.struct(F.col("df"), -F.levenshtein("word", "v"), "v")).alias("c"))
     return w.join(best, "word", "left").select("word", F.coalesce("c", "word").alias("corrected"))
 
@@ -116,15 +129,15 @@ def spell_corrected(words: DataFrame, vocabulary: DataFrame, edits: int = 2) ->
 def embed_texts(docs: DataFrame, lut: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: bool = True, unit: bool = True) -> DataFrame:
     """(id, vec): weighted sum of word vectors with repetition, of length one; zeros for a text without known words.
 
-    Word counts are summed by (text, word), joined with vectors and weights, then summed by (text, dimension): every
-    step is pre-aggregated and no vector table is collected.
+    Word counts are summed by (text, word), joined with vectors and weights, and whole vectors are summed by text in
+    the tasks before and after the shuffle: rows don't grow with the dimension and no vector table is collected.
     """
     size = lut.select(F.max(F.size("vec"))).first()[0] or 0
     tokens = docs.select(F.col(id_col).alias("id"), F.explode(T.words(F.lower(F.col(text_col)))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
     vec = normalized(F.col("vec")) if unit_words else F.col("vec")
     table = lut.join(weights, "word").where("weight <> 0").select("word", F.transform(vec, lambda x: x * F.col("weight")).alias("v"))
-    sums = tokens.join(table, "word").select("id", F.posexplode(F.transform("v", lambda x: x * F.col("tf"))).alias("d", "x")).groupBy("id", "d").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    summed = Summarizer.sum(array_to_vector("v"), F.col("tf").cast("double"))
+    rows = tokens.join(table, "word").groupBy("id").agg(vector_to_array(summed).alias("v"))
     zero = F.array_repeat(F.lit(0.0), size)
     out = docs.select(F.col(id_col).alias("id")).join(rows, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
     return out.select("id", (normalized(F.col("v")) if unit else F.col("v")).alias("vec"))

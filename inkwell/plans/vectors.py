@@ -35,11 +35,15 @@ def knn_batch_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 _UNIT = f"unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt({_DOT.format('embedding', 'embedding')})) AS u FROM embeddings)"
-_PAIRS = f"pairs AS (SELECT a.label AS block, a.vec_id AS i, b.vec_id AS j, {_DOT.format('a.u', 'b.u')} AS sim FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <= b.vec_id)"
+#: Rows of one similarity matrix: a label's vectors are cut into blocks by id, so that rows grow with the table only.
+BLOCK = 500
+_BLOCK = f"{{0}}.label || '-' || ({{0}}.vec_id // {BLOCK})"
+_PAIRS = f"pairs AS (SELECT {_BLOCK.format('a')} AS block, a.vec_id AS i, b.vec_id AS j, {_DOT.format('a.u', 'b.u')} AS sim FROM unit a JOIN unit b ON {_BLOCK.format('a')} = {_BLOCK.format('b')} AND a.vec_id <= b.vec_id)"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.similarity_pairs(table(spark, d, "embeddings"), F.col("label"))
+    block = F.concat(F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / BLOCK).cast("string"))
+    return vectors.similarity_pairs(table(spark, d, "embeddings"), block)
 
 
 @register(QUERIES, f"WITH {_UNIT}, {_PAIRS} SELECT block, i, j, round(sim, 6) AS sim FROM pairs")
@@ -50,29 +54,18 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 _LADDER = "CASE WHEN s > 0.95 THEN s WHEN s > 0.6 THEN 0.95 WHEN s > 0.5 THEN 0.9 WHEN s > 0.4 THEN 0.8 WHEN s > 0.35 THEN 0.7 WHEN s > 0.3 THEN 0.6 WHEN s > 0.25 THEN 0.5 WHEN s > 0.2 THEN 0.4 WHEN s > 0.15 THEN 0.3 ELSE 0.2 END"
 
 
-@register(QUERIES, f"""WITH {_UNIT}, {_PAIRS}, m AS (SELECT i, j, sim FROM pairs WHERE block = 0 UNION ALL SELECT j, i, sim FROM pairs WHERE block = 0 AND i <> j),
-    r AS (SELECT i, list_reverse_sort(list(sim))[2] AS s FROM m GROUP BY 1), t AS (SELECT i, j, least(1.0, sim * CASE WHEN s = 0 OR s IS NULL THEN 0 ELSE ({_LADDER}) / s END) AS sim FROM m JOIN r USING (i))
-    SELECT a.i, a.j, round((a.sim + b.sim) / 2, 6) AS sim FROM t a JOIN t b ON a.i = b.j AND a.j = b.i""")
-def similarity_adjust(spark: SparkSession, d: str) -> DataFrame:
-    matrix = vectors.mirrored(_pairs(spark, d).where("block = 0").select("i", "j", "sim"))
-    return vectors.adjusted_similarity(matrix).select("i", "j", F.round("sim", 6).alias("sim"))
-
-
 @register(QUERIES, f"""WITH {_UNIT}, {_PAIRS}, m AS (SELECT block, i, j, sim FROM pairs UNION ALL SELECT block, j, i, sim FROM pairs WHERE i <> j),
     r AS (SELECT block, i, list_reverse_sort(list(sim))[2] AS s FROM m GROUP BY 1, 2), t AS (SELECT block, i, j, least(1.0, sim * CASE WHEN s = 0 OR s IS NULL THEN 0 ELSE ({_LADDER}) / s END) AS sim FROM m JOIN r USING (block, i))
     SELECT a.block, a.i, a.j, round((a.sim + b.sim) / 2, 6) AS sim FROM t a JOIN t b ON a.block = b.block AND a.i = b.j AND a.j = b.i""")
-def similarity_adjust_all(spark: SparkSession, d: str) -> DataFrame:
-    """Adjusted similarity within every label; similarity_adjust has label 0 only."""
+def similarity_adjust(spark: SparkSession, d: str) -> DataFrame:
     matrix = vectors.mirrored(_pairs(spark, d))
     return vectors.adjusted_similarity(matrix).select("block", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@register(QUERIES, f"""WITH {_UNIT}, {_PAIRS}, m AS (SELECT block, i, sim FROM pairs UNION ALL SELECT block, j, sim FROM pairs WHERE i <> j), s AS (SELECT block, i, round(sum(sim), 9) AS s FROM m GROUP BY 1, 2)
+@register(QUERIES, f"""WITH {_UNIT}, s AS (SELECT a.label AS block, a.vec_id AS i, round(sum({_DOT.format('a.u', 'b.u')}), 6) AS s FROM unit a JOIN unit b ON a.label = b.label GROUP BY 1, 2)
     SELECT block, i AS center FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY s DESC, i) AS r FROM s) WHERE r = 1""")
 def medoid_per_label(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d)
-    both = pairs.select("block", "i", "sim").union(pairs.where("i <> j").select("block", "j", "sim"))
-    return cluster.medoids(both)
+    return cluster.cosine_medoids(table(spark, d, "embeddings")).withColumnRenamed("label", "block")
 
 
 @register(QUERIES, "SELECT label, array_to_string(list_sort(list(vec_id)), ',') AS ids FROM embeddings GROUP BY 1")
@@ -120,24 +113,6 @@ def sentence_embed(spark: SparkSession, d: str) -> DataFrame:
     return vectors.embed_texts(docs, lut, weights).select("id", F.posexplode("vec").alias("d", "x")).select("id", "d", F.round("x", 5).alias("x"))
 
 
-@register(QUERIES, f"SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM (SELECT doc_id, source, lang, {C.words('lower(text)')} AS w FROM documents WHERE n_chars < 400) a JOIN (SELECT doc_id, source, lang, {C.words('lower(text)')} AS w FROM documents WHERE n_chars < 400) b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id")
-def shared_words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words in common of short documents of one source and language; shared_words_all has all documents."""
-    return _shared(table(spark, d, "documents").where("n_chars < 400"))
-
-
-@register(QUERIES, f"WITH r AS (SELECT doc_id, source, lang, {C.words('lower(text)')} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM r a JOIN r b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id")
-def shared_words_all(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words in common of all documents of one source and language: as many rows as pairs."""
-    return _shared(table(spark, d, "documents"))
-
-
-def _shared(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "source", "lang", T.words(F.lower("text")).alias("w"))
-    a, b = (rows.select("source", "lang", F.col("doc_id").alias(n), F.col("w").alias("w" + n)) for n in "ab")
-    return a.join(b, ["source", "lang"]).where("a < b").select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"))
-
-
 # Rows only
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +35,36 @@ def resume(texts: DataFrame, process, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def fit_centers(vectors: DataFrame, start: list[list[float]], checkpoint: str, col: str = "embedding", decay: float = 1.0) -> list[list[float]]:
-    """Mini-batch centres over a stream of vectors."""
-    state = {"c": start, "w": [0.0] * len(start)}
+def fit_centers(vectors: DataFrame, start: list[list[float]], checkpoint: str, state: str, col: str = "embedding", decay: float = 1.0, reassign: float = 0.05) -> list[list[float]]:
+    """Mini-batch centres over a stream of vectors, resumed where an earlier run ended.
+
+    Every batch reads the newest centres of the batches before it in the folder ``state`` and writes its own under its
+    number, so a second run goes on and a batch that runs again counts once.
+    """
+    spark = vectors.sparkSession
+
+    def newest(before: int) -> tuple[list[list[float]], list[float]]:
+        try:
+            rows = spark.read.schema("batch long, i int, center array<double>, weight double").parquet(state).where(F.col("batch") < before)
+            last = rows.agg(F.max("batch")).first()[0]
+        except AnalysisException:  # no folder yet
+            last = None
+        if last is None:
+            return [[float(x) for x in c] for c in start], [0.0] * len(start)
+        kept = rows.where(F.col("batch") == last).orderBy("i").collect()
+        return [list(r["center"]) for r in kept], [r["weight"] for r in kept]
 
     def step(batch: DataFrame, number: int) -> None:
-        state["c"], state["w"] = cluster.update_centers(state["c"], state["w"], batch, col, decay)
+        centers, weights = cluster.update_centers(*newest(number), batch, col, decay, reassign, number)
+        rows = [(i, c, float(w)) for i, (c, w) in enumerate(zip(centers, weights))]
+        spark.createDataFrame(rows, "i int, center array<double>, weight double").coalesce(1).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     q = vectors.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return state["c"]
+    return newest(1 << 62)[0]
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Counts and sums by window and kind, with a watermark for late rows."""
-    rows = events.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """Counts and sums by window and kind, with a watermark for late rows. Times without a zone are the session's."""
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.col("window.start").alias("start"), kind, "n", "total")
