@@ -57,6 +57,17 @@ def keep_top(counts: DataFrame, top: dict[int, int] = K.GRAM_TOP) -> DataFrame:
     return out
 
 
+def top_grams(df: DataFrame, text_col: str = "text", top: dict[int, int] = K.GRAM_TOP) -> DataFrame:
+    """The most frequent grams of a table of texts. Each order is counted by itself, and not at all where a later
+    condition on ``n`` leaves it out."""
+    out = None
+    for n, k in sorted(top.items()):
+        counts = gram_stream(df, text_col, (n,)).groupBy("gram").agg(F.count("*").alias("cnt"))
+        part = counts.orderBy(F.desc("cnt"), "gram").limit(k).select(F.lit(n).alias("n"), "gram", "cnt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def lead_entries(counts: DataFrame) -> DataFrame:
     """(n, lead, phrase, cur, freq): a gram as its first words and its last."""
     split = r"^(.*) (\S+)$"
@@ -74,7 +85,7 @@ def lead_dictionary(counts: DataFrame) -> DataFrame:
 
 def vocabulary(df: DataFrame, subject: str, text_col: str = "text", top: dict[int, int] = K.GRAM_TOP) -> DataFrame:
     """One document: subject, three frequency maps, two lead dictionaries, interpolation weights. Bounded by ``top``."""
-    kept = keep_top(count_grams(df, text_col), top)
+    kept = top_grams(df, text_col, top)
     freq = lambda n: F.map_from_entries(F.collect_list(F.when(F.col("n") == n, F.struct("gram", "cnt"))))
     names = {1: "unigram", 2: "bigram", 3: "trigram"}
     counts = kept.agg(*[freq(n).alias(f"{names[n]}_freq") for n in (1, 2, 3)])

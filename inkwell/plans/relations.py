@@ -163,48 +163,29 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     return stats.tfidf(table(spark, d, "documents"), min_df=5).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-_CUT = f"{_TF}, kept AS (SELECT id, term, tf FROM tf JOIN df USING (term) WHERE df >= (SELECT n FROM n) * 0.2), co AS (SELECT a.term AS i, b.term AS j, sum(a.tf * b.tf) / (SELECT n FROM n)::DOUBLE AS c FROM kept a JOIN kept b ON a.id = b.id AND a.term <= b.term GROUP BY 1, 2)"
+_CO = f"{_TF}, kept AS (SELECT id, term, tf FROM tf JOIN df USING (term) WHERE df >= 5), co AS (SELECT a.term AS i, b.term AS j, sum(a.tf * b.tf) / (SELECT n FROM n)::DOUBLE AS c FROM kept a JOIN kept b ON a.id = b.id AND a.term <= b.term GROUP BY 1, 2)"
 
 
 def _co(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    n = docs.count()
-    return stats.cooccurrence(stats.term_counts(docs, min_df=-(-n // 5)), n)
+    return stats.cooccurrence(stats.term_counts(docs, min_df=5), docs.count())
 
 
-@register(QUERIES, f"WITH {_CUT} SELECT i, j, round(c, 6) AS c FROM co")
+@register(QUERIES, f"WITH {_CO} SELECT i, j, round(c, 6) AS c FROM co")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """Of all terms in five documents or more, as in idf and tfidf, however large the corpus."""
     return _co(spark, d).select("i", "j", F.round("c", 6).alias("c"))
 
 
-@register(QUERIES, f"WITH {_CUT} SELECT co.i, co.j, round(greatest(0.0, log2(co.c) - log2(a.c) - log2(b.c)), 6) AS pmi FROM co JOIN co a ON a.i = a.j AND a.i = co.i JOIN co b ON b.i = b.j AND b.i = co.j")
+@register(QUERIES, f"WITH {_CO} SELECT co.i, co.j, round(greatest(0.0, log2(co.c) - log2(a.c) - log2(b.c)), 6) AS pmi FROM co JOIN co a ON a.i = a.j AND a.i = co.i JOIN co b ON b.i = b.j AND b.i = co.j")
 def ppmi(spark: SparkSession, d: str) -> DataFrame:
     return stats.pmi(_co(spark, d), positive=True).select("i", "j", F.round("pmi", 6).alias("pmi"))
 
 
-_CUT_ALL = _CUT.replace("df >= (SELECT n FROM n) * 0.2", "df >= 5")
-
-
-def _co_all(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return stats.cooccurrence(stats.term_counts(docs, min_df=5), docs.count())
-
-
-@register(QUERIES, f"WITH {_CUT_ALL} SELECT i, j, round(c, 6) AS c FROM co")
-def cooccurrence_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all terms in five documents or more, as in idf and tfidf, however large the corpus."""
-    return _co_all(spark, d).select("i", "j", F.round("c", 6).alias("c"))
-
-
-@register(QUERIES, f"WITH {_CUT_ALL} SELECT co.i, co.j, round(greatest(0.0, log2(co.c) - log2(a.c) - log2(b.c)), 6) AS pmi FROM co JOIN co a ON a.i = a.j AND a.i = co.i JOIN co b ON b.i = b.j AND b.i = co.j")
-def ppmi_all(spark: SparkSession, d: str) -> DataFrame:
-    return stats.pmi(_co_all(spark, d), positive=True).select("i", "j", F.round("pmi", 6).alias("pmi"))
-
-
 @register(QUERIES, f"WITH {C.gram_counts((2,))}, top AS (SELECT gram FROM counts ORDER BY cnt DESC, gram LIMIT 200), rows AS (SELECT doc_id AS id, unnest({C.grams('w', 2)}) AS gram FROM (SELECT doc_id, {C.words('lower(' + C.marks_to_spaces('''regexp_replace(text, '[0-9]+', '', 'g')''') + ')')} AS w FROM documents)) SELECT id, gram, round(log2(count(*) + 1), 6) AS weight FROM rows JOIN top USING (gram) GROUP BY 1, 2")
 def gram_features(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    vocab = grams.keep_top(grams.count_grams(docs, orders=(2,)), {2: 200})
+    vocab = grams.top_grams(docs, top={2: 200})
     return stats.gram_features(docs, vocab).select("id", "gram", F.round("weight", 6).alias("weight"))
 
 

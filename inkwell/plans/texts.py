@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import biblio, chunk, determiners, grams, records, sections
+from ..operators import biblio, chunk, determiners, grams, records, search, sections
 from ..sources import writers
 from . import common as C
 from .common import register, table
@@ -66,16 +66,13 @@ def char_functions(spark: SparkSession, d: str) -> DataFrame:
         T.remove_marks(s).alias("e"), T.repair_line_wrap(s).alias("f"), T.mask_section_index(s).alias("g"))
 
 
-@register(QUERIES, f"SELECT doc_id, list_filter(string_split(replace(translate(regexp_replace(text, '<(.*?)>', '', 'g'), {C.lit(K.ALL_MARKS)}, ''), chr(10), ' '), ' '), lambda w: w <> '')[1:5]::VARCHAR AS head, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_paragraphs, CAST(len(list_filter(string_split(text, '. '), lambda w: w <> '')) AS INTEGER) AS n_segments FROM documents".replace("::VARCHAR", "").replace("list_filter(string_split(replace(", "array_to_string(list_filter(string_split(replace(", 1).replace("[1:5] AS head", "[1:5], '|') AS head"))
-def plain_tokens(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(T.plain_tokens(s), 1, 5), "|").alias("head"), F.size(T.paragraphs(s)).alias("n_paragraphs"), F.size(T.segments(s)).alias("n_segments"))
+_PLAIN = f"list_filter(string_split(replace(translate(regexp_replace(text, '<(.*?)>', '', 'g'), {C.lit(K.ALL_MARKS)}, ''), chr(10), ' '), ' '), lambda w: w <> '')"
 
 
-@register(QUERIES, f"SELECT doc_id, array_to_string(list_filter(string_split(replace(translate(regexp_replace(text, '<(.*?)>', '', 'g'), {C.lit(K.ALL_MARKS)}, ''), chr(10), ' '), ' '), lambda w: w <> ''), '|') AS tokens FROM documents")
-def plain_tokens_all(spark: SparkSession, d: str) -> DataFrame:
-    """All tokens of each text; plain_tokens has the first five."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.plain_tokens(F.col("text")), "|").alias("tokens"))
+@register(QUERIES, f"SELECT doc_id, array_to_string({_PLAIN}, '|') AS tokens, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_paragraphs, CAST(len(list_filter(string_split(text, '. '), lambda w: w <> '')) AS INTEGER) AS n_segments FROM documents")
+def plain_tokens(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.plain_tokens(s), "|").alias("tokens"), F.size(T.paragraphs(s)).alias("n_paragraphs"), F.size(T.segments(s)).alias("n_segments"))
 
 
 # Filters and masks
@@ -159,12 +156,10 @@ def section_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", part("h1").alias("h1"), part("article").alias("article"))
 
 
-@register(QUERIES, """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id,
-    CASE WHEN len(l) < 2 THEN '' ELSE coalesce(l[2], '') END AS content FROM a""")
+@register(QUERIES, "SELECT doc_id, replace(text, chr(10), ' ') AS content FROM documents")
 def article_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Documents wrapped as articles, each line but the first a section; the methods are read back."""
-    lines = F.split("text", "\n")
-    xml = F.concat(F.lit("<title>Methods</title>"), F.coalesce(F.get(lines, 1), F.lit("")), F.lit("<title>Results</title>end"))
+    """Documents wrapped as articles between two titles; the methods are read back."""
+    xml = F.concat(F.lit("<title>Abstract</title>short<title>Methods</title>"), F.translate("text", "\n", " "), F.lit("<title>Results</title>end"))
     rows = table(spark, d, "documents").select("doc_id", xml.alias("x"))
     return rows.select("doc_id", sections.extract_section(F.col("x"), "Methods").alias("content"))
 
@@ -183,7 +178,7 @@ _TOP = "SELECT n, gram, cnt FROM (SELECT *, row_number() OVER (PARTITION BY n OR
 
 def _topk(name: str, n: int, k: int) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return grams.keep_top(grams.count_grams(table(spark, d, "documents"), orders=(n,)), {n: k})
+        return grams.top_grams(table(spark, d, "documents"), top={n: k})
 
     QUERIES[name] = (run, f"WITH {C.gram_counts((n,))} {_TOP.format(k)}")
 
@@ -200,7 +195,7 @@ def gram_merge_partials(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    return grams.keep_top(grams.count_grams(table(spark, d, "documents")), {1: 2000, 2: 2000, 3: 2000})
+    return grams.top_grams(table(spark, d, "documents"), top={1: 2000, 2: 2000, 3: 2000})
 
 
 _KEPT = f"{C.gram_counts()}, kept AS ({_TOP.format(2000)}), leads AS (SELECT n, regexp_extract(gram, '^(.*) (\\S+)$', 1) AS lead, gram AS phrase, regexp_extract(gram, '^(.*) (\\S+)$', 2) AS cur, cnt AS freq FROM kept WHERE n > 1)"
@@ -263,26 +258,12 @@ def _subset(s: str) -> str:
     return f"list_distinct(flatten(list_transform({_TOKENS.format(s)}, lambda w: {_SUB.format('w')})))"
 
 
-@register(QUERIES, f"""WITH q AS (SELECT item_id, {_subset('text')} AS q FROM benchmark WHERE item_id < 20), s AS (SELECT doc_id, {_subset('text')} AS s FROM documents)
+@register(QUERIES, f"""WITH q AS (SELECT item_id, {_subset('text')} AS q FROM benchmark WHERE item_id % 100 = 0), s AS (SELECT doc_id, {_subset('text')} AS s FROM documents)
     SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, s)) / len(q)::DOUBLE END, 6) AS coverage FROM q, s""")
 def query_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of the first twenty queries only; query_coverage_all has the others."""
-    return _coverage(table(spark, d, "benchmark").where("item_id < 20"), table(spark, d, "documents"))
-
-
-@register(QUERIES, f"""WITH q AS (SELECT item_id, {_subset('text')} AS q FROM benchmark), s AS (SELECT doc_id, {_subset('text')} AS s FROM documents)
-    SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, s)) / len(q)::DOUBLE END, 6) AS coverage FROM q, s""")
-def query_coverage_all(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of every benchmark item, in blocks, against every document."""
-    return _coverage(table(spark, d, "benchmark"), table(spark, d, "documents"))
-
-
-def _coverage(items: DataFrame, docs: DataFrame) -> DataFrame:
-    sub = lambda s: F.array_distinct(T.subword_set(T.token_set(s, K.DETERMINERS)))
-    q = items.groupBy(F.expr("item_id div 20").alias("block")).agg(F.collect_list(F.struct("item_id", sub(F.col("text")).alias("q"))).alias("qs")).withColumn("one", F.lit(1))
-    s = docs.select("doc_id", sub(F.col("text")).alias("s"), F.lit(1).alias("one"))
-    rows = s.join(F.broadcast(q), "one").select("doc_id", "s", F.explode("qs").alias("x"))
-    return rows.select("x.item_id", "doc_id", F.round(T.coverage(F.col("x.q"), F.col("s")), 6).alias("coverage"))
+    """The stated query set, items whose id is divisible by 100, against every document."""
+    return search.coverage_of(table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")).select(
+        F.col("query_id").alias("item_id"), "doc_id", F.round("coverage", 6).alias("coverage"))
 
 
 @register(QUERIES, "SELECT a.n_name AS a, b.n_name AS b, round(levenshtein(replace(a.n_name, ' ', ''), replace(b.n_name, ' ', '')) / greatest(length(a.n_name), length(b.n_name))::DOUBLE, 6) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
@@ -309,71 +290,93 @@ def upsert_dedup(spark: SparkSession, d: str) -> DataFrame:
     return writers.upserted(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("id", "doc_id")
 
 
-# Bibliography, on literal records
+# Bibliography, on records and sections made of tables
+
+_RIS = """concat('TY  - JOUR\nT1  - Second ', p_name, '\nTI  - ', p_name, '\nAU  - ', p_brand, ', A.\nA1  - ', p_type, ', B.\nJF  - Journal ', p_type, '\nJO  - ', p_type,
+    CASE WHEN p_partkey % 2 = 0 THEN concat('\nJA  - ', p_brand) ELSE '' END, '\nPY  - ', 1990 + p_size, CASE WHEN p_partkey % 3 = 0 THEN concat('\nY1  - ', 1930 + p_size) ELSE '' END,
+    '\nVL  - ', p_size, '\nIS  - ', p_partkey % 5, '\nSP  - ', p_partkey, '\nEP  - ', p_partkey + 9)"""
+_ENW = """concat('%0 Journal Article\n%T ', p_name, ' of note\n%A ', p_brand, '\n%A ', p_type, '\n%J Journal of ', p_type, '\n%V ', p_size, CASE WHEN p_partkey % 2 = 1 THEN concat('\n%N ', p_partkey % 4) ELSE '' END,
+    '\n%P ', p_partkey, '-', p_partkey + 3, '\n%D ', 1990 + p_size, '\n%I Press')"""
+_BIB = """concat('@article{x,\n author={', p_brand, ' and ', p_type, '},\n title={On ', p_name, '},\n journal={Journal ', p_type, '},\n', CASE WHEN p_partkey % 2 = 0 THEN concat(' booktitle={Proc. ', p_size, '},\n') ELSE '' END,
+    ' year={', 1990 + p_size, '},\n pages={', p_partkey, '-', p_partkey + 1, '},\n location={Rome},\n url={http://x.y/', p_partkey, '},\n}')"""
+
+
+def _records(spark: SparkSession, d: str, form: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("rec"), F.expr(form).alias("text"))
+
 
-_RIS = "TY  - JOUR\nT1  - Second title\nTI  - First title\nAU  - Doe, J.\nA1  - Roe, R.\nJF  - Journal full\nJO  - Journal\nJA  - J.\nPY  - 2001\nY1  - 2002\nVL  - 7\nIS  - 3\nSP  - 10\nEP  - 20"
-_ENW = "%0 Journal Article\n%T A title of note\n%A Doe, J.\n%A Roe, R.\n%J Journal of Things\n%V 5\n%N 2\n%P 1-9\n%D 1999\n%I Press"
-_BIB = "@article{x,\n author={Doe, John and Roe, Jane},\n title={On things},\n journal={Journal},\n booktitle={Proc.},\n year={2010},\n pages={1-2},\n location={Rome},\n url={http://x.y},\n}"
+def _collapse(s: str) -> str:
+    return f"trim(regexp_replace({s}, '\\s\\s+', ' ', 'g'))"
 
 
-@register(QUERIES, """SELECT 1 AS rec, field, value FROM (VALUES ('type', 'JOUR'), ('title', 'First title'), ('author', 'Doe, J., Roe, R.'), ('journal', 'Journal'), ('abbrev', 'J.'),
-    ('year', '2002'), ('volume', '7'), ('issue', '3'), ('start_page', '10'), ('end_page', '20')) t(field, value)""")
+@register(QUERIES, """SELECT rec, f.field AS field, f.value AS value FROM (SELECT p_partkey AS rec, unnest([{'field': 'type', 'value': 'JOUR'}, {'field': 'title', 'value': p_name}, {'field': 'author', 'value': p_brand || ', A., ' || p_type || ', B.'},
+    {'field': 'journal', 'value': p_type}, {'field': 'abbrev', 'value': CASE WHEN p_partkey % 2 = 0 THEN p_brand END}, {'field': 'year', 'value': CASE WHEN p_partkey % 3 = 0 THEN 1930 + p_size ELSE 1990 + p_size END::VARCHAR},
+    {'field': 'volume', 'value': p_size::VARCHAR}, {'field': 'issue', 'value': (p_partkey % 5)::VARCHAR}, {'field': 'start_page', 'value': p_partkey::VARCHAR}, {'field': 'end_page', 'value': (p_partkey + 9)::VARCHAR}]) AS f FROM part) WHERE f.value IS NOT NULL""")
 def ris_priority(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, _RIS)], "rec int, text string")
-    return biblio.best_fields(biblio.tagged_fields(rows, "ris")).select("rec", "field", F.array_join("values", ", ").alias("value"))
+    """Every part as a RIS record; of a field's keys those of the highest priority count."""
+    return biblio.best_fields(biblio.tagged_fields(_records(spark, d, _RIS), "ris")).select("rec", "field", F.array_join("values", ", ").alias("value"))
 
 
-@register(QUERIES, "SELECT 1 AS rec, 'Doe, J., Roe, R.. A title of note. Journal of Things 1999;5(2):1-9.' AS citation, 'Doe, J., 1999, A title of' AS citation_short, 'A title of note' AS title, 'Doe, J., Roe, R.' AS author, 'Journal of Things' AS journal, '' AS link")
+@register(QUERIES, f"""WITH r AS (SELECT p_partkey AS rec, p_brand || ', ' || p_type AS author, p_name || ' of note' AS title, 'Journal of ' || p_type AS journal, (1990 + p_size)::VARCHAR AS year,
+      p_size || CASE WHEN p_partkey % 2 = 1 THEN '(' || (p_partkey % 4) || ')' ELSE '' END || ':' || p_partkey || '-' || (p_partkey + 3) || '.' AS place FROM part)
+    SELECT rec, {_collapse("author || '. ' || title || '. ' || journal || ' ' || year || ';' || place")} AS citation, {_collapse("substr(author, 1, 7) || ', ' || year || ', ' || substr(title, 1, 10)")} AS citation_short, title, author, journal, '' AS link FROM r""")
 def enw_parse(spark: SparkSession, d: str) -> DataFrame:
-    return biblio.tagged_records(spark.createDataFrame([(1, _ENW)], "rec int, text string"), "enw")
+    """Every part as an ENW record."""
+    return biblio.tagged_records(_records(spark, d, _ENW), "enw")
 
 
-@register(QUERIES, "SELECT 'Doe, John and Roe, Jane. On things. Proc., 1-2, Rome, 2010' AS citation, 'Doe, Jo, 2010, On things' AS citation_short, 'On things' AS title, 'Doe, John and Roe, Jane' AS author, 'Journal' AS journal, 'http://x.y' AS link")
+@register(QUERIES, f"""WITH r AS (SELECT p_partkey AS rec, p_brand || ' and ' || p_type AS author, 'On ' || p_name AS title, 'Journal ' || p_type AS journal, (1990 + p_size)::VARCHAR AS year,
+      CASE WHEN p_partkey % 2 = 0 THEN 'Proc. ' || p_size ELSE 'Journal ' || p_type END || ', ' || p_partkey || '-' || (p_partkey + 1) || ', Rome, ' AS place FROM part)
+    SELECT rec, {_collapse("author || '. ' || title || '. ' || place || year")} AS citation, {_collapse("substr(author, 1, 7) || ', ' || year || ', ' || substr(title, 1, 10)")} AS citation_short, title, author, journal, 'http://x.y/' || rec AS link FROM r""")
 def bibtex_parse(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(_BIB,)], "text string").select(biblio.bibtex(F.col("text")).alias("r")).select("r.*")
+    """Every part as a BibTeX entry."""
+    return _records(spark, d, _BIB).select("rec", biblio.bibtex(F.col("text")).alias("r")).select("rec", "r.*")
 
 
-_SECTIONS = [(1, "Results", "as [&b&] and [&a&]"), (1, "Introduction", "see [&c&], [&a&] and [&c&]"), (2, "Abstract", "no mark"), (2, "Methods", "[&z&]")]
-_USES = "(VALUES (1, 'Introduction', 2, 0, 'c'), (1, 'Introduction', 2, 1, 'a'), (1, 'Introduction', 2, 2, 'c'), (1, 'Results', 4, 0, 'b'), (1, 'Results', 4, 1, 'a'), (2, 'Methods', 3, 0, 'z')) u(doc_id, section, rank, pos, ref)"
+_USES = """uses AS (SELECT * FROM (SELECT doc_id // 4 AS doc_id, ['Results', 'Introduction', 'Abstract', 'Methods'][doc_id % 4 + 1] AS section, [4, 2, 1, 3][doc_id % 4 + 1] AS rank, unnest([0, 1, 2]) AS pos, unnest([source, lang, source]) AS ref
+    FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL))"""
 
 
-def _uses(spark: SparkSession) -> DataFrame:
-    return biblio.reference_uses(spark.createDataFrame(_SECTIONS, "doc_id int, section string, text string"))
+def _uses(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as sections of four to a paper, which cite their source, their language and their source again."""
+    names = F.array(*map(F.lit, ("Results", "Introduction", "Abstract", "Methods")))
+    text = F.concat(F.lit("see [&"), "source", F.lit("&], [&"), "lang", F.lit("&] and [&"), "source", F.lit("&]"))
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 4").alias("doc_id"), F.get(names, (F.col("doc_id") % 4).cast("int")).alias("section"), text.alias("text"))
+    return biblio.reference_uses(rows)
 
 
-@register(QUERIES, f"SELECT doc_id, ref, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank, pos) AS INTEGER) AS idx FROM (SELECT doc_id, ref, min(rank * 1000 + pos) // 1000 AS rank, min(rank * 1000 + pos) % 1000 AS pos FROM {_USES} GROUP BY 1, 2)")
+@register(QUERIES, f"WITH {_USES} SELECT doc_id, ref, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_use) AS INTEGER) AS idx FROM (SELECT doc_id, ref, min(rank * 1000 + pos) AS first_use FROM uses GROUP BY 1, 2)")
 def citation_number(spark: SparkSession, d: str) -> DataFrame:
-    return biblio.number_references(_uses(spark))
+    return biblio.number_references(_uses(spark, d))
 
 
-@register(QUERIES, f"SELECT doc_id, section, ref, count(*) AS times FROM {_USES} GROUP BY ALL")
+@register(QUERIES, f"WITH {_USES} SELECT doc_id, section, ref, count(*) AS times FROM uses GROUP BY ALL")
 def citation_count(spark: SparkSession, d: str) -> DataFrame:
-    return biblio.count_references(_uses(spark))
+    return biblio.count_references(_uses(spark, d))
 
 
 # Language: rows only
 
 
 def tag_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     return rows.select("doc_id", F.transform(chunk.tag(F.col("s")), lambda w: F.concat(w["word"], F.lit("/"), w["tag"])).alias("t")).select("doc_id", chunk.parse_tags(F.array_join("t", " ")).alias("tagged"))
 
 
 def chunk_np_vp(spark: SparkSession, d: str) -> DataFrame:
-    tagged = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    tagged = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     tagged = tagged.select("doc_id", "pos", chunk.tag(F.col("s")).alias("w"))
-    both = tagged.select("doc_id", "pos", *[chunk.chunk(F.col("w"), x).alias(x) for x in ("NP", "VP")])
-    return both.select("doc_id", "pos", *[F.size(chunk.extract(F.col(x), x, join_neighbours=True)).alias(f"n_{x.lower()}") for x in ("NP", "VP")])
+    return tagged.select("doc_id", "pos", *[F.size(chunk.extract(chunk.chunk(F.col("w"), x), x, join_neighbours=True)).alias(f"n_{x.lower()}") for x in ("NP", "VP")])
 
 
 def remove_subject(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     rows = rows.select("doc_id", "pos", chunk.chunk(chunk.tag(F.col("s")), "SV").alias("c"))
     return rows.select("doc_id", "pos", F.array_join(chunk.remove_subject(F.col("c")), " ").alias("txt"))
 
 
 def determiner_suggest(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
     return determiners.suggest(rows)
 
 

@@ -12,7 +12,7 @@ NAME = "element_at(split(_metadata.file_path, '/'), -1)"
 
 
 def files(spark: SparkSession, folder: str, suffix: str = "*", recursive: bool = False) -> DataFrame:
-    """(path, name, text): whole text files; an unreadable one is left out, an empty one is ''."""
+    """(path, name, text): whole text files; an unreadable or empty one is no row, so a join from the names gives '' for it."""
     reader = spark.read.option("pathGlobFilter", suffix).option("ignoreCorruptFiles", True)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
@@ -20,7 +20,7 @@ def files(spark: SparkSession, folder: str, suffix: str = "*", recursive: bool =
 
 
 def listing(spark: SparkSession, folder: str, suffix: str = "*", recursive: bool = False, least: int = 0) -> DataFrame:
-    """(path, name, size) of files larger than ``least`` bytes, contents unread."""
+    """(path, name, size) of files larger than ``least`` bytes, contents unread; empty files are no rows."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", suffix)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)

@@ -76,3 +76,10 @@ def write_paper_info(rows: DataFrame, path: str) -> None:
 
 def write_document(row: DataFrame, path: str) -> None:
     row.write.json(path)
+
+
+def flat_copy(spark: SparkSession, folder: str, path: str, suffix: str = "*") -> None:
+    """Matched files of a folder and all below it as one flat table of (name, content), the last path of equal names."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True).load(folder)
+    named = rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content")
+    named.groupBy("name").agg(F.max_by("content", "path").alias("content")).write.parquet(path)
