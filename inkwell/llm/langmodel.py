@@ -342,8 +342,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         base = np.bincount(doc, np.log10(n[t] + 0.5), len(size)) - size * norm
         home = ((ident.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % gram_shards
         split = n > heavy
-        ids = np.array([x or 0 for x in row["ids"]], np.int64), np.array([x is None for x in row["ids"]])
-        blobs.append((int(row["batch"] % gram_shards), 0, _pack(*ids, held, known, base, _least(home), split)))
+        blobs.append((int(row["batch"] % gram_shards), 0, _pack(known, base, _least(home), split)))
         train = np.add.reduceat((~held)[doc[order]].astype(np.int64), begins)
         ctx, word = pair // width, pair % width
         shard = _shards_of(ctx, word, home, split, gram_shards)
@@ -400,19 +399,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def gather(left, right):
         row = left.to_pylist()[0]
         rows = sorted(zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(), right.column("blob").to_pylist()), key=lambda r: r[:2])
-        ids, null, held, known, base, home, split = _unpack(rows[0][2])
+        known, base, home, split = _unpack(rows[0][2])
         _, doc, pair, order, begins = _bigrams(row)
         by = np.argsort(_shards_of(pair // row["n_words"], pair % row["n_words"], home.astype(np.int64), split, gram_shards), kind="stable")
         log = np.empty(len(pair))
         log[by] = np.concatenate([_unpack(x)[0] for _, _, x in rows[1:]]) / -PROB_STEPS
         size = np.array(row["size"], np.int64)
         score = np.bincount(doc[order], np.repeat(log, np.diff(np.append(begins, len(order)))), len(size))
-        ids = pa.array(ids, mask=null)
-        cols = (ids, held, size, known, np.full(len(score), n_all), base, score)
-        return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, t) for n, c, t in zip(names, cols, types)})
+        cols = (row["ids"], row["held"], size, known, np.full(len(score), n_all), base, score)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
     texts = made.select("batch", "ids", "held", "size", "tokens", "n_words", "end").groupBy("batch")
     asked = texts.cogroup(counted.where("batch is not null").groupBy("batch")).applyInArrow(grams, "shard int, batch long, kind int, blob binary")
     found = asked.groupBy("shard").applyInArrow(look_up, "shard int, batch long, kind int, blob binary")
-    again = made.select("batch", "size", "tokens", "n_words", "end").groupBy("batch")
-    return again.cogroup(found.groupBy("batch")).applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.cogroup(found.groupBy("batch")).applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
