@@ -59,9 +59,9 @@ def update_centers(centers: list[list[float]], weights: list[float], batch: Data
     return new, w
 
 
-def members(df: DataFrame, cluster: str = "label", id_col: str = "vec_id") -> DataFrame:
-    """(cluster, ids) in order."""
-    return df.groupBy(cluster).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+def members(df: DataFrame, cluster: str = "label", id_col: str = "vec_id", width: int = 1_000) -> DataFrame:
+    """(cluster, page, ids) in order, in pages by ranges of ids, so that a cluster can have any size."""
+    return df.groupBy(cluster, F.floor(F.col(id_col) / width).alias("page")).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
 
 
 def medoids(pairs: DataFrame) -> DataFrame:

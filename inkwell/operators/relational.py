@@ -39,6 +39,12 @@ def collect_groups(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
+def collect_pages(rows: DataFrame, key: str, value: str, width: int = 1_000) -> DataFrame:
+    """(key, page, values): a key's whole numbers in order, in pages by ranges of ``width``, for keys of any size."""
+    paged = rows.groupBy(key, F.floor(F.col(value) / width).alias("page"))
+    return paged.agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
 def union_keys(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, tables).distinct()
 

@@ -170,10 +170,24 @@ def neighbours(groups: DataFrame, keys=("doc_id",), pos: str = "sent_id", text:
     return groups.join(side("prev", 1), on, "left").join(side("next", -1), on, "left").fillna("", ["prev", "next"])
 
 
-def next_text(rows: DataFrame, order: str, text: str, keys=()) -> DataFrame:
-    """The next row's text, or 'None'."""
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    return rows.withColumn("next", F.coalesce(F.lead(text).over(w), F.lit("None")))
+def next_text(rows: DataFrame, order: str, text: str, keys=(), width: int = 10_000) -> DataFrame:
+    """The next row's text, or 'None'. ``order`` is a whole number.
+
+    Rows are ordered within ranges of ``width`` of it, and a range's last row takes the first text of the next range
+    that has any, so a key with very many rows is never sorted in one task.
+    """
+    rows = rows.withColumn("__part", F.floor(F.col(order) / width))
+    firsts = rows.groupBy(*keys, "__part").agg(F.min_by(text, order).alias("__text"))
+    by = Window.partitionBy(*keys).orderBy("__part") if keys else Window.orderBy("__part")
+    firsts = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.lead("__text").over(by).alias("__after"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(order)
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    last = F.lead(F.lit(True)).over(inside).isNull()
+    found = rows.withColumn("next", F.lead(text).over(inside)).withColumn("__last", last).join(firsts, same)
+    out = F.coalesce(F.when(F.col("__last"), F.col("__after")).otherwise(F.col("next")), F.lit("None"))
+    return found.withColumn("next", out).drop("__part", "__p", "__last", "__after", *[f"__k{i}" for i in range(len(keys))])
 
 
 def without_gaps(ids: Column, n: int | Column) -> Column:

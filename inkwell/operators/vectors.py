@@ -237,6 +237,14 @@ def sentence_similarity(matrix: DataFrame, a: list[str], b: list[str], side: str
     return (best / d * (d - left) + left) / d
 
 
+def projection_matrix(width: int, size: int, seed: int = 0, sparse: bool = True) -> np.ndarray:
+    """(size, width) seeded random numbers: signs and zeros, or normal ones."""
+    rng = np.random.default_rng(seed)
+    if sparse:
+        return rng.choice([-1.0, 0.0, 1.0], (size, width), p=[1 / 6, 2 / 3, 1 / 6]) * (3 / size) ** 0.5
+    return rng.normal(0, size ** -0.5, (size, width))
+
+
 def random_projection(df: DataFrame, size: int, vec_col: str = "embedding", seed: int = 0, sparse: bool = True) -> DataFrame:
     """Vectors projected by a seeded random matrix; kept as they are if they are no longer than ``size``.
 
@@ -245,9 +253,7 @@ def random_projection(df: DataFrame, size: int, vec_col: str = "embedding", seed
     width = df.select(F.max(F.size(vec_col))).first()[0] or 0
     if width <= size:
         return df
-    rng = np.random.default_rng(seed)
-    m = rng.choice([-1.0, 0.0, 1.0], (size, width), p=[1 / 6, 2 / 3, 1 / 6]) * (3 / size) ** 0.5 if sparse else rng.normal(0, size ** -0.5, (size, width))
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in m])
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in projection_matrix(width, size, seed, sparse)])
     return df.withColumn(vec_col, F.transform(rows, lambda r: dot(F.col(vec_col), r)))
 
 

@@ -32,10 +32,10 @@ def lookup_default(spark: SparkSession, d: str) -> DataFrame:
     return relational.look_up(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", "quality", F.lit(-1))
 
 
-@register(QUERIES, "SELECT source, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY 1")
+@register(QUERIES, "SELECT source, doc_id // 1000 AS page, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY 1, 2")
 def group_collect(spark: SparkSession, d: str) -> DataFrame:
-    rows = relational.collect_groups(table(spark, d, "documents"), "source", "doc_id")
-    return rows.select("source", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("ids"))
+    rows = relational.collect_pages(table(spark, d, "documents"), "source", "doc_id")
+    return rows.select("source", "page", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @register(QUERIES, "SELECT DISTINCT l_partkey AS k FROM lineitem UNION SELECT p_partkey FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cluster, stats, vectors
+from ..operators import cluster, smallworld, stats, vectors
 from . import common as C
 from .common import register, table
 
@@ -68,9 +68,9 @@ def medoid_per_label(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cosine_medoids(table(spark, d, "embeddings")).withColumnRenamed("label", "block")
 
 
-@register(QUERIES, "SELECT label, array_to_string(list_sort(list(vec_id)), ',') AS ids FROM embeddings GROUP BY 1")
+@register(QUERIES, "SELECT label, vec_id // 1000 AS page, array_to_string(list_sort(list(vec_id)), ',') AS ids FROM embeddings GROUP BY 1, 2")
 def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.members(table(spark, d, "embeddings")).select("label", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return cluster.members(table(spark, d, "embeddings")).select("label", "page", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 _SET = f"list_distinct(flatten(list_transform(list_distinct(list_filter({C.words('lower({})')}, lambda w: w NOT IN ('a', 'an', 'the'))), lambda w: list_transform(range(1, greatest(length(w) - 4, 1) + 1), lambda i: CASE WHEN length(w) < 5 THEN w ELSE substr(w, i, 5) END))))"
@@ -145,12 +145,30 @@ def pca_embed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_projection(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.random_projection(table(spark, d, "embeddings"), 16).select("vec_id", "embedding")
+    """Eight numbers of each vector by the seeded matrix."""
+    rows = vectors.random_projection(table(spark, d, "embeddings"), 8).select("vec_id", F.posexplode("embedding").alias("d", "x"))
+    return rows.select("vec_id", "d", F.round("x", 5).alias("x"))
 
 
 def agglomerative_small(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.agglomerative(table(spark, d, "embeddings"), 3, group="label")
+    """Three clusters in each block of a label's vectors."""
+    rows = table(spark, d, "embeddings").withColumn("block", F.col("label").cast("long") * 1_000_000_000 + F.floor(F.col("vec_id") / BLOCK))
+    return cluster.agglomerative(rows, 3, group="block")
 
 
-for _f in (kmeans_embed, word2vec_embed, lsh_knn, ivf_knn, svd_embed, pca_embed, random_projection, agglomerative_small):
+def graph_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Ten near rows of every vector whose id is divisible by 100, by the small-world graphs of all blocks."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vec"))
+    return smallworld.search(smallworld.build(rows), asked, 10).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def _projection_sql(dim: int = 64, size: int = 8) -> str:
+    m = vectors.projection_matrix(dim, size)
+    dots = ", ".join(f"list_sum(list_transform(list_zip(embedding, {[float(x) for x in r]}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))" for r in m)
+    return f"SELECT vec_id, CAST(d AS INTEGER) AS d, round(v[d + 1], 5) AS x FROM (SELECT vec_id, [{dots}] AS v FROM embeddings), (SELECT unnest(range({size})) AS d)"
+
+
+for _f in (kmeans_embed, word2vec_embed, lsh_knn, ivf_knn, graph_knn, svd_embed, pca_embed, agglomerative_small):
     QUERIES[_f.__name__] = (_f, None)
+QUERIES["random_projection"] = (random_projection, _projection_sql())

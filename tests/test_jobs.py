@@ -58,3 +58,19 @@ def test_corpus(spark):
 def test_citations(spark):
     numbers, counts, texts = jobs.number_citations(spark.createDataFrame([(1, "Results", "[&b&]"), (1, "Abstract", "[&a&]")], "doc_id int, section string, text string"))
     assert {r.ref: r.idx for r in numbers.collect()} == {"a": 1, "b": 2} and counts.count() == 2 and {r.text for r in texts.collect()} == {"[1]", "[2]"}
+
+
+def test_titles_vocabulary_and_idf(spark):
+    article = '<PubmedArticle><ArticleId IdType="pubmed">7</ArticleId><ArticleTitle>On cells</ArticleTitle><Abstract>They grow.</Abstract></PubmedArticle>'
+    links = spark.createDataFrame([("<LinkSet><IdList><Id>7</Id></IdList></LinkSet>",)], "xml string")
+    rows = jobs.title_records(spark.createDataFrame([(article,)], "xml string"), links)
+    r = rows.first()
+    assert (r.pmid, r.title, r.abstract, r.num_cited) == ("7", "On cells", "They grow.", 1)
+    assert jobs.project_titles(rows, "for_display").first().text == "On cells\nThey grow."
+    docs = spark.createDataFrame([("cells grow cells",), ("the cells",)], "text string")
+    assert jobs.subject_vocabulary(docs, "bio").first().unigram_freq == {"cells": 3, "grow": 1}
+    found = {r.term: r.is_stop for r in jobs.idf_table(docs, 1, "whole", "text").collect()}
+    assert found == {"cells": False, "grow": False, "the": True}
+    assert {r.term: r.is_stop for r in jobs.idf_table(docs, 2, "none", "text").collect()} == {"cells": False, "grow": True, "the": True}
+    said = spark.createDataFrame([(1, 0, "A cat can go"), (1, 1, "cat can go"), (1, 2, "References"), (1, 3, "cat")], "doc_id int, pos int, sentence string")
+    assert {(r.pos, r.noun): r.suggestion for r in jobs.suggest_determiners(said).collect()}[1, "cat"] == "this" and jobs.suggest_determiners(said).where("pos > 1").count() == 0
