@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Distinct edges at most whose components are found in one task.
 SMALL_GRAPH = 100_000
+#: Folders of materialized tables that are still there.
+_MADE: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,20 +37,25 @@ def materialize(df: DataFrame) -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/inkwell/{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    path = f"{scratch_root(spark)}/inkwell/{name}"
     df.write.parquet(path)
+    _MADE.add(name)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/inkwell/" in name:
-            target = spark._jvm.org.apache.hadoop.fs.Path(name)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind materialized tables that nothing reads any more. Other tables stay as they are."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            name = folder.rsplit("/", 1)[-1]
+            if name in _MADE:
+                _MADE.remove(name)
+                target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -345,11 +345,15 @@ def _link(nodes: DataFrame, groups: DataFrame, pairs: DataFrame, texts: DataFram
     for c in ("ra", "rb"):
         doubt = doubt.join(tops.select(F.col("root").alias(c), F.col("top").alias("t" + c)), c, "left").withColumn(c, F.coalesce("t" + c, c))
     doubt = materialize(doubt.where("ra <> rb").select("a", "b", "ra", "rb"))
+    discard(near, tops)
     if doubt.isEmpty():
         return groups
     told = _told(nodes, doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
     both = doubt.join(told.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(told.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
-    return _joined(_tops(both.select("ra", "rb", "ha", "hb").mapInArrow(tidy(_similar), "a long, b long")), groups)
+    tops = _tops(both.select("ra", "rb", "ha", "hb").mapInArrow(tidy(_similar), "a long, b long"))
+    groups = _joined(tops, groups)
+    discard(doubt, told, tops)
+    return groups
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
@@ -429,6 +433,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if not met.where(F.col("n") > PAIR_LIMIT).isEmpty():
         tops = _tops(_crowds(met, groups, nodes, src).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         groups = _joined(tops, groups)
+        discard(tops)
     discard(met)
     named = nodes.select("node", "doc").join(groups, "node")
     lowest = named.groupBy("root").agg(F.min("doc").alias("group_id"))
