@@ -29,22 +29,25 @@ def extract_section(s: Column, section: str) -> Column:
     start title, else between it and further end titles. The last match counts; the first success ends the search.
     """
     starts, ends = (titles(x) for x in K.SECTION_TITLES[section])
-    listed = lambda names: "|".join(re.escape(x) for x in sorted(set(names), key=len, reverse=True))
+    any_of = lambda names: "|".join(re.escape(x) for x in sorted(set(names), key=len, reverse=True))
+    literals = lambda names: F.array(*map(F.lit, names))
+
+    def patterns(x, a):
+        """What to look for with a start title, in order, of titles that the article has. Titles are plain words."""
+        both = lambda b: F.array_contains(x["titles"], a) & F.array_contains(x["titles"], b)
+        between = lambda names: F.transform(F.filter(literals(names), both), lambda b: F.concat(F.lit("(?d)<title>"), a, F.lit("</title>(.*?)<title>"), b, F.lit("</title>")))
+        own = F.filter(F.array(a), lambda t: F.array_contains(x["elements"], t))
+        return F.concat(between(ends[:1]), F.transform(own, lambda t: F.concat(F.lit("(?d)<"), t, F.lit(">(.*?)</"), t, F.lit(">"))), between(ends[1:]))
 
     def find(x):
-        """Only titles that the article has are looked for."""
-        tries = []
-        for a in starts:
-            q = re.escape(a)
-            between = [F.when(F.array_contains(x["titles"], a) & F.array_contains(x["titles"], b), _last(x["text"], f"<title>{q}</title>(.*?)<title>{re.escape(b)}</title>")) for b in ends]
-            tries += [between[0], F.when(F.array_contains(x["elements"], a), _last(x["text"], f"<{q}>(.*?)</{q}>")), *between[1:]]
-        return F.coalesce(*tries, F.lit(""))
+        tries = F.flatten(F.transform(literals(starts), lambda a: patterns(x, a)))
+        found = F.transform(tries, lambda p: F.try_element_at(F.regexp_extract_all(x["text"], p, F.lit(1)), F.lit(-1)))
+        return F.coalesce(F.try_element_at(F.filter(found, lambda r: r.isNotNull()), F.lit(1)), F.lit(""))
 
     text = F.coalesce(s, F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(f"<title>({listed(starts + ends)})</title>"), F.lit(1))
-    own = F.regexp_extract_all(text, F.lit(f"<({listed(starts)})>"), F.lit(1))
-    article = F.array(F.struct(text.alias("text"), found.alias("titles"), own.alias("elements")))
-    return F.transform(article, find)[0]
+    titled = F.regexp_extract_all(text, F.lit(f"<title>({any_of(starts + ends)})</title>"), F.lit(1))
+    own = F.regexp_extract_all(text, F.lit(f"<({any_of(starts)})>"), F.lit(1))
+    return F.transform(F.array(F.struct(text.alias("text"), titled.alias("titles"), own.alias("elements"))), find)[0]
 
 
 def plain_section(lines: DataFrame, section: str, doc: str = "doc_id", pos: str = "pos", line: str = "line") -> DataFrame:
