@@ -81,6 +81,11 @@ def words(s: Column) -> Column:
     return F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
 
 
+def count_squeezed(s: Column) -> Column:
+    """How many words a squeezed text has."""
+    return F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
+
+
 def fix_period(s: Column, drop_blank: bool = False) -> Column:
     """A space after each period. ``drop_blank`` leaves out pieces without content."""
     parts = F.split(s, "[.]")

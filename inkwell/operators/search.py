@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,14 +127,13 @@ def search(groups: DataFrame, query: str, id_col: str = "id", text_col: str = "c
         kept = filtered(groups, **conditions)
         hits = kept.join(scores, kept[id_col] == scores["id"]).drop(scores["id"])
     else:
-        terms = asked.first()["t"]
-        times = lambda t: F.size(F.filter("__w", lambda w: w == t))
-        counted = lambda df: df.withColumn("__w", analyze(F.col(text_col))).withColumn("__tf", F.array(*map(times, terms)).cast("array<int>"))
-        score = F.lit(1.0)
-        if scoring != "const":
-            df = counted(groups.select(text_col)).agg(F.count("*"), *[F.count_if(F.col("__tf")[i] > 0) for i in range(len(terms))]).first()
-            score = sum((F.lit(idf(df[0], df[i + 1])) * F.col("__tf")[i] / (F.col("__tf")[i] + K1) for i in range(len(terms))), F.lit(0.0))
-        hits = counted(filtered(groups, **conditions)).where(F.exists("__tf", lambda n: n > 0)).withColumn("score", score).drop("__w", "__tf")
+        terms, low, score = asked.first()["t"], F.lower(F.col(text_col)), F.lit(1.0)
+        whole = lambda t: f"(?U){t}(?!\\w)(?<!\\w{t})"  # noqa: E731  the word between other characters
+        if scoring != "const" and terms:
+            df = groups.agg(F.count("*"), *[F.count_if(low.rlike(whole(t))) for t in terms]).first()
+            tf = [F.regexp_count(low, F.lit(whole(t))) for t in terms]
+            score = sum((F.lit(idf(df[0], n)) * c / (c + K1) for c, n in zip(tf, df[1:])), F.lit(0.0))
+        hits = filtered(groups, **conditions).where(reduce(Column.__or__, [low.rlike(whole(t)) for t in terms], F.lit(False))).withColumn("score", score)
     hits = hits.withColumn("score", F.col("score") + ranges)
     order = [F.desc("score")] + ([F.desc("cited_times")] if "cited_times" in groups.columns else []) + [id_col]
     return hits.orderBy(*order).limit(size)

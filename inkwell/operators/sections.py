@@ -78,7 +78,7 @@ def sentence_groups(df: DataFrame, n: int, text_col: str = "text", keep=("doc_id
     rows = rows.where("content <> ''")
     if final_period:
         rows = rows.withColumn("content", F.when(F.endswith("content", F.lit(".")), F.col("content")).otherwise(F.concat("content", F.lit("."))))
-    return rows.select(*keep, "sent_id", "content", F.size(T.words(F.col("content"))).alias("number_of_words"), F.lit(n).alias("num_group"))
+    return rows.select(*keep, "sent_id", "content", T.count_squeezed(F.col("content")).alias("number_of_words"), F.lit(n).alias("num_group"))
 
 
 def article_groups(articles: DataFrame, n: int, xml_col: str = "nxml", keep=("doc_id",), sections=tuple(K.SECTION_TITLES)) -> DataFrame:

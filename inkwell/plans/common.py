@@ -11,8 +11,18 @@ from ..functions import constants as K
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables of texts. A small one is dealt out to all cores: it can be a single row group, which is read in one task.
+TEXTS = ("documents", "pages")
+#: Bytes for each core below which a table is small; larger ones are split by their files as they are.
+SMALL = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
+        return df.repartition(cores)
+    return df
 
 
 def register(into: dict, sql: str | None = None) -> Callable[[Query], Query]:
