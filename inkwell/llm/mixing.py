@@ -67,7 +67,7 @@ def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int, weights: d
         nodes = nodes.withColumn("budget", root) if above is None else nodes.join(above, path)
         shared = share_out(_weigh(nodes, level, weights.get(level, {}), default), path, level)
         path = [*path, level]
-        above = shared.select(*path, F.col("share").alias("budget"))
+        above = materialize(shared.select(*path, F.col("share").alias("budget")))  # a row for each node: keeps plans small
     return above.select(*LEVELS, F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
@@ -84,10 +84,10 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 1
     ``docs`` come last; they must not have the names of others.
     """
     rows = materialize(with_leaf(docs, id_col, text_col, carry))  # texts are read and counted once
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
     plan = leaf_budgets(leaves, fraction, max_epochs, weights).join(leaves.withColumnRenamed("tokens", "leaf_tokens"), list(LEVELS))
     full = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", full).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("leaf_tokens"))
+    plan = materialize(plan.withColumn("epochs", full).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("leaf_tokens")))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     ranked = rows.join(plan.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("ord", key)
     ranked = ranked.withColumn("span", F.substring("ord", 1, hex_digits))
