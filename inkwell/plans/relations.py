@@ -163,17 +163,19 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     return stats.tfidf(table(spark, d, "documents"), min_df=5).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-_CO = f"{_TF}, kept AS (SELECT id, term, tf FROM tf JOIN df USING (term) WHERE df >= 5), co AS (SELECT a.term AS i, b.term AS j, sum(a.tf * b.tf) / (SELECT n FROM n)::DOUBLE AS c FROM kept a JOIN kept b ON a.id = b.id AND a.term <= b.term GROUP BY 1, 2)"
+#: Texts that a term of a co-occurrence table is in at least: the production value, whatever the size of the corpus.
+MIN_DF = 100
+_CO = f"{_TF}, kept AS (SELECT id, term, tf FROM tf JOIN df USING (term) WHERE df >= {MIN_DF}), co AS (SELECT a.term AS i, b.term AS j, sum(a.tf * b.tf) / (SELECT n FROM n)::DOUBLE AS c FROM kept a JOIN kept b ON a.id = b.id AND a.term <= b.term GROUP BY 1, 2)"
 
 
 def _co(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return stats.cooccurrence(stats.term_counts(docs, min_df=5), docs.count())
+    return stats.cooccurrence(stats.term_counts(docs, min_df=MIN_DF), docs.count())
 
 
 @register(QUERIES, f"WITH {_CO} SELECT i, j, round(c, 6) AS c FROM co")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Of all terms in five documents or more, as in idf and tfidf, however large the corpus."""
+    """Of all terms in MIN_DF documents or more."""
     return _co(spark, d).select("i", "j", F.round("c", 6).alias("c"))
 
 

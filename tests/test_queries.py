@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from inkwell import plans
+from inkwell.operators import stats
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(plans.queries())
@@ -65,7 +68,14 @@ def test_cooccurrence_has_rare_terms(spark):
     tf = [Counter(w for w in re.split(r"[^\w]+", t.lower()) if len(w) >= 2) for t in texts]
     df = Counter(w for t in tf for w in t)
     want = {(a, b) for t in tf for k in [sorted(w for w in t if df[w] >= 5)] for n, a in enumerate(k) for b in k[n:]}
-    assert {(r.i, r.j) for r in plans.queries()["cooccurrence"](spark, SF).collect()} == want
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = stats.cooccurrence(stats.term_counts(docs, min_df=5)).collect()
+    assert {(r.i, r.j) for r in got} == want and len(got) == len(want)
+    sums = Counter()
+    for t in tf[:40]:
+        sums.update({("of", w): t["of"] * n for w, n in t.items() if df[w] >= 5 and w >= "of" and "of" in t})
+    some = stats.cooccurrence(stats.term_counts(docs, min_df=5).where(F.col("id").isin([r.doc_id for r in docs.select("doc_id").collect()][:40]))).where("i = 'of'").collect()
+    assert {(r.i, r.j): r.c for r in some} == dict(sums)
 
 
 def test_coverage_takes_the_stated_queries(spark):
