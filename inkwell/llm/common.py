@@ -86,8 +86,12 @@ def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def without_rows(df: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of a keyed table whose key isn't in ``gone``, without the key. Keys are unique, so no key is hot."""
-    return df.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns if c not in key])
+    """Rows of a keyed table whose key isn't in ``gone``, without the key.
+
+    ``gone`` is written first, so that the planner knows its size: below its broadcast limit the rows stay where they
+    are, else they are shuffled by their keys, of which none is hot.
+    """
+    return df.join(materialize(gone), key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns if c not in key])
 
 
 def tidy(run):

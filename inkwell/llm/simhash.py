@@ -312,9 +312,11 @@ def _crowd(t: pa.Table) -> pa.Table:
 
 def _told(nodes: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, hs): the shingle sets of the nodes wanted, from their documents' texts again."""
-    ends = nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id"))
-    told = texts.join(ends.select("doc_id").distinct(), "doc_id").select("doc_id", "t").mapInArrow(tidy(_sets), "node long, hs array<long>")
-    return materialize(told.join(ends.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")))
+    ends = materialize(nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id")))  # of a size that the planner knows
+    told = texts.join(ends.select("doc_id"), "doc_id").select("doc_id", "t").mapInArrow(tidy(_sets), "node long, hs array<long>")
+    told = materialize(told.join(ends.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")))
+    discard(ends)
+    return told
 
 
 def _tops(edges: DataFrame) -> DataFrame:
