@@ -74,10 +74,10 @@ def sentence_groups(df: DataFrame, n: int, text_col: str = "text", keep=("doc_id
     Sentences of a group are joined by '. ' with white space squeezed; empty groups go but keep their number.
     """
     split = df.select(*keep, section_sentences(F.col(text_col)).alias("__s"))
-    rows = split.select(*keep, F.posexplode(T.group_of(F.col("__s"), n)).alias("sent_id", "g")).withColumn("content", T.squeeze(F.array_join("g", ". ")))
-    rows = rows.where("content <> ''")
+    texts = F.transform(T.group_of(F.col("__s"), n), lambda g: T.squeeze(F.array_join(g, ". ")))
     if final_period:
-        rows = rows.withColumn("content", F.when(F.endswith("content", F.lit(".")), F.col("content")).otherwise(F.concat("content", F.lit("."))))
+        texts = F.transform(texts, lambda c: F.when((c == "") | F.endswith(c, F.lit(".")), c).otherwise(F.concat(c, F.lit("."))))
+    rows = split.select(*keep, F.posexplode(texts).alias("sent_id", "content")).where("content <> ''")  # made once, before any condition on it
     return rows.select(*keep, "sent_id", "content", T.count_squeezed(F.col("content")).alias("number_of_words"), F.lit(n).alias("num_group"))
 
 

@@ -27,9 +27,10 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """v by its length; a zero vector stays."""
-    size = norm(v)
-    return F.when(size == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / size))
+    """v by its length, which is reckoned once; a zero vector stays."""
+    sized = F.transform(F.array(v), lambda u: F.struct(u.alias("v"), norm(u).alias("n")))
+    scaled = lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x.cast("double")).otherwise(x.cast("double") / s["n"]))
+    return F.transform(sized, scaled)[0]
 
 
 def cosine(u: Column, v: Column) -> Column:
