@@ -112,7 +112,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, row
     """(t, y): at most ``rows`` labels with the smallest hash of doc_id, and the texts of those that ``docs`` has.
 
     A cut through the hashes leaves few more than ``rows`` labels, so that what is sorted, collected or broadcast
-    doesn't grow with the labels.
+    doesn't grow with the labels. Of rows that share an id one counts, that with the smallest hash of its text.
     """
     known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("double").alias("y"))
     known = known.where("id is not null").withColumn("h", F.xxhash64("id"))
@@ -121,7 +121,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, row
         known = known.where(F.col("h") <= int(-(1 << 63) + min(1.0, 1.05 * rows / n + 100 / n) * ((1 << 64) - 1)))
     chosen = known.orderBy("h", "id").limit(rows).select("id", "y")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("t"))
-    return materialize(src.join(F.broadcast(chosen), "id").select("t", "y"))
+    first = F.struct(F.xxhash64("t").alias("h"), F.col("t").alias("k"))
+    one = src.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by(F.struct("t", "y"), first).alias("r"))
+    return materialize(one.select("r.t", "r.y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:

@@ -113,6 +113,8 @@ def test_labels_are_cut_by_hash(spark):
     one = sorted(r.t for r in quality.labelled(docs, labels, "doc_id", "text", 500).collect())
     two = sorted(r.t for r in quality.labelled(docs, labels.orderBy("quality").repartition(7), "doc_id", "text", 500).collect())
     assert len(one) == 500 and one == two
+    many = docs.where("doc_id < 2").selectExpr("doc_id % 1 AS doc_id", "text").union(docs)  # repeated ids count once
+    assert quality.labelled(many.union(many), labels, "doc_id", "text", 5000).count() == 3000
 
 
 def test_quality_of_odd_rows(spark, odd, none):
