@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.common import table
-from . import decontam, html, langid, langmodel, media, mixing, quality, secrets, sharding, simhash
+from . import bpe, decontam, html, langid, langmodel, media, mixing, periodic, quality, secrets, sharding, simhash, whitening
 
 #: Production parameters.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -53,6 +54,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where a long can't hold it; ``deviation_exact`` always has it."""
+    out = whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import run
 
@@ -61,7 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_language_model": op3_language_model, "op4_media": op4_media, "op5_mixing": op5_mixing, "op6_decontamination": op6_decontamination,
-            "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_html": op9_html, "op10_quality": op10_quality, "pipeline": pipeline}
+            "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_html": op9_html, "op10_quality": op10_quality,
+            "op11_whitening": op11_whitening, "op12_periodic_runs": op12_periodic_runs, "op13_bpe": op13_bpe, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
