@@ -189,9 +189,9 @@ for _name, _order in (("unigram_topk", 1), ("bigram_topk", 2), ("trigram_topk",
 
 @register(QUERIES, f"WITH {C.gram_counts((1, 2))} SELECT n, gram, cnt FROM counts")
 def gram_merge_partials(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of English and of other documents, merged."""
+    """Counts of English and of all other documents, those without a language too, merged."""
     docs = table(spark, d, "documents")
-    return grams.merge_counts(grams.count_grams(docs.where("lang = 'en'"), orders=(1, 2)), grams.count_grams(docs.where("lang <> 'en'"), orders=(1, 2)))
+    return grams.merge_counts(grams.count_grams(docs.where("lang = 'en'"), orders=(1, 2)), grams.count_grams(docs.where("NOT (lang <=> 'en')"), orders=(1, 2)))
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
