@@ -10,9 +10,10 @@ from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from .vectors import dot, normalized, squared_l2
 
 #: Rows that one agglomerative run or one node of a division may hold.
@@ -93,11 +94,12 @@ def nearest_to_mean(df: DataFrame, cluster: str = "label", id_col: str = "vec_id
 
 
 def agglomerative(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding", linkage: str = "average", group: str | None = None) -> DataFrame:
-    """(group, id, cluster): merges the two nearest clusters until k are left, in groups of at most MAX_GROUP rows."""
+    """(group, id, cluster): merges the two nearest clusters until k are left, in groups of at most MAX_GROUP rows; larger
+    groups go by ``single_linkage``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_GROUP:
-            raise ValueError(f"a group has more than {MAX_GROUP} rows")
+            raise ValueError(f"a group has more than {MAX_GROUP} rows: single_linkage takes any number")
         pdf = pdf.sort_values("id")
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
@@ -118,6 +120,24 @@ def agglomerative(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "emb
     return src.groupBy("grp").applyInPandas(run, "grp long, id long, cluster int")
 
 
+def single_linkage(df: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding", group: str = "label", rounds: int = 60) -> DataFrame:
+    """(group, id, cluster): clusters of each group, of any size, by single linkage and cosine distance.
+
+    The k - 1 longest edges of the group's minimum spanning tree are cut (ties: those with larger ids); clusters are
+    numbered by their smallest id. Equal vectors are together; zero vectors have no direction and get no cluster.
+    """
+    found, tree = similar.spanning_edges(df, group, id_col, col, rounds)
+    longest = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("d"), F.desc("i"), F.desc("j")))
+    cut = tree.withColumn("r", longest).where(F.col("r") < max(1, k)).select("grp", "i", "j", F.lit(True).alias("gone"))
+    kept = similar.matched(tree, cut, {"grp": "grp", "i": "i", "j": "j"}, "left").where("gone IS NULL").drop("gone")
+    nodes = found.where(F.exists("v", lambda x: x != 0)).select("grp", F.col("rep").alias("id"))
+    own = similar.components(nodes, kept)
+    first = own.groupBy("grp", "c").agg(F.min("id").alias("least"))
+    number = first.select("grp", "c", (F.row_number().over(Window.partitionBy("grp").orderBy("least")) - 1).alias("cluster"))  # k rows a group
+    placed = similar.matched(own, number, {"grp": "grp", "c": "c"}).select("grp", F.col("id").alias("node"), "cluster")
+    return similar.matched(similar.membership(df, found, group, id_col, col), placed, {"grp": "grp", "rep": "node"}).select("grp", "id", "cluster")
+
+
 def layerwise_division(df: DataFrame, layers: int, k: int, id_col: str = "vec_id", col: str = "embedding", seed: int = 0) -> DataFrame:
     """(path, layer, id, center): rows divided k ways in each layer, every node with its member nearest to the mean.
 

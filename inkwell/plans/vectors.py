@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cluster, smallworld, stats, vectors
+from ..operators import cells, cluster, similar, smallworld, stats, vectors
+from ..session import scratch
 from . import common as C
 from .common import register, table
 
@@ -35,31 +36,32 @@ def knn_batch_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 _UNIT = f"unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt({_DOT.format('embedding', 'embedding')})) AS u FROM embeddings)"
-#: Rows of one similarity matrix: a label's vectors are cut into blocks by id, so that rows grow with the table only.
-BLOCK = 500
-_BLOCK = f"{{0}}.label || '-' || ({{0}}.vec_id // {BLOCK})"
-_PAIRS = f"pairs AS (SELECT {_BLOCK.format('a')} AS block, a.vec_id AS i, b.vec_id AS j, {_DOT.format('a.u', 'b.u')} AS sim FROM unit a JOIN unit b ON {_BLOCK.format('a')} = {_BLOCK.format('b')} AND a.vec_id <= b.vec_id)"
+#: Cosine from which two vectors of a label are linked.
+LEAST = 0.3
+_LINKS = f"""classes AS (SELECT label AS block, u, embedding, min(vec_id) AS rep, count(*) AS size FROM unit JOIN embeddings USING (vec_id, label) GROUP BY 1, 2, 3),
+    links AS (SELECT a.block, a.rep AS i, b.rep AS j, round({_DOT.format('a.u', 'b.u')}, 6) AS sim FROM classes a JOIN classes b ON a.block = b.block AND a.rep < b.rep WHERE round({_DOT.format('a.u', 'b.u')}, 6) >= {LEAST})"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    block = F.concat(F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / BLOCK).cast("string"))
-    return vectors.similarity_pairs(table(spark, d, "embeddings"), block)
-
-
-@register(QUERIES, f"WITH {_UNIT}, {_PAIRS} SELECT block, i, j, round(sim, 6) AS sim FROM pairs")
+@register(QUERIES, f"WITH {_UNIT}, {_LINKS} SELECT block, i, j, sim FROM links UNION ALL SELECT label, rep, vec_id, 1.0 FROM embeddings e JOIN classes c ON e.label = c.block AND e.embedding = c.embedding")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("block", "i", "j", F.round("sim", 6).alias("sim"))
+    """All pairs of a label from LEAST on between representatives of equal vectors, and each vector under its
+    representative with similarity one."""
+    rows = table(spark, d, "embeddings")
+    found, linked = similar.similarity_join(rows, LEAST)
+    members = similar.membership(rows, found).select("grp", F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("sim"))
+    return linked.unionByName(members).withColumnRenamed("grp", "block")
 
 
 _LADDER = "CASE WHEN s > 0.95 THEN s WHEN s > 0.6 THEN 0.95 WHEN s > 0.5 THEN 0.9 WHEN s > 0.4 THEN 0.8 WHEN s > 0.35 THEN 0.7 WHEN s > 0.3 THEN 0.6 WHEN s > 0.25 THEN 0.5 WHEN s > 0.2 THEN 0.4 WHEN s > 0.15 THEN 0.3 ELSE 0.2 END"
 
 
-@register(QUERIES, f"""WITH {_UNIT}, {_PAIRS}, m AS (SELECT block, i, j, sim FROM pairs UNION ALL SELECT block, j, i, sim FROM pairs WHERE i <> j),
-    r AS (SELECT block, i, list_reverse_sort(list(sim))[2] AS s FROM m GROUP BY 1, 2), t AS (SELECT block, i, j, least(1.0, sim * CASE WHEN s = 0 OR s IS NULL THEN 0 ELSE ({_LADDER}) / s END) AS sim FROM m JOIN r USING (block, i))
-    SELECT a.block, a.i, a.j, round((a.sim + b.sim) / 2, 6) AS sim FROM t a JOIN t b ON a.block = b.block AND a.i = b.j AND a.j = b.i""")
+@register(QUERIES, f"""WITH {_UNIT}, {_LINKS}, whole AS (SELECT a.label AS block, a.vec_id AS i, list_reverse_sort(list(round({_DOT.format('a.u', 'b.u')}, 6)))[2] AS s FROM unit a JOIN unit b ON a.label = b.label GROUP BY 1, 2),
+    f AS (SELECT block, i, ({_LADDER}) / s AS f FROM whole)
+    SELECT l.block, l.i, l.j, round((least(1.0, sim * a.f) + least(1.0, sim * b.f)) / 2, 6) AS sim FROM links l JOIN f a ON a.block = l.block AND a.i = l.i JOIN f b ON b.block = l.block AND b.i = l.j""")
 def similarity_adjust(spark: SparkSession, d: str) -> DataFrame:
-    matrix = vectors.mirrored(_pairs(spark, d))
-    return vectors.adjusted_similarity(matrix).select("block", "i", "j", F.round("sim", 6).alias("sim"))
+    """Links of a label from LEAST on, adjusted by the second-largest entries of both rows of the label's whole matrix."""
+    found, linked = similar.similarity_join(table(spark, d, "embeddings"), LEAST)
+    return similar.adjusted_links(found, linked).select(F.col("grp").alias("block"), "i", "j", F.round("sim", 6).alias("sim"))
 
 
 @register(QUERIES, f"""WITH {_UNIT}, s AS (SELECT a.label AS block, a.vec_id AS i, round(sum({_DOT.format('a.u', 'b.u')}), 6) AS s FROM unit a JOIN unit b ON a.label = b.label GROUP BY 1, 2)
@@ -131,9 +133,11 @@ def lsh_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ivf_knn(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    centers = [c.tolist() for c in cluster.fit_kmeans(rows, 16).clusterCenters()]
-    return vectors.cell_search(rows, centers, _vector(spark, d, 7), 20, probes=8)
+    """Ten near rows of every vector whose id is divisible by 100, from the 40 nearest of 64 stored cells."""
+    rows, path = table(spark, d, "embeddings"), scratch(spark, "cells")
+    cells.write_cells(rows, path, cells=64)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return cells.search_cells(spark, path, asked, 10, probes=40).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def svd_embed(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +155,8 @@ def random_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agglomerative_small(spark: SparkSession, d: str) -> DataFrame:
-    """Three clusters in each block of a label's vectors."""
-    rows = table(spark, d, "embeddings").withColumn("block", F.col("label").cast("long") * 1_000_000_000 + F.floor(F.col("vec_id") / BLOCK))
-    return cluster.agglomerative(rows, 3, group="block")
+    """Three clusters of each label's vectors, by single linkage."""
+    return cluster.single_linkage(table(spark, d, "embeddings"), 3).select("grp", "id", "cluster")
 
 
 def graph_knn(spark: SparkSession, d: str) -> DataFrame:

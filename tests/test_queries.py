@@ -82,9 +82,3 @@ def test_coverage_takes_the_stated_queries(spark):
     items, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
     got = plans.queries()["query_coverage"](spark, SF).select("item_id", "doc_id").distinct().count()
     assert got == items.where("item_id % 100 = 0").count() * docs.count()
-
-
-def test_similarity_is_adjusted_in_every_block(spark):
-    rows = plans.queries()["similarity_adjust"](spark, SF).groupBy("block").count().collect()
-    sizes = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("concat(label, '-', floor(vec_id / 500)) AS block").groupBy("block").count().collect()
-    assert len(sizes) > 1 and {r[0]: r[1] for r in rows} == {r[0]: r[1] ** 2 for r in sizes}
