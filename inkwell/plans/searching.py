@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import search, sections
+from ..operators import blockindex, search, sections
+from ..session import scratch
 from .common import register, table
 from .texts import group_sql
 
@@ -131,5 +132,37 @@ def word_separation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", stem.separate(stem.word_costs(ranked), 20, F.col("text")).alias("text"))
 
 
+#: Folders of indexes by application and input, each written once for all queries on it.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = scratch(spark, "blocks")
+        blockindex.write_blocks(_groups(spark, d), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+@register(QUERIES, QUERIES["bm25_topk"][1])
+def bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    """``bm25_topk`` from the stored index by block maxima."""
+    return blockindex.search_blocks(spark, _index(spark, d), QUERY).select("id", F.round("score", 6).alias("score"))
+
+
+@register(QUERIES, QUERIES["filtered_search"][1])
+def filtered_index(spark: SparkSession, d: str) -> DataFrame:
+    found = blockindex.search_blocks(spark, _index(spark, d), QUERY, section="en", journal="src3", min_year=1995, min_cited=10, max_group=2)
+    return found.select("id", F.round("score", 6).alias("score"), "year", "cited_times")
+
+
+@register(QUERIES, f"""WITH {_GROUPS}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: w <> '') AS w FROM groups)
+    SELECT id, times FROM (SELECT id, len(list_filter(range(1, greatest(len(w), 1)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS times FROM w) WHERE times > 0""")
+def phrase_index(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence groups with a phrase, from the positions of the stored index."""
+    return blockindex.phrase_hits(spark, _index(spark, d), "of the")
+
+
 for _f in (highlighted, word_separation):
     QUERIES[_f.__name__] = (_f, None)
