@@ -48,7 +48,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     """(query_id, id, distance, rank): exact k nearest by squared L2 of each query row.
 
     The queries are a stated set, taken ``block`` at a time against all rows. Each task keeps k rows of a query before
-    anything moves: a partition's best are found first, then the best of those.
+    anything moves: Spark limits the groups of a rank both before and after the shuffle.
     """
     asked = [(r[0], [float(x) for x in r[1]]) for r in queries.select("query_id", "query_vec").collect()]
     out = None
@@ -57,10 +57,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         listed = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "query_vec")).alias("q")).withColumn("one", F.lit(1)))
         rows = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(1).alias("one")).join(listed, "one")
         rows = rows.select("id", "v", F.explode("q").alias("q")).select("q.query_id", "id", squared_l2(F.col("v"), F.col("q.query_vec")).alias("distance"))
-        near = Window.partitionBy("part", "query_id").orderBy("distance", "id")
-        local = rows.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-        best = local.select("query_id", "id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
+        best = rows.select("query_id", "id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     if out is None:
         return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
@@ -127,13 +125,13 @@ def spell_corrected(words: DataFrame, vocabulary: DataFrame, edits: int = 2) ->
     return w.join(best, "word", "left").select("word", F.coalesce("c", "word").alias("corrected"))
 
 
-def embed_texts(docs: DataFrame, lut: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: bool = True, unit: bool = True) -> DataFrame:
+def embed_texts(docs: DataFrame, lut: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: bool = True, unit: bool = True, size: int | None = None) -> DataFrame:
     """(id, vec): weighted sum of word vectors with repetition, of length one; zeros for a text without known words.
 
     Word counts are summed by (text, word), joined with vectors and weights, and whole vectors are summed by text in
     the tasks before and after the shuffle: rows don't grow with the dimension and no vector table is collected.
     """
-    size = lut.select(F.max(F.size("vec"))).first()[0] or 0
+    size = size if size is not None else lut.select(F.max(F.size("vec"))).first()[0] or 0
     tokens = docs.select(F.col(id_col).alias("id"), F.explode(T.words(F.lower(F.col(text_col)))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
     vec = normalized(F.col("vec")) if unit_words else F.col("vec")
     table = lut.join(weights, "word").where("weight <> 0").select("word", F.transform(vec, lambda x: x * F.col("weight")).alias("v"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster, graph
+from ..operators.similar import stored
 from ..session import scratch
 from ..streaming import incremental
 from . import common as C
@@ -35,12 +36,12 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @register(QUERIES, f"WITH {_EDGES}, a AS (SELECT DISTINCT dst AS id FROM links WHERE src = 'c1') SELECT DISTINCT dst AS id FROM links JOIN a ON src = id")
 def graph_expand_k(spark: SparkSession, d: str) -> DataFrame:
-    return graph.expand(_edges(spark, d), spark.createDataFrame([("c1",)], "id string"), 2)
+    return graph.expand(stored(_edges(spark, d), "edges"), spark.createDataFrame([("c1",)], "id string"), 2)
 
 
 @register(QUERIES, f"WITH RECURSIVE {_EDGES}, reach AS (SELECT 'c1' AS id UNION SELECT dst FROM reach JOIN links ON src = id) SELECT id FROM reach")
 def graph_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    return graph.expand_to(_edges(spark, d), spark.createDataFrame([("c1",)], "id string"))
+    return graph.expand_to(stored(_edges(spark, d), "edges"), spark.createDataFrame([("c1",)], "id string"))
 
 
 def layerwise_division(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grams, markov, relational, stats
+from ..operators import grams, markov, relational, sparse, stats, vectors
 from . import common as C
 from .common import register, table
 
@@ -184,6 +184,16 @@ def ppmi(spark: SparkSession, d: str) -> DataFrame:
     return stats.pmi(_co(spark, d), positive=True).select("i", "j", F.round("pmi", 6).alias("pmi"))
 
 
+def svd_ppmi(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen numbers for each term of the vocabulary: left singular vectors of its matrix of positive mutual information."""
+    half = stats.pmi(_co(spark, d), positive=True).select("i", "j", F.col("pmi").alias("x"))
+    found, values = sparse.randomized_svd(vectors.mirrored(half), 16)
+    return found.select(F.col("k").alias("term"), F.col("v").alias("vec"), F.lit(values[0] if values else None).cast("double").alias("largest"))
+
+
+QUERIES["svd_ppmi"] = (svd_ppmi, None)
+
+
 @register(QUERIES, f"WITH {C.gram_counts((2,))}, top AS (SELECT gram FROM counts ORDER BY cnt DESC, gram LIMIT 200), rows AS (SELECT doc_id AS id, unnest({C.grams('w', 2)}) AS gram FROM (SELECT doc_id, {C.words('lower(' + C.marks_to_spaces('''regexp_replace(text, '[0-9]+', '', 'g')''') + ')')} AS w FROM documents)) SELECT id, gram, round(log2(count(*) + 1), 6) AS weight FROM rows JOIN top USING (gram) GROUP BY 1, 2")
 def gram_features(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")

@@ -157,7 +157,7 @@ def filtered_index(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"), "year", "cited_times")
 
 
-@register(QUERIES, f"""WITH {_GROUPS}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: w <> '') AS w FROM groups)
+@register(QUERIES, f"""WITH {_GROUPS}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: w <> '') AS w FROM groups)
     SELECT id, times FROM (SELECT id, len(list_filter(range(1, greatest(len(w), 1)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS times FROM w) WHERE times > 0""")
 def phrase_index(spark: SparkSession, d: str) -> DataFrame:
     """Sentence groups with a phrase, from the positions of the stored index."""

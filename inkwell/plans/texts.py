@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import biblio, chunk, determiners, grams, records, search, sections
+from ..operators import biblio, chunk, completion, determiners, grams, records, search, sections
 from ..sources import writers
+from ..session import scratch
 from . import common as C
 from .common import register, table
 
@@ -224,6 +225,14 @@ def autocomplete_chain(spark: SparkSession, d: str) -> DataFrame:
     return grams.autocomplete_chain(kept, grams.autocomplete_rank(kept, "th", "of", "and of"))
 
 
+@register(QUERIES, f"{_RANK} SELECT gram, score FROM ranked ORDER BY score DESC, gram LIMIT 20")
+def autocomplete_trie(spark: SparkSession, d: str) -> DataFrame:
+    """The best twenty completions from the stored trie."""
+    path = scratch(spark, "trie")
+    completion.write_trie(_kept(spark, d), path)
+    return completion.complete(spark, path, "th", "of", "and of", 20)
+
+
 def vocabulary_document(spark: SparkSession, d: str) -> DataFrame:
     return grams.vocabulary(table(spark, d, "documents"), "all", top={1: 500, 2: 500, 3: 500})
 

@@ -110,9 +110,9 @@ _NUM = "(('0x' || substr(md5(word), {0}, 4))::INTEGER - 32767.5) / 32767.5"
     SELECT doc_id AS id, CAST(d - 1 AS INTEGER) AS d, round(CASE WHEN n.n IS NULL OR n.n = 0 THEN 0.0 ELSE x.x / n.n END, 5) AS x FROM documents CROSS JOIN (SELECT unnest(range(1, 9)) AS d) LEFT JOIN x ON x.id = doc_id AND x.d = d LEFT JOIN n ON n.id = doc_id""".replace("LEFT JOIN x ON x.id = doc_id AND x.d = d LEFT", "LEFT JOIN x ON x.id = doc_id AND x.d = g.d LEFT").replace("CROSS JOIN (SELECT unnest(range(1, 9)) AS d) LEFT", "CROSS JOIN (SELECT unnest(range(1, 9)) AS d) g LEFT").replace("CAST(d - 1", "CAST(g.d - 1"))
 def sentence_embed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    lut = _lut(spark, d)
+    lut = similar.stored(_lut(spark, d), "words")
     weights = vectors.word_weights(lut.select("word"), stats.idf(docs), ("a", "an", "the"), 0.0)
-    return vectors.embed_texts(docs, lut, weights).select("id", F.posexplode("vec").alias("d", "x")).select("id", "d", F.round("x", 5).alias("x"))
+    return vectors.embed_texts(docs, lut, weights, size=8).select("id", F.posexplode("vec").alias("d", "x")).select("id", "d", F.round("x", 5).alias("x"))
 
 
 # Rows only
