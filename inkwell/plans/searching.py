@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blockindex, search, sections
 from ..session import scratch
+from . import common as C
 from .common import register, table
 from .texts import group_sql
 
@@ -57,9 +58,11 @@ def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
     return search.expand_terms(asked, index)
 
 
-@register(QUERIES, "SELECT i AS words, [1, 1, 2, 2, 3, 3, 5][least(i, 7)] AS num_group FROM (SELECT unnest(range(1, 13))::BIGINT AS i)")
+@register(QUERIES, f"SELECT item_id, CAST(n AS INTEGER) AS words, [1, 1, 2, 2, 3, 3, 5][least(n, 7)] AS num_group FROM (SELECT item_id, len({C.words('text')}) AS n FROM benchmark)")
 def num_group_for_query(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 13).select(F.col("id").alias("words"), search.groups_for_query(F.col("id")).alias("num_group"))
+    """The largest sentence group for each benchmark item taken as a query."""
+    rows = table(spark, d, "benchmark").select("item_id", F.size(T.words(F.col("text"))).alias("words"))
+    return rows.select("item_id", "words", search.groups_for_query(F.col("words")).alias("num_group"))
 
 
 @register(QUERIES, f"""WITH {_GROUPS}, ones AS (SELECT id, doc_id, sent_id, content FROM groups WHERE num_group = 1)
@@ -117,6 +120,8 @@ def full_section(spark: SparkSession, d: str) -> DataFrame:
     return search.section_of(_groups(spark, d), ("doc_id",)).select("doc_id", "text")
 
 
+@register(QUERIES, f"""WITH {_GROUPS}, {_INDEX}, {_ASKED}, {_BM25}, top AS (SELECT id, content FROM groups JOIN score USING (id) WHERE number_of_words >= 5 ORDER BY score DESC, cited_times DESC, id LIMIT 120)
+    SELECT id, '... ' || regexp_replace(content, '(?i)\\b(eran|that|the|thing)\\b', '<em>\\1</em>', 'g') || ' ...' AS shown FROM top""")
 def highlighted(spark: SparkSession, d: str) -> DataFrame:
     return search.search(_groups(spark, d), QUERY).select("id", search.highlight(F.col("content"), QUERY.split()).alias("shown"))
 
@@ -164,5 +169,5 @@ def phrase_index(spark: SparkSession, d: str) -> DataFrame:
     return blockindex.phrase_hits(spark, _index(spark, d), "of the")
 
 
-for _f in (highlighted, word_separation):
+for _f in (word_separation,):
     QUERIES[_f.__name__] = (_f, None)

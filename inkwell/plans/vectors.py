@@ -42,7 +42,7 @@ _LINKS = f"""classes AS (SELECT label AS block, u, embedding, min(vec_id) AS rep
     links AS (SELECT a.block, a.rep AS i, b.rep AS j, round({_DOT.format('a.u', 'b.u')}, 6) AS sim FROM classes a JOIN classes b ON a.block = b.block AND a.rep < b.rep WHERE round({_DOT.format('a.u', 'b.u')}, 6) >= {LEAST})"""
 
 
-@register(QUERIES, f"WITH {_UNIT}, {_LINKS} SELECT block, i, j, sim FROM links UNION ALL SELECT label, rep, vec_id, 1.0 FROM embeddings e JOIN classes c ON e.label = c.block AND e.embedding = c.embedding")
+@register(QUERIES, f"WITH {_UNIT}, {_LINKS} SELECT block, i, j, sim FROM links UNION ALL SELECT label, rep, vec_id, 1.0::DOUBLE FROM embeddings e JOIN classes c ON e.label = c.block AND e.embedding = c.embedding")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of a label from LEAST on between representatives of equal vectors, and each vector under its
     representative with similarity one."""
@@ -91,6 +91,14 @@ def evidence_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
+@register(QUERIES, f"SELECT vec_id AS id, round({_L2.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) AS distance, doc_id FROM embeddings JOIN documents ON doc_id = vec_id ORDER BY {_L2.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 1 LIMIT 100")
+def evidence_by_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Segments in the order of their distance from a query vector."""
+    near = vectors.nearest_one(table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id"), _vector(spark, d, 7), 100)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("segment"))
+    return vectors.rerank(near.join(texts, "id"), "", by="distance").select("id", F.round("distance", 6).alias("distance"), F.col("id").alias("doc_id"))
+
+
 def _lut(spark: SparkSession, d: str) -> DataFrame:
     """A word table whose vectors follow from the words: eight numbers from their MD5."""
     words = stats.vocabulary_words(table(spark, d, "documents"))
