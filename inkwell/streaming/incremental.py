@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster, grams
 
+#: Folders of one level of running counts that become one of the next.
+MERGED = 8
+
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
     """New files of a folder as a stream, so many in each micro-batch."""
@@ -15,18 +18,61 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def stream_gram_counts(texts: DataFrame, out: str, checkpoint: str, text_col: str = "text", orders=(2,)):
-    """Running gram counts: each batch's partial counts are added to the state; finished when all files are read.
+def cover(batches: int, start: int = 0) -> list[tuple[int, int]]:
+    """(level, last batch) of the folders that hold so many batches from ``start`` on, each batch once."""
+    out = []
+    while start < batches:
+        level = 0
+        while start % MERGED ** (level + 1) == 0 and start + MERGED ** (level + 1) <= batches:
+            level += 1
+        out.append((level, start + MERGED ** level - 1))
+        start += MERGED ** level
+    return out
+
 
-    Every batch is written to its own folder ``batch=<id>``, overwritten if the batch runs again, so nothing counts twice.
+def add_counts(counts: DataFrame, number: int, out: str) -> None:
+    """Put a batch's counts (n, gram, cnt) into the levels under ``out``.
+
+    A batch is a folder of level 0; MERGED folders of a level become one of the next. So a batch's work is, on average,
+    its own counts once for each level, however many came before, and a reader sums a few folders of each level. What a
+    batch merged is deleted when the next one begins, since by then the batch is known to be done: one that runs again
+    finds all that it read, and writes the same folders over.
     """
+    spark = counts.sparkSession
+    folder = lambda level, last: f"{out}/level={level}/batch={last}"
+
+    def parts(last: int):
+        level = 1
+        while (last + 1) % MERGED ** level == 0 and last >= 0:
+            yield level, [folder(level - 1, last - i * MERGED ** (level - 1)) for i in range(MERGED)]
+            level += 1
+
+    for _, old in parts(number - 1):
+        for path in old:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    counts.write.mode("overwrite").parquet(folder(0, number))
+    for level, old in parts(number):
+        grams.merge_counts(spark.read.parquet(*old)).write.mode("overwrite").parquet(folder(level, number))
+
+
+def gram_totals(spark: SparkSession, out: str) -> DataFrame:
+    """(n, gram, cnt) of all batches under ``out``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/level=*/batch=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    batches = max((int(f.getPath().getName().removeprefix("batch=")) + 1 for f in found), default=0)
+    if not batches:
+        return spark.createDataFrame([], "n int, gram string, cnt long")
+    return grams.merge_counts(spark.read.parquet(*[f"{out}/level={level}/batch={last}" for level, last in cover(batches)]))
 
-    def write(batch: DataFrame, number: int) -> None:
-        grams.count_grams(batch, text_col, orders).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+def stream_gram_counts(texts: DataFrame, out: str, checkpoint: str, text_col: str = "text", orders=(2,)):
+    """Running gram counts: each batch's partial counts are added to the levels of ``add_counts``; finished when all files
+    are read. A later run with the same folders goes on with new files, and nothing counts twice."""
+    write = lambda batch, number: add_counts(grams.count_grams(batch, text_col, orders), number, out)
     q = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return grams.merge_counts(texts.sparkSession.read.parquet(out).select("n", "gram", "cnt"))
+    return gram_totals(texts.sparkSession, out)
 
 
 def resume(texts: DataFrame, process, out: str, checkpoint: str) -> None:
