@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cells, cluster, similar, smallworld, stats, vectors
+from ..operators import align, cells, cluster, similar, smallworld, stats, vectors
 from ..session import scratch
 from . import common as C
 from .common import register, table
@@ -99,9 +99,8 @@ def evidence_by_distance(spark: SparkSession, d: str) -> DataFrame:
     return vectors.rerank(near.join(texts, "id"), "", by="distance").select("id", F.round("distance", 6).alias("distance"), F.col("id").alias("doc_id"))
 
 
-def _lut(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(words: DataFrame) -> DataFrame:
     """A word table whose vectors follow from the words: eight numbers from their MD5."""
-    words = stats.vocabulary_words(table(spark, d, "documents"))
     part = lambda i: (F.conv(F.substring(F.md5("word"), 1 + 4 * i, 4), 16, 10).cast("double") - 32767.5) / 32767.5
     return words.select("word", F.array(*[part(i) for i in range(8)]).alias("vec"))
 
@@ -118,11 +117,35 @@ _NUM = "(('0x' || substr(md5(word), {0}, 4))::INTEGER - 32767.5) / 32767.5"
     SELECT doc_id AS id, CAST(d - 1 AS INTEGER) AS d, round(CASE WHEN n.n IS NULL OR n.n = 0 THEN 0.0 ELSE x.x / n.n END, 5) AS x FROM documents CROSS JOIN (SELECT unnest(range(1, 9)) AS d) LEFT JOIN x ON x.id = doc_id AND x.d = d LEFT JOIN n ON n.id = doc_id""".replace("LEFT JOIN x ON x.id = doc_id AND x.d = d LEFT", "LEFT JOIN x ON x.id = doc_id AND x.d = g.d LEFT").replace("CROSS JOIN (SELECT unnest(range(1, 9)) AS d) LEFT", "CROSS JOIN (SELECT unnest(range(1, 9)) AS d) g LEFT").replace("CAST(d - 1", "CAST(g.d - 1"))
 def sentence_embed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    lut = similar.stored(_lut(spark, d), "words")
+    lut = similar.stored(_vectors(stats.vocabulary_words(docs)), "words")
     weights = vectors.word_weights(lut.select("word"), stats.idf(docs), ("a", "an", "the"), 0.0)
     return vectors.embed_texts(docs, lut, weights, size=8).select("id", F.posexplode("vec").alias("d", "x")).select("id", "d", F.round("x", 5).alias("x"))
 
 
+_PIECES = "SELECT " + C.words("piece") + " AS tokens FROM (SELECT unnest(regexp_split_to_array(lower(text), '[.\\n]+')) AS piece FROM {0})"
+
+
+@register(QUERIES, f"""WITH base AS (SELECT array_to_string(tokens, ' ') AS sentence, tokens, count(*) AS copies FROM ({_PIECES.format('conversations')}) WHERE len(tokens) > 0 GROUP BY tokens),
+    asked AS (SELECT DISTINCT array_to_string(tokens, ' ') AS query, tokens FROM ({_PIECES.format('benchmark WHERE item_id % 100 = 0')}) WHERE len(tokens) > 0),
+    qw AS (SELECT query, w, count(*) AS c FROM (SELECT query, unnest(tokens) AS w FROM asked) GROUP BY 1, 2), sw AS (SELECT sentence, w, count(*) AS c FROM (SELECT sentence, unnest(tokens) AS w FROM base) GROUP BY 1, 2),
+    v AS (SELECT w, list_transform(v, lambda x: x / sqrt({_DOT.format('v', 'v')})) AS u FROM (SELECT w, [{", ".join(_NUM.format(1 + 4 * i).replace("word", "w") for i in range(8))}] AS v FROM (SELECT w FROM qw UNION SELECT w FROM sw))),
+    sims AS (SELECT a.w AS a, b.w AS b, {_DOT.format('a.u', 'b.u')} AS sim FROM v a, v b WHERE a.w IN (SELECT w FROM qw) AND b.w IN (SELECT w FROM sw)),
+    pairs AS (SELECT query, sentence, qw.w AS a, qw.c AS ac, sw.w AS b, sw.c AS bc, sim FROM qw, sw, sims WHERE sims.a = qw.w AND sims.b = sw.w),
+    front AS (SELECT query, sentence, sum(ac * best) AS s FROM (SELECT query, sentence, a, ac, max(sim) AS best FROM pairs GROUP BY ALL) GROUP BY ALL),
+    back AS (SELECT query, sentence, sum(bc * best) AS s FROM (SELECT query, sentence, b, bc, max(sim) AS best FROM pairs GROUP BY ALL) GROUP BY ALL),
+    common AS (SELECT query, sentence, sum(CASE WHEN a = b THEN least(ac, bc) ELSE 0 END) AS c FROM pairs GROUP BY ALL),
+    scored AS (SELECT query, sentence, copies, least(len(asked.tokens), len(base.tokens)) AS d, c, CASE WHEN len(asked.tokens) < len(base.tokens) THEN front.s ELSE back.s END AS s
+        FROM common JOIN front USING (query, sentence) JOIN back USING (query, sentence) JOIN asked USING (query) JOIN base USING (sentence)),
+    final AS (SELECT query, sentence, copies, round((s / d * (d - c) + c) / d, 6) AS sim FROM scored)
+    SELECT query, sentence, sim, copies, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, sentence) AS rank FROM final) WHERE rank <= 10""")
+def sentence_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Ten sentences of all conversations most like each sentence of the benchmark's items divisible by 100, by aligned words."""
+    pieces = lambda df: df.select(F.explode(F.split(F.lower("text"), "[.\\n]+")).alias("piece")).select(T.words(F.col("piece")).alias("tokens")).where(F.size("tokens") > 0)
+    asked, base = pieces(table(spark, d, "benchmark").where("item_id % 100 = 0")), pieces(table(spark, d, "conversations"))
+    words = asked.unionByName(base).select(F.explode("tokens").alias("word")).distinct()
+    return align.compare(base, asked, _vectors(words), 10)
+
+
 # Rows only
 
 
