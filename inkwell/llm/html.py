@@ -20,7 +20,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never part of an article. A form can be wrapped around a whole page, so it's judged by what it holds.
 DROPPED = frozenset(
-    "aside audio button canvas dialog footer head iframe label menu nav noscript object option script search select "
+    "aside audio button canvas dialog footer head iframe menu nav noscript object option script search select "
     "style svg template textarea title video".split())
 #: Elements that hold the main content where a page has them.
 HOLDERS = frozenset(("article", "main"))
@@ -38,6 +38,15 @@ PLAIN = frozenset(
     "area bar block bottom box byline card center column container content fixed form global group header inner item items left link "
     "links list main message modal outer page panel post posts primary region right row secondary section site sticky text top unit "
     "wrap wrapper".split())
+#: Words of prose. A name with one of them, as comments-on-policy, is made from a heading and says what a part is about.
+PROSE = frozenset("a about and by for from in is of on or s the to with".split())
+#: Elements in which a label is part of a sentence, and headings.
+SENTENCES = ("p", "li", "dd", "td", "blockquote", "figcaption")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose own text, outside any block within, is a box beside the paragraphs of a page that has paragraphs.
+BOXES = frozenset("#page body center div section".split())
+#: Elements that can be a menu.
+GROUPS = frozenset("div dl ol p section table ul".split())
 #: An open element on the left is closed by a start tag on the right.
 CLOSES = {
     "p": BLOCKS - {"caption", "optgroup", "option", "tbody", "tfoot", "thead", "tr"} | {"td", "th"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
@@ -60,7 +69,8 @@ def marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     """CONTENT, DOUBTFUL or OUT by an element's attributes.
 
     A name in a class, id or role marks an element if it begins with a word of MARKS, or has one of WEAK and else only
-    words of PLAIN. One of WEAK beside other words leaves doubt: what such an element holds decides. For a holder a
+    words of PLAIN. One of WEAK beside other words, or of MARKS in a name with words of PROSE, leaves doubt: what such an
+    element holds decides. For a holder a
     class must be one such word alone, or begin with comment, so that its other properties don't count against it.
     """
     said = CONTENT
@@ -73,9 +83,9 @@ def marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
                 if tag in HOLDERS:
                     if len(words) == 1 and words[0] in MARKS | WEAK or words[0] == "comment":
                         return OUT
-                elif words[0] in MARKS or not WEAK.isdisjoint(words) and WEAK.union(MARKS, PLAIN).issuperset(words):
+                elif words[0] in MARKS and PROSE.isdisjoint(words[1:]) or not WEAK.isdisjoint(words) and WEAK.union(MARKS, PLAIN).issuperset(words):
                     return OUT
-                elif not WEAK.isdisjoint(words):
+                elif words[0] in MARKS or not WEAK.isdisjoint(words):
                     said = DOUBTFUL
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return OUT
@@ -98,15 +108,15 @@ class Lines(HTMLParser):
         self.held = Counter()  # open elements of each tag
         self.silent = 0
         self.parent, self.kind, self.said = [-1], ["#page"], [CONTENT]
-        self.lines: list[tuple[str, int, int]] = []  # (text, tags, element)
+        self.lines: list[tuple[str, int, int, int]] = []  # (text, tags, element, characters in links)
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0, self.linked))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def _leave(self, depth: int):
         if any(block for _, _, block, _ in self.open[depth:]):
@@ -135,7 +145,8 @@ class Lines(HTMLParser):
         if tag == "br" or cell:
             self.handle_data(" ")
         inside = self.held["article"] + self.held["main"] > 0
-        said = OUT if tag in DROPPED or tag == "header" and not inside or tag == "form" and inside else FORM if tag == "form" else CONTENT
+        labels = tag == "label" and (self.held["form"] or not any(self.held[t] for t in SENTENCES))
+        said = OUT if tag in DROPPED or labels or tag == "header" and not inside or tag == "form" and inside else FORM if tag == "form" else CONTENT
         if attrs and said < OUT and tag not in ("html", "body"):
             said = max(said, marked(tag, attrs))
         block = tag in BLOCKS
@@ -178,6 +189,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.text.append(data)
+            if self.held["a"]:
+                self.linked += len(data.strip())
 
     def parse_marked_section(self, i, report=1):
         """A section in <![ ... > is a comment, as browsers take it; one without an end is the rest of the page."""
@@ -223,18 +236,34 @@ def _subtrees(own: list[int], parent: list[int]) -> list[int]:
     return total
 
 
-def _region(p: Lines, weight: list[int]) -> int:
+def _region(p: Lines, weight: list[int], paragraphs: list[int]) -> int:
     """The element that holds the content lines, by their length in each subtree.
 
     An article or main element with a quarter of it or more, the one with most; else the innermost element that holds
-    85 % of it.
+    85 % of the content in ``paragraphs``, where content lines that are a box's own text don't vote.
     """
     holders = [e for e, kind in enumerate(p.kind) if kind in HOLDERS and 4 * weight[e] >= weight[0] > 0]
     if holders:
         best = max(holders, key=lambda e: (weight[e], p.kind[e] == "article", -e))
         inner = [e for e in holders if p.kind[e] == "article" and 2 * weight[e] > weight[best]]
         return max(inner, key=lambda e: weight[e]) if inner and p.kind[best] == "main" else best
-    return max((e for e in range(len(p.kind)) if weight[e] >= 0.85 * weight[0] > 0 and p.kind[e] in REGIONS), default=0)
+    return max((e for e in range(len(p.kind)) if paragraphs[e] >= 0.85 * paragraphs[0] > 0 and p.kind[e] in REGIONS), default=0)
+
+
+def _menus(p: Lines, weight: list[int]) -> list[bool]:
+    """Elements without content lines whose text is in links, in two or more: menus, where nothing else tells.
+
+    A heading among them is a reason to stay.
+    """
+    n = len(p.kind)
+    said, linked, links, kept = ([0] * n for _ in range(4))
+    for text, _, e, chars in p.lines:
+        said[e] += len(text.replace(" ", ""))
+        linked[e] += chars
+        links[e] += chars > 0
+        kept[e] += p.kind[e] in HEADINGS
+    said, linked, links, kept = (_subtrees(x, p.parent) for x in (said, linked, links, kept))
+    return [p.kind[e] in GROUPS and not weight[e] and not kept[e] and links[e] > 1 and 2 * linked[e] > said[e] for e in range(n)]
 
 
 def extract(html: str | None) -> str:
@@ -246,13 +275,13 @@ def extract(html: str | None) -> str:
     p.close()
     p.flush()
     lines, n = p.lines, len(p.kind)
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
+    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines])
     dense = content_lines(ratio)
     alone = dense & (ratio >= ratio[dense].mean() / 4) if dense.any() else dense  # not by its neighbours only
 
     def weigh(lit, gone):
         own = [0] * n
-        for (text, _, e), up in zip(lines, lit.tolist()):
+        for (text, _, e, _), up in zip(lines, lit.tolist()):
             if up and not gone[e]:
                 own[e] += len(text)
         return _subtrees(own, p.parent)
@@ -262,11 +291,14 @@ def extract(html: str | None) -> str:
     for e in range(1, n):
         empty = p.said[e] == DOUBTFUL and not proven[e] or p.said[e] == FORM and 2 * weight[e] <= weight[0]
         gone[e] = gone[p.parent[e]] or empty
-    best, under = _region(p, weigh(dense, gone)), [False] * n
+    weight = weigh(dense, gone)
+    paragraphs = weigh(dense, [g or kind in BOXES for g, kind in zip(gone, p.kind)])
+    best, under = _region(p, weight, paragraphs if 2 * paragraphs[0] >= weight[0] else weight), [False] * n
     under[best] = True
+    menu = _menus(p, weight) if p.kind[best] not in HOLDERS and weight[0] else gone
     for e in range(best + 1, n):
-        under[e] = under[p.parent[e]]
-    return "\n\n".join(t for t, _, e in lines if t and under[e] and not gone[e])
+        under[e] = under[p.parent[e]] and not menu[e]
+    return "\n\n".join(t for t, _, e, _ in lines if t and under[e] and not gone[e])
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -275,8 +307,9 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element,
     role, class or id, are left out first. Every other block is a line with a text-to-tag ratio. Ratios are smoothed
     and split into two clusters; the lines of the upper one are content. They decide which element is the article, of
-    which all blocks are kept; whether a block with a doubtful name is content; and whether a form is a wrapper of the
-    page (it holds more than half of the content). Null or empty html gives ''; a very long or deeply nested page takes
+    which all blocks are kept, but for groups of links without content lines where no article or main element is given;
+    whether a block with a doubtful name is content; and whether a form is a wrapper of the page (it holds more than half
+    of the content). Null or empty html gives ''; a very long or deeply nested page takes
     time in proportion to its length. Repeated rows give equal results, an empty table an empty one; other columns are
     ignored. No shuffle.
     """
