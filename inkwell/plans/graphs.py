@@ -51,12 +51,17 @@ def layerwise_division(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["layerwise_division"] = (layerwise_division, None)
 
 
+def _arriving(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a stream of files: those of the table's folder, or the one file that the table is, which only a
+    pattern may name."""
+    return incremental.file_stream(spark, f"{d}/documents.parque[t]", table(spark, d, "documents").schema)
+
+
 @register(QUERIES, f"WITH {C.gram_counts((2,))} SELECT n, gram, cnt FROM counts")
 def stream_gram_counts(spark: SparkSession, d: str) -> DataFrame:
     """Bigram counts of the documents read as a stream of files."""
     at = scratch(spark, "streams")
-    docs = table(spark, d, "documents")
-    texts = incremental.file_stream(spark, d, docs.schema, glob="documents.parquet")
+    texts = _arriving(spark, d)
     return incremental.stream_gram_counts(texts, f"{at}/out", f"{at}/state")
 
 
@@ -64,7 +69,7 @@ def stream_gram_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     """Documents processed once although the job runs twice."""
     at = scratch(spark, "streams")
-    texts = incremental.file_stream(spark, d, table(spark, d, "documents").schema, glob="documents.parquet")
+    texts = _arriving(spark, d)
     for _ in range(2):
         incremental.resume(texts, lambda t: t.select("doc_id", F.length("text").alias("size")), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out")

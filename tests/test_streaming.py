@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from inkwell.operators import grams
 from inkwell.streaming import incremental
 
 
@@ -40,3 +41,19 @@ def test_a_stream_goes_on_with_new_files(spark, tmp_path, monkeypatch):
         got = {r.gram: r.cnt for r in incremental.stream_gram_counts(texts, f"{tmp_path}/out", f"{tmp_path}/state").collect()}
         assert got["alpha beta"] == 4 * (run + 1)
     assert incremental.gram_totals(spark, f"{tmp_path}/nothing").count() == 0
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_the_stream_queries_read_a_table_that_is_a_folder_of_files(spark, tmp_path, folder):
+    from inkwell.plans import graphs
+
+    source = "/root/testdata/sf0.001/documents.parquet"
+    if folder:
+        spark.read.parquet(source).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        os.symlink(source, f"{tmp_path}/documents.parquet")
+    got = {name: graphs.QUERIES[name][0](spark, str(tmp_path)) for name in ("stream_resume", "stream_gram_counts")}
+    rows = spark.read.parquet(source)
+    assert sorted(map(tuple, got["stream_resume"].collect())) == sorted((r.doc_id, len(r.text)) for r in rows.collect())
+    want = grams.count_grams(rows, orders=(2,))
+    assert not want.count() == 0 and got["stream_gram_counts"].exceptAll(want).isEmpty() and want.exceptAll(got["stream_gram_counts"]).isEmpty()
