@@ -81,6 +81,15 @@ def sentence_groups(df: DataFrame, n: int, text_col: str = "text", keep=("doc_id
     return rows.select(*keep, "sent_id", "content", T.count_squeezed(F.col("content")).alias("number_of_words"), F.lit(n).alias("num_group"))
 
 
+def groups_of_sizes(df: DataFrame, sizes, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
+    """``sentence_groups`` of several sizes in one pass: a text is split once, and its groups stay side by side."""
+    split = df.select(*keep, section_sentences(F.col(text_col)).alias("__s"))
+    told = lambda c: F.when((c == "") | F.endswith(c, F.lit(".")), c).otherwise(F.concat(c, F.lit(".")))
+    some = lambda n: F.transform(F.transform(T.group_of(F.col("__s"), n), lambda g: told(T.squeeze(F.array_join(g, ". ")))), lambda c, i: F.struct(i.alias("sent_id"), c.alias("content"), F.lit(n).alias("num_group")))
+    rows = split.select(*keep, F.explode(F.concat(*map(some, sizes))).alias("__g")).select(*keep, "__g.*").where("content <> ''")
+    return rows.select(*keep, "sent_id", "content", T.count_squeezed(F.col("content")).alias("number_of_words"), "num_group")
+
+
 def article_groups(articles: DataFrame, n: int, xml_col: str = "nxml", keep=("doc_id",), sections=tuple(K.SECTION_TITLES)) -> DataFrame:
     """Sentence groups of every section of every article. A missing article has none."""
     one = articles.select(*keep, F.explode(F.array(*[F.struct(F.lit(s).alias("section"), T.clean_lightly(extract_section(F.col(xml_col), s), False).alias("__text")) for s in sections])).alias("x"))

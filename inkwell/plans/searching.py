@@ -29,7 +29,7 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         "doc_id", "text", F.col("lang").alias("section"), F.col("source").alias("journal"), (1990 + F.col("doc_id") % 30).cast("string").alias("year"), (F.col("n_chars") % 50).cast("int").alias("cited_times"))
     keep = ("doc_id", "section", "journal", "year", "cited_times")
-    rows = sections.sentence_groups(docs, 1, keep=keep).unionByName(sections.sentence_groups(docs, 2, keep=keep))
+    rows = sections.groups_of_sizes(docs, (1, 2), keep=keep)
     return rows.withColumn("id", F.col("doc_id") * 1000000 + F.col("sent_id") * 10 + F.col("num_group"))
 
 
