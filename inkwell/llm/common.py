@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 #: Word separators: space and the ASCII control white space.
 SPACE = r"\x20\x09-\x0D"
 #: Distinct edges at most whose components are found in one task.
@@ -34,12 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, in columnar form, so a lost executor only re-reads a file.
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends; the shuffle files of the job go when it ends.
     """
     spark = df.sparkSession
     name = uuid.uuid4().hex
     path = f"{scratch_root(spark)}/inkwell/{name}"
-    df.write.parquet(path)
+    write_table(df, path)
     _MADE.add(name)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
