@@ -1,11 +1,13 @@
 """Decomposition of sparse matrices and the completion trie against plain versions."""
 
+import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 
-from inkwell.operators import completion, grams, sparse, vectors
+from inkwell.operators import completion, grams, sparse, stats, vectors
 from inkwell.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +82,29 @@ def test_a_prefix_is_read_by_its_range(spark, counts, tmp_path):
     completion.write_trie(counts, str(tmp_path))
     plan = completion.node_of(spark, str(tmp_path), "ab")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,ab)" in plan
+
+
+def test_products_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    for name, value in {"ENTRIES": 500, "PAIRS": 50, "CHUNK": 7, "BATCH": 40}.items():
+        monkeypatch.setattr(stats, name, value)
+    rng = random.Random(5)
+    kept = {(d, f"t{t}"): rng.randint(1, 5) for d in range(200) for t in rng.sample(range(60), rng.randint(1, 40))}
+    tf = spark.createDataFrame([(d, t, n) for (d, t), n in kept.items()], "id long, term string, tf long").repartition(5)
+    want, texts = {}, {}
+    for (d, t), n in kept.items():
+        texts.setdefault(d, []).append((t, n))
+    for own in texts.values():
+        for (a, m), (b, n) in itertools.product(own, own):
+            if a <= b:
+                want[a, b] = want.get((a, b), 0) + m * n
+    rows = stats.cooccurrence(tf).collect()
+    assert len(rows) == len(want) and {(r.i, r.j): r.c for r in rows} == want
+    rows = stats.pmi_of_counts(tf, 200).collect()
+    log = lambda a, b: math.log2(want[a, b] / 200)
+    assert {(r.i, r.j): round(r.pmi, 6) for r in rows} == {(a, b): round(log(a, b) - log(a, a) - log(b, b), 6) for a, b in want}
+    assert stats.cooccurrence(tf.limit(0)).count() == 0
+
+
+def test_pairs_are_neither_joined_nor_shuffled(spark):
+    plan = queries()["ppmi"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Repartition") and "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]
