@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 
+#: Entries beyond this could overflow when squared; rows of a table compared at a time.
+LARGEST, ROWS = 1e100, 2_000
+
 
 def dot(u: Column, v: Column) -> Column:
     return F.reduce(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -47,22 +51,67 @@ def parse_lut(lines: DataFrame, col: str = "value") -> DataFrame:
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 256) -> DataFrame:
     """(query_id, id, distance, rank): exact k nearest by squared L2 of each query row.
 
-    The queries are a stated set, taken ``block`` at a time against all rows. Each task keeps k rows of a query before
-    anything moves: Spark limits the groups of a rank both before and after the shuffle.
+    The queries are a stated set, which every task holds with its k best rows of each, so the table isn't read for each block of them. Matrix
+    products of ``block`` queries rule out rows that can't be among them; the others' distances are summed in order.
+    Rows and queries that are no finite vectors of one length go by the expression itself.
     """
-    asked = [(r[0], [float(x) for x in r[1]]) for r in queries.select("query_id", "query_vec").collect()]
-    out = None
-    for i in range(0, len(asked), block):
-        part = queries.sparkSession.createDataFrame(asked[i:i + block], "query_id long, query_vec array<double>")
-        listed = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "query_vec")).alias("q")).withColumn("one", F.lit(1)))
-        rows = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(1).alias("one")).join(listed, "one")
-        rows = rows.select("id", "v", F.explode("q").alias("q")).select("q.query_id", "id", squared_l2(F.col("v"), F.col("q.query_vec")).alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-        best = rows.select("query_id", "id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-    return out
+    spark = corpus.sparkSession
+    asked = [(r[0], None if r[1] is None else [None if x is None else float(x) for x in r[1]]) for r in queries.select("query_id", "query_vec").collect()]
+    size = next((len(v) for _, v in asked if v), 0)
+    plain = [v is not None and len(v) == size and all(x is not None and abs(x) < LARGEST for x in v) for _, v in asked]
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    fits = F.col("id").isNotNull() & (F.size("v") == size) & F.forall("v", lambda x: F.abs(x) < LARGEST)
+    fits = F.coalesce(fits, F.lit(False))
+    whole, odd = [q for q, fit in zip(asked, plain) if fit], [q for q, fit in zip(asked, plain) if not fit]
+    schema = "query_id long, query_vec array<double>"
+    by_row = lambda some, part: some.join(F.broadcast(spark.createDataFrame(part, schema))).select("query_id", "id", squared_l2(F.col("v"), F.col("query_vec")).alias("distance"))
+    if not asked:
+        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+    best = rows.where(fits).mapInArrow(_nearest(spark.sparkContext.broadcast(whole), k, block), "query_id long, id long, distance double")
+    best = best.unionByName(by_row(rows.where(~fits), whole)) if whole else best
+    best = best.unionByName(by_row(rows, odd)) if odd else best
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return best.select("query_id", "id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
+
+
+def _nearest(asked, k: int, block: int):
+    """The k nearest rows of a task for each query (query_id, vector) of a broadcast list, as (query_id, id, distance)."""
+
+    def run(batches):
+        if not asked.value:
+            return
+        names, q = np.array([n for n, _ in asked.value], np.int64), np.array([v for _, v in asked.value], float)
+        q2 = (q * q).sum(1)
+        near, ids = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                x, own = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), part.column(0).to_numpy()
+                x2 = (x * x).sum(1)
+                for s in range(0, len(q), block):
+                    y = q[s:s + block]
+                    d = q2[s:s + block, None] + x2 - 2 * (y @ x.T)
+                    slack = 1e-9 * (q2[s:s + block] + x2.max())  # far above what rounding takes
+                    most = near[s:s + block, -1]
+                    if len(x) > k and np.isinf(most).any():
+                        most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+                    i, j = np.nonzero(d <= (most + slack)[:, None])
+                    if not len(i):
+                        continue
+                    exact = np.zeros(len(i))
+                    for c in range(x.shape[1]):
+                        exact += (x[j, c] - y[i, c]) ** 2
+                    hit = np.unique(i)
+                    who = np.concatenate([i, np.repeat(hit, k)])
+                    far, of = np.concatenate([exact, near[s + hit].ravel()]), np.concatenate([own[j], ids[s + hit].ravel()])
+                    order = np.lexsort((of, far, who))
+                    first = np.searchsorted(who[order], hit)
+                    kept = order[first[:, None] + np.arange(k)]
+                    near[s + hit], ids[s + hit] = far[kept], of[kept]
+        i, j = np.nonzero(np.isfinite(near))
+        yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids[i, j]), pa.array(near[i, j])], ["query_id", "id", "distance"])
+
+    return run
 
 
 def nearest_one(corpus: DataFrame, vector: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
