@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,6 +17,8 @@ from .vectors import ladder
 
 #: Vectors of a block, about; two blocks are compared in one task.
 BLOCK = 1_000
+#: Blocks of a tile, about; those of two tiles are in a task's memory.
+TILE = 16
 #: Vectors at most that pivots are chosen from, those with the smallest hash of the id. Pivots decide what is near in a
 #: block and so how many pairs of blocks are passed over, never a result.
 SAMPLE = 20_000
@@ -107,11 +110,30 @@ def block_pairs(packed: DataFrame, least: float = -1.0) -> DataFrame:
 
 
 def compared(packed: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over pairs of blocks as (grp, a, b, ids_a, v_a, ids_b, v_b). Pairs are dealt out, so a group's pairs are
-    many tasks."""
-    side = lambda s: packed.select("grp", "block", F.col("ids").alias(f"ids_{s}"), F.col("v").alias(f"v_{s}"))
-    both = matched(matched(pairs, side("a"), {"grp": "grp", "a": "block"}), side("b"), {"grp": "grp", "b": "block"})
-    return both.select("grp", "a", "b", "ids_a", "v_a", "ids_b", "v_b").mapInArrow(run, schema)
+    """``run`` over pairs of blocks as (grp, a, b, ids_a, v_a, ids_b, v_b). A group's blocks are dealt into tiles of about
+    TILE; two tiles meet in a task, so a block is sent once for each tile that it is paired with, not for each block."""
+    many = packed.groupBy("grp").agg(F.ceil(F.count("*") / TILE).alias("many"))
+    tile = matched(packed.select("grp", "block"), many, {"grp": "grp"}).select("grp", "block", F.pmod(F.xxhash64("block"), "many").alias("tile"))
+    side = lambda s: tile.select("grp", F.col("block").alias("n"), F.col("tile").alias(f"t{s}"))
+    both = matched(matched(pairs, side("a"), {"grp": "grp", "a": "n"}), side("b"), {"grp": "grp", "b": "n"})
+    both = both.select("grp", F.least("ta", "tb").alias("p"), F.greatest("ta", "tb").alias("q"), "a", "b")
+    ends = both.select("grp", "p", "q").distinct().withColumn("t", F.explode(F.array_distinct(F.array("p", "q"))))
+    held = matched(packed.select("grp", "block", "ids", "v"), tile, {"grp": "grp", "block": "block"})
+    rows = matched(ends, held, {"grp": "grp", "t": "tile"}).select("grp", "p", "q", "block", "ids", "v").unionByName(both, allowMissingColumns=True)
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, wanted = {}, []
+        for batch in batches:
+            grp, block, ids, v, a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("grp", "block", "ids", "v", "a", "b"))
+            for k, name in enumerate(block.to_pylist()):
+                if name is None:
+                    wanted.append([x.slice(k, 1) for x in (grp, a, b)])
+                else:
+                    blocks[name] = ids.slice(k, 1), v.slice(k, 1)
+        for grp, a, b in wanted:
+            yield from run(iter([pa.RecordBatch.from_arrays([grp, a, b, *blocks[a[0].as_py()], *blocks[b[0].as_py()]], ["grp", "a", "b", "ids_a", "v_a", "ids_b", "v_b"])]))
+
+    return rows.groupBy("grp", "p", "q").applyInArrow(meet, schema)
 
 
 def links(packed: DataFrame, least: float) -> DataFrame:

@@ -129,3 +129,17 @@ def test_all_cells_give_the_exact_answer(spark, tmp_path):
     d = cells.squared(x.astype(np.float32).astype(float)[:], x)
     assert [(r.query_id, r.id) for r in got] == [(q, int(i)) for q in (7, 8) for i in np.argsort(d[:, q], kind="stable")[:5]]
     assert cells.search_cells(spark, str(tmp_path), asked.limit(0), 5).count() == 0
+
+
+def test_blocks_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    monkeypatch.setattr(similar, "TILE", 3)
+    x = np.random.default_rng(3).normal(size=(120, 4))
+    df = spark.createDataFrame([(n, None if n % 2 else 1, v.tolist()) for n, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    linked = similar.similarity_join(df, 0.5)[1]
+    assert "FlatMapGroupsInArrow" in linked._jdf.queryExecution().optimizedPlan().toString()  # not one row for each pair of blocks
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = np.round(u @ u.T, 6)
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 and sim[i, j] >= 0.5}
+    rows = linked.collect()
+    assert len(rows) == len(want) and {(r.i, r.j) for r in rows} == want
