@@ -158,17 +158,17 @@ def starts_digit(s: Column) -> Column:
 
 def digit_share(s: Column) -> Column:
     """Digits among characters other than white space; 1 for a blank text."""
-    return _share(s, "[^0-9]")
+    return _share(s, F.length(F.regexp_replace(s, "[^0-9]+", "")))
 
 
 def mark_share(s: Column) -> Column:
     """ASCII marks among characters other than white space; 1 for a blank text."""
-    return _share(s, r"[^!-/:-@\[-`{-~]")
+    return _share(s, F.length(s) - F.length(F.regexp_replace(s, r"[!-/:-@\[-`{-~]+", "")))
 
 
-def _share(s: Column, other: str) -> Column:
+def _share(s: Column, n: Column) -> Column:
     size = F.length(F.regexp_replace(s, r"(?U)\s", ""))
-    return F.when(size == 0, F.lit(1.0)).otherwise(F.length(F.regexp_replace(s, other, "")) / size)
+    return F.when(size == 0, F.lit(1.0)).otherwise(n / size)
 
 
 def ends_et_al(s: Column) -> Column:
@@ -176,9 +176,15 @@ def ends_et_al(s: Column) -> Column:
 
 
 def most_repeats(tokens: Column) -> Column:
-    """How often the most frequent token occurs; 0 for none."""
-    times = F.transform(F.array_distinct(tokens), lambda w: F.size(F.filter(tokens, lambda x: x == w)))
-    return F.coalesce(F.array_max(times), F.lit(0))
+    """How often the most frequent token occurs; 0 for none. The longest run of the sorted tokens, so the work is not
+    the square of a long sentence."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a, w):
+        run = F.when(w == a["word"], a["run"] + 1).otherwise(1)
+        return F.when(w.isNull(), a).otherwise(F.struct(w.alias("word"), run.alias("run"), F.greatest(a["most"], run).alias("most")))
+
+    return F.coalesce(F.reduce(F.sort_array(tokens), start, step, lambda a: a["most"]), F.lit(0))
 
 
 def is_section_title(line: Column, following: Column, cut: int = 7) -> Column:
@@ -394,7 +400,7 @@ def plain_tokens(s: Column) -> Column:
 
 def passes_corpus_cuts(s: Column) -> Column:
     """Few digits and marks, long enough, no citation tail, no word too often."""
-    return (digit_share(s) < K.DIGIT_CUT) & (mark_share(s) < K.MARK_CUT) & (F.length(s) > K.LENGTH_CUT) & ~ends_et_al(s) & (most_repeats(words(s)) <= K.REPEAT_CUT)
+    return (F.length(s) > K.LENGTH_CUT) & ~ends_et_al(s) & (digit_share(s) < K.DIGIT_CUT) & (mark_share(s) < K.MARK_CUT) & (most_repeats(words(s)) <= K.REPEAT_CUT)
 
 
 def noun_heavy(tags: Column, cut: int = K.NOUN_CUT) -> Column:
