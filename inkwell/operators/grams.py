@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..session import stored
+
+#: Characters of the texts whose grams are counted together in a task: its memory, whatever it reads.
+CHARS = 1 << 25
 
 
 def clean_for_grams(s: Column) -> Column:
@@ -32,9 +41,60 @@ def gram_stream(df: DataFrame, text_col: str = "text", orders=(1, 2, 3)) -> Data
     return bag.select(F.explode(F.concat(*parts)).alias("g")).select("g.n", "g.gram")
 
 
+def spread(words: pa.Array, size: np.ndarray, orders) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, start, key) for each order: where each gram of texts of so many ``words`` each begins, and a number that is the
+    same for equal grams only."""
+    coded = words.dictionary_encode()
+    code, many = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # words from here to the end of the text
+    key, most = code, many
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            if most * many >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1]
+                most = len(key)
+            key, most = key[:-1] * many + code[n - 1:], most * many
+        if n in orders:
+            start = np.flatnonzero(left[:len(key)] >= n)
+            yield n, start, key[start]
+
+
+def _counted(orders):
+    """Grams (n, gram, cnt) of a task's texts, words between single spaces, counted by CHARS characters at a time."""
+
+    def counts(held):
+        split = pc.split_pattern(pa.concat_arrays(held), " ")
+        words, size = split.flatten(), pc.list_value_length(split).to_numpy()
+        for n, start, key in spread(words, size, orders):
+            if n == 1:
+                start, key = (x[pc.greater_equal(pc.utf8_length(words), K.UNIGRAM_LENGTH).to_numpy(zero_copy_only=False)[start]] for x in (start, key))
+            _, first, cnt = np.unique(key, return_index=True, return_counts=True)
+            for s in range(0, len(first), 1 << 18):
+                at = start[first[s:s + (1 << 18)]]
+                gram = pc.binary_join_element_wise(*[words.take(pa.array(at + i)) for i in range(n)], " ")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), gram, pa.array(cnt[s:s + (1 << 18)].astype(np.int64))], ["n", "gram", "cnt"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b.column(0).filter(pc.fill_null(pc.not_equal(b.column(0), ""), False)))
+            size += pc.sum(pc.binary_length(held[-1])).as_py() or 0
+            if size >= CHARS:
+                yield from counts(held)
+                held, size = [], 0
+        if held:
+            yield from counts(held)
+
+    return run
+
+
 def count_grams(df: DataFrame, text_col: str = "text", orders=(1, 2, 3)) -> DataFrame:
-    """(n, gram, cnt), exact: counted in tasks, then one shuffle."""
-    return gram_stream(df, text_col, orders).groupBy("n", "gram").agg(F.count("*").alias("cnt"))
+    """(n, gram, cnt), exact: texts are tokenized once, grams are counted by number in tasks, and one shuffle adds up.
+
+    Grams are as in ``gram_stream``. What tasks counted moves before it is added up, so no task holds a table of its own.
+    """
+    bag = df.select(F.array_join(T.bag_of_words(clean_for_grams(F.col(text_col))), " ").alias("bag"))
+    return bag.mapInArrow(_counted(tuple(orders)), "n int, gram string, cnt long").repartition("n", "gram").groupBy("n", "gram").agg(F.sum("cnt").alias("cnt"))
 
 
 def merge_counts(*tables: DataFrame) -> DataFrame:
@@ -57,15 +117,34 @@ def keep_top(counts: DataFrame, top: dict[int, int] = K.GRAM_TOP) -> DataFrame:
     return out
 
 
+def _best(top: dict[int, int]):
+    """The most frequent grams (n, gram, cnt) of a task for each order, equals by gram."""
+    order = [("cnt", "descending"), ("gram", "ascending")]
+
+    def run(batches):
+        held = {n: pa.table({"gram": pa.array([], pa.string()), "cnt": pa.array([], pa.int64())}) for n in top}
+        for b in batches:
+            for n, k in top.items():
+                some = pa.Table.from_batches([b]).filter(pc.equal(b.column(0), n)).select(["gram", "cnt"])
+                if held[n].num_rows >= k:
+                    some = some.filter(pc.greater_equal(some["cnt"], pc.min(held[n]["cnt"])))
+                both = pa.concat_tables([held[n], some]).combine_chunks()
+                held[n] = both.take(pc.select_k_unstable(both, k, order)) if both.num_rows > k else both
+        for n, rows in held.items():
+            for b in rows.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, n, np.int32)), *b.columns], ["n", "gram", "cnt"])
+
+    return run
+
+
 def top_grams(df: DataFrame, text_col: str = "text", top: dict[int, int] = K.GRAM_TOP) -> DataFrame:
-    """The most frequent grams of a table of texts. Each order is counted by itself, and not at all where a later
-    condition on ``n`` leaves it out."""
-    out = None
-    for n, k in sorted(top.items()):
-        counts = gram_stream(df, text_col, (n,)).groupBy("gram").agg(F.count("*").alias("cnt"))
-        part = counts.orderBy(F.desc("cnt"), "gram").limit(k).select(F.lit(n).alias("n"), "gram", "cnt")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The most frequent grams of a table of texts, of all orders in one pass. Tasks pass on their best of each order."""
+    counts = count_grams(df, text_col, tuple(top))
+    if len(top) == 1:
+        return counts.orderBy(F.desc("cnt"), "gram").limit(*top.values())
+    best = counts.select("n", "gram", "cnt").mapInArrow(_best(top), "n int, gram string, cnt long")
+    most = F.create_map(*[F.lit(x) for pair in top.items() for x in pair])
+    return best.withColumn("__r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("cnt"), "gram"))).where(F.col("__r") <= most[F.col("n")]).drop("__r")
 
 
 def lead_entries(counts: DataFrame) -> DataFrame:
@@ -85,7 +164,7 @@ def lead_dictionary(counts: DataFrame) -> DataFrame:
 
 def vocabulary(df: DataFrame, subject: str, text_col: str = "text", top: dict[int, int] = K.GRAM_TOP) -> DataFrame:
     """One document: subject, three frequency maps, two lead dictionaries, interpolation weights. Bounded by ``top``."""
-    kept = top_grams(df, text_col, top)
+    kept = stored(top_grams(df, text_col, top), "grams")
     freq = lambda n: F.map_from_entries(F.collect_list(F.when(F.col("n") == n, F.struct("gram", "cnt"))))
     names = {1: "unigram", 2: "bigram", 3: "trigram"}
     counts = kept.agg(*[freq(n).alias(f"{names[n]}_freq") for n in (1, 2, 3)])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch, write_table
+from ..session import stored
 from .cells import lloyd, squared
 from .vectors import ladder
 
@@ -25,13 +25,6 @@ SAMPLE = 20_000
 PIVOTS = 256
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
-    write_table(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def matched(a: DataFrame, b: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
     """``a`` with the other columns of ``b`` where the named columns of both are equal; nulls are equal too."""
     key = {v: f"__{v}" for v in on.values()}
