@@ -39,7 +39,12 @@ LEXICON = {
     "WDT": "which", "WP": "who whom what", "WRB": "when where why how", "PDT": "all both half"}
 WORD_TAGS = {w: t for t, ws in LEXICON.items() for w in ws.split()}
 ENDINGS = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("ous", "JJ"), ("ive", "JJ"), ("able", "JJ"), ("ible", "JJ"), ("al", "JJ"), ("ic", "JJ"), ("ful", "JJ"), ("less", "JJ"), ("ies", "NNS"), ("s", "NNS"))
+#: Endings by their last letter, in order.
+ENDINGS_OF = {c: [x for x in ENDINGS if x[0][-1] == c] for c in {end[-1] for end, _ in ENDINGS}}
 TOKEN = re.compile(r"\w+(?:[-'.]\w+)*|[^\w\s]")
+NUMBER = re.compile(r"[\d.,%-]*\d[\d.,%-]*")
+#: What stands for a tag while a sentence's tags are matched as a text.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 Tagger = Callable[[list[str]], list[str]]
 
@@ -54,13 +59,16 @@ def _tag_of(word: str, first: bool) -> str:
     low = word.lower()
     if low in WORD_TAGS:
         return WORD_TAGS[low]
-    if re.fullmatch(r"[\d.,%-]*\d[\d.,%-]*", word):
-        return "CD"
-    if not re.search(r"\w", word):
-        return word if word in ".,:" else ":"
+    if not word.isalpha():
+        if NUMBER.fullmatch(word):
+            return "CD"
+        if not re.search(r"\w", word):
+            return word if word in ".,:" else ":"
     if word[0].isupper() and not first:
         return "NNP"
-    return next((t for end, t in ENDINGS if low.endswith(end) and len(low) > len(end) + 2 and not low.endswith("ss")), "NN")
+    if low.endswith("ss"):
+        return "NN"
+    return next((t for end, t in ENDINGS_OF.get(low[-1], ()) if low.endswith(end) and len(low) > len(end) + 2), "NN")
 
 
 def rule_tagger(words: list[str]) -> list[str]:
@@ -74,18 +82,24 @@ def _lists(sizes: list[int], values: pa.Array, null=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), values, mask=None if null is None or not len(sizes) else pa.array(null, pa.bool_()))
 
 
+def _tagged(rows: pa.Array, tagger: Tagger, tokenizer: Callable[[str], list[str]]) -> tuple[list[str], list[str], list[int], list[bool]]:
+    """Words and tags of a batch, sentence after sentence, how many each has, and which are null."""
+    words, tags, sizes, null = [], [], [], []
+    for text in rows.to_pylist():
+        own = tokenizer(text) if text is not None else []
+        words += own
+        tags += tagger(own)
+        sizes.append(len(own))
+        null.append(text is None)
+    return words, tags, sizes, null
+
+
 def tag(s: Column, tagger: Tagger = rule_tagger, tokenizer: Callable[[str], list[str]] = tokenize) -> Column:
     """Words of a sentence with their tags."""
 
     @F.arrow_udf(TAGGED)
     def run(rows: pa.Array) -> pa.Array:
-        words, tags, sizes, null = [], [], [], []
-        for text in rows.to_pylist():
-            own = tokenizer(text) if text is not None else []
-            words += own
-            tags += tagger(own)
-            sizes.append(len(own))
-            null.append(text is None)
+        words, tags, sizes, null = _tagged(rows, tagger, tokenizer)
         both = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(tags, pa.string())], ["word", "tag"])
         return _lists(sizes, both, null)
 
@@ -150,10 +164,39 @@ def _spans(tags: np.ndarray, names: list[str], sizes: np.ndarray, items) -> list
     return out
 
 
+def _pattern(names: list[str], items) -> str | None:
+    """The items as a pattern of LETTERS, one for each of ``names``; none if no tag meets an item that must be there."""
+    parts = []
+    for regex, least, many, greedy in items:
+        own = "".join(c for c, x in zip(LETTERS, names) if regex.fullmatch(x))
+        if own:
+            parts.append(f"[{own}]" + ("+" if least and many else "*" if many else "" if least else "?") + ("" if greedy else "?"))
+        elif least:
+            return None
+    return "".join(parts)
+
+
+def _matches(tags: pa.Array, sizes, items) -> np.ndarray:
+    """Rows (begin, end) of ``_spans``, from one text for each sentence with a letter for each tag, by Arrow's matcher:
+    its preferences are those of a backtracking one, its time grows with the tags only."""
+    coded = tags.dictionary_encode()
+    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if len(names) > len(LETTERS) or not any(least for _, least, _, _ in items):  # one that may be empty is matched otherwise
+        return np.array(_spans(code.astype(np.int64), names, np.asarray(sizes, np.int64), items), np.int64).reshape(-1, 2)
+    pattern = _pattern(names, items)
+    if pattern is None:
+        return np.zeros((0, 2), np.int64)
+    letters, ends = np.frombuffer(LETTERS.encode(), np.uint8)[code], np.append(0, np.cumsum(sizes)).astype(np.int32)
+    marked = pc.replace_substring_regex(pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(letters)), pattern, r"<\0>")
+    flat = np.frombuffer("".join(marked.to_pylist()).encode(), np.uint8)
+    begin, end = flat == ord("<"), flat == ord(">")
+    upto = np.cumsum(~(begin | end))
+    return np.stack([upto[begin], upto[end]], 1)
+
+
 def chunk_spans(tags: list[str], items: list[tuple[re.Pattern, int, bool, bool]]) -> list[tuple[int, int]]:
     """Leftmost non-overlapping spans of one sentence in the order of preference of a backtracking matcher."""
-    names = sorted(set(tags))
-    return _spans(np.array([names.index(x) for x in tags], np.int64), names, np.array([len(tags)]), items)
+    return [tuple(x) for x in _matches(pa.array(tags, pa.string()), [len(tags)], items).tolist()]
 
 
 def _parts(rows: pa.Array):
@@ -172,10 +215,9 @@ def chunk(tagged: Column, label: str = "NP", grammar: str | None = None) -> Colu
     @F.arrow_udf(CHUNKS)
     def run(rows: pa.Array) -> pa.Array:
         sizes, words, null = _parts(rows)
-        coded = words.field("tag").dictionary_encode() if len(words) else None
         n, inside, first = len(words), np.zeros(len(words), bool), np.ones(len(words), bool)
         if n:
-            spans = np.array(_spans(coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), sizes, items), np.int64).reshape(-1, 2)
+            spans = _matches(words.field("tag"), sizes, items)
             depth = np.zeros(n + 1, np.int64)
             np.add.at(depth, spans[:, 0], 1)
             np.add.at(depth, spans[:, 1], -1)
@@ -226,6 +268,25 @@ def extract(chunks: Column, label: str, join_neighbours: bool = False) -> Column
     return run(chunks)
 
 
+def count_phrases(s: Column, labels=("NP", "VP"), tagger: Tagger = rule_tagger, tokenizer: Callable[[str], list[str]] = tokenize) -> Column:
+    """How many phrases of each label a sentence has, chunks next to each other as one: the sizes of ``extract`` with
+    ``join_neighbours``, without words and tags leaving the task's batch."""
+    grammars = [compile_grammar(GRAMMARS[x]) for x in labels]
+
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array) -> pa.Array:
+        _, tags, sizes, null = _tagged(rows, tagger, tokenizer)
+        tags, stop, counts = pa.array(tags, pa.string()), np.cumsum(sizes), []
+        for items in grammars:
+            spans = _matches(tags, sizes, items)
+            owner = np.searchsorted(stop, spans[:, 0], "right")
+            new = np.append(True, (spans[1:, 0] != spans[:-1, 1]) | (owner[1:] != owner[:-1]))[:len(spans)]
+            counts.append(np.bincount(owner[new], minlength=len(sizes)))
+        return _lists([len(labels)] * len(sizes), pa.array(np.stack(counts, 1).ravel().astype(np.int32)), null)
+
+    return run(s)
+
+
 def remove_subject(chunks: Column, placeholder: bool = True) -> Column:
     """Words of a sentence chunked by SV: within a chunk only verbs and modals stay, the first other word as a mark."""
 

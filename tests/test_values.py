@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -550,6 +551,32 @@ def test_section_titles_as_written():
     assert K.SECTION_TITLES["Abstract"] == (("Abstract", "Abstract:"), intro) and K.SECTION_TITLES["Introduction"][0] == intro
 
 
+def test_spans_as_texts_of_tags():
+    """Tags matched as texts give the spans of the item-by-item matcher, whatever the grammar and however many tags."""
+    rng = np.random.default_rng(5)
+    for names in (["DT", "JJ", "NN", "NNS", "IN", "CC", "VB", "VBD", "VBG", "RB", "MD", "TO", "PRP$", "CD", ".", "PDT"], [f"NN{i}" for i in range(40)] + [f"VB{i}" for i in range(40)], ["DT", "."]):
+        sizes = rng.integers(0, 30, 60)
+        tags = [names[i] for i in rng.integers(0, len(names), sizes.sum())]
+        for grammar in [*chunk.GRAMMARS.values(), *chunk.OLD_GRAMMARS.values(), "<DT>*<NN.*>*?", "<JJ>*?<NN.*>"]:
+            items, known = chunk.compile_grammar(grammar), sorted(set(tags))
+            want = chunk._spans(np.array([known.index(x) for x in tags]), known, sizes, items)
+            assert [tuple(x) for x in chunk._matches(pa.array(tags, pa.string()), sizes, items).tolist()] == want
+
+
+def test_phrases_counted_in_one_pass(spark):
+    """The counts are the sizes of the phrases taken out step by step, and words and tags don't leave Python for them."""
+    rng = np.random.default_rng(6)
+    some = ["the", "a", "cat", "cats", "quickly", "of", "and", "is", "running", "famous", "42", ",", "Rome", "its", "can", "both"]
+    rows = [(i, " ".join(some[j] for j in rng.integers(0, len(some), n))) for i, n in enumerate(rng.integers(0, 25, 200))] + [(200, None), (201, "")]
+    df = frame(spark, rows, "i int, s string")
+    steps = [F.size(chunk.extract(chunk.chunk(chunk.tag(F.col("s")), x), x, join_neighbours=True)) for x in chunk.GRAMMARS]
+    want = {r.i: r.n for r in df.where("s IS NOT NULL").select("i", F.array(*steps).alias("n")).collect()}
+    got = {r.i: r.n for r in df.select("i", chunk.count_phrases(F.col("s"), tuple(chunk.GRAMMARS)).alias("n")).collect()}
+    assert got.pop(200) is None and got == want
+    plan = queries()["chunk_np_vp"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "<word" not in plan and "word:string" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_noun_phrases_are_chains_that_are_divided(spark):
     said = ["the effect of the drug and the dose", "dose can go"]
     df = frame(spark, [(1, i, s) for i, s in enumerate(said)], "doc_id int, pos int, sentence string")
