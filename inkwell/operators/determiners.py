@@ -31,17 +31,12 @@ def suggest(sentences: DataFrame, doc: str = "doc_id", pos: str = "pos", text: s
     A part without determiner whose noun an earlier sentence of the document mentions gets this or these if the last
     sentence does, by number, else the. 'a' before a vowel sound becomes an, and the other way round.
     """
-    kept = sentences.select(doc, pos, C.chunk(C.tag(F.col(text), tagger), "NP").alias("c"))
-    phrases = F.transform(F.filter("c", lambda x: x["label"] == "NP"), lambda x: C.divide_noun_phrase(x["leaves"]))
-    parts = kept.select(doc, pos, F.flatten(phrases).alias("parts")).withColumn("nouns", F.transform("parts", C.noun_of))
-    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(pos)))
-    rows = parts.select(doc, pos, "rank", F.posexplode(F.arrays_zip("parts", "nouns")).alias("part", "x")).select(doc, pos, "rank", "part", F.col("x.parts").alias("p"), F.col("x.nouns").alias("noun"))
+    parts = sentences.select(doc, pos, C.noun_parts(F.col(text), tagger).alias("parts")).withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(pos)))
+    rows = parts.select(doc, pos, "rank", F.posexplode("parts").alias("part", "p")).select(doc, pos, "rank", "part", "p.*")
     earlier = Window.partitionBy(doc, "noun").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.max("rank").over(earlier))
-    at = F.array_position(F.transform("p", lambda t, i: t["tag"].isin("DT", "PRP$") & (i + 1 < F.size("p"))), F.lit(True)).cast("int")
-    det, following = F.try_element_at("p", F.nullif(at, F.lit(0)))["word"], F.try_element_at("p", at + 1)["word"]
     mention = F.when(F.col("before") == F.col("rank") - 1, F.when(is_singular(F.col("noun")), "this").otherwise("these")).otherwise("the")
-    told = (F.when((F.size("p") == 1) & (F.col("p")[0]["tag"] == "DT"), F.lit(None))
-            .when(at == 0, F.when(F.col("before").isNotNull(), mention))
-            .when((det == "a") & vowel_sound(following), "an").when((det == "an") & ~vowel_sound(following), "a"))
+    told = (F.when(F.col("alone"), F.lit(None))
+            .when(F.col("det").isNull(), F.when(F.col("before").isNotNull(), mention))
+            .when((F.col("det") == "a") & vowel_sound(F.col("following")), "an").when((F.col("det") == "an") & ~vowel_sound(F.col("following")), "a"))
     return rows.select(doc, pos, "part", "noun", told.alias("suggestion"))

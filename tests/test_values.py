@@ -577,6 +577,27 @@ def test_phrases_counted_in_one_pass(spark):
     assert "<word" not in plan and "word:string" not in plan and plan.count("ArrowEvalPython") == 1
 
 
+def test_noun_parts_in_one_pass(spark):
+    """Parts told in one pass are those divided step by step, and the query moves no words with tags."""
+    rng = np.random.default_rng(7)
+    some = ["the", "a", "an", "cat", "cats", "of", "and", "is", "famous", "hour", "its", "this", "by", "old", "both", "."]
+    rows = [(i, " ".join(some[j] for j in rng.integers(0, len(some), n))) for i, n in enumerate(rng.integers(0, 25, 300))] + [(300, None), (301, "")]
+    df = frame(spark, rows, "i int, s string")
+    phrases = F.transform(F.filter(chunk.chunk(chunk.tag(F.col("s")), "NP"), lambda x: x["label"] == "NP"), lambda x: chunk.divide_noun_phrase(x["leaves"]))
+    parts = df.select("i", F.flatten(phrases).alias("p")).select("i", "p", F.transform("p", chunk.noun_of).alias("nouns")).collect()
+    got = {r.i: r.p for r in df.select("i", chunk.noun_parts(F.col("s")).alias("p")).collect()}
+    for r in parts:
+        if r.p is None:
+            assert got[r.i] is None
+            continue
+        assert [x.noun for x in got[r.i]] == r.nouns
+        for x, p in zip(got[r.i], r.p):
+            at = [k for k, w in enumerate(p[:-1]) if w.tag in ("DT", "PRP$")]
+            assert x.alone == (len(p) == 1 and p[0].tag == "DT")
+            assert (x.det, x.following) == ((p[at[0]].word, p[at[0] + 1].word) if at else (None, None))
+    assert "word:string" not in queries()["determiner_suggest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_noun_phrases_are_chains_that_are_divided(spark):
     said = ["the effect of the drug and the dose", "dose can go"]
     df = frame(spark, [(1, i, s) for i, s in enumerate(said)], "doc_id int, pos int, sentence string")
