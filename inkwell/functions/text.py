@@ -235,7 +235,7 @@ def drop_single(tokens: Column) -> Column:
 
 
 def drop_blank(tokens: Column) -> Column:
-    return F.filter(tokens, lambda w: trim(w) != "")
+    return F.filter(tokens, lambda w: w.rlike(r"(?U)\S"))
 
 
 def drop_data(tokens: Column) -> Column:

@@ -68,6 +68,13 @@ def section_sentences(s: Column) -> Column:
     return T.sentences(T.join_et_al(joined))
 
 
+def squeezed_sentences(s: Column) -> Column:
+    """``section_sentences``, each squeezed: white space is squeezed in the whole text, line ends and blank lines first, since
+    et al. may go over one."""
+    joined = F.replace(F.regexp_replace(s, r"(?U)\n(?:[^\S\n]*\n)*", " "), F.lit("et al."), F.lit("et_al"))
+    return F.transform(F.split(F.regexp_replace(joined, r"(?U)\s+", " "), "[.]"), lambda x: F.trim(x))
+
+
 def sentence_groups(df: DataFrame, n: int, text_col: str = "text", keep=("doc_id",), final_period: bool = True) -> DataFrame:
     """One row for each group of n neighbouring sentences: kept columns, sent_id, content, number_of_words, num_group.
 
@@ -83,9 +90,10 @@ def sentence_groups(df: DataFrame, n: int, text_col: str = "text", keep=("doc_id
 
 def groups_of_sizes(df: DataFrame, sizes, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
     """``sentence_groups`` of several sizes in one pass: a text is split once, and its groups stay side by side."""
-    split = df.select(*keep, section_sentences(F.col(text_col)).alias("__s"))
+    split = df.select(*keep, squeezed_sentences(F.col(text_col)).alias("__s"))  # before they are joined: once, whatever the sizes
     told = lambda c: F.when((c == "") | F.endswith(c, F.lit(".")), c).otherwise(F.concat(c, F.lit(".")))
-    some = lambda n: F.transform(F.transform(T.group_of(F.col("__s"), n), lambda g: told(T.squeeze(F.array_join(g, ". ")))), lambda c, i: F.struct(i.alias("sent_id"), c.alias("content"), F.lit(n).alias("num_group")))
+    texts = lambda n: F.col("__s") if n == 1 else F.transform(T.group_of(F.col("__s"), n), lambda g: F.trim(F.array_join(g, ". ")))
+    some = lambda n: F.transform(texts(n), lambda c, i: F.struct(i.alias("sent_id"), told(c).alias("content"), F.lit(n).alias("num_group")))
     rows = split.select(*keep, F.explode(F.concat(*map(some, sizes))).alias("__g")).select(*keep, "__g.*").where("content <> ''")
     return rows.select(*keep, "sent_id", "content", T.count_squeezed(F.col("content")).alias("number_of_words"), "num_group")
 

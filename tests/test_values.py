@@ -598,6 +598,21 @@ def test_noun_parts_in_one_pass(spark):
     assert "word:string" not in queries()["determiner_suggest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sentence_groups_squeeze_once(spark):
+    """Sentences squeezed with the whole text are those squeezed one by one, whatever white space, blank lines and periods; and
+    a group's words are not squeezed again for each size."""
+    rng = random.Random(9)
+    some = ["a", "et", "al.", "et al.", "b.", ".", "..", " ", "  ", "\n", "\n\n", " \n \t\n", "\u00a0", "\u2003", "\u0085", "\u2028", "\r\n", "caf\u00e9", "\x0b"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 20))) for _ in range(400)] + ["", "\n", " . ", "et\nal.", "et\n\nal.", "et \nal.", None]
+    df = frame(spark, list(enumerate(texts)), "i int, text string")
+    both = df.select("i", F.transform(sections.section_sentences(F.col("text")), T.squeeze).alias("want"), sections.squeezed_sentences(F.col("text")).alias("got")).collect()
+    assert [(r.i, r.got) for r in both] == [(r.i, r.want) for r in both]
+    groups = sections.groups_of_sizes(df, (1, 2, 3), keep=("i",))
+    want = [sorted(map(tuple, sections.sentence_groups(df, n, keep=("i",)).collect())) for n in (1, 2, 3)]
+    assert [sorted(map(tuple, groups.where(f"num_group = {n}").collect())) for n in (1, 2, 3)] == want
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
+
+
 def test_noun_phrases_are_chains_that_are_divided(spark):
     said = ["the effect of the drug and the dose", "dose can go"]
     df = frame(spark, [(1, i, s) for i, s in enumerate(said)], "doc_id int, pos int, sentence string")
