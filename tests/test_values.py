@@ -613,6 +613,22 @@ def test_sentence_groups_squeeze_once(spark):
     assert groups._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
 
 
+def test_gram_features_in_place(spark):
+    """Only grams of the vocabulary move: counts are those of every gram made and looked up, also for repeated ids."""
+    rng = random.Random(11)
+    rows = [(i % 50 if i % 7 else None, " ".join(rng.choice(["a", "b", "cell", "The", "x1", "wall,"]) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(1, None), (2, "")]
+    vocab = [(1, "cell"), (1, "none"), (2, "a b"), (2, "cell cell"), (2, "wall the"), (2, "too many words"), (3, "a b cell"), (3, "a b a"), (3, "the x the")]
+    want = Counter()
+    for i, t in rows:
+        bag = re.sub(r"\W", " ", re.sub(r"\d", "", t or "")).lower().split()
+        want.update((i, n, " ".join(bag[k:k + n])) for n in (1, 2, 3) for k in range(len(bag) - n + 1) if (n, " ".join(bag[k:k + n])) in vocab)
+    found = stats.gram_features(frame(spark, rows, "doc_id int, text string"), frame(spark, vocab, "n int, gram string"))
+    got = {(r.id, r.n, r.gram): r.weight for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - np.log2(c + 1)) < 1e-9 for k, c in want.items())
+    assert stats.gram_features(frame(spark, rows, "doc_id int, text string"), frame(spark, [], "n int, gram string")).count() == 0
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_noun_phrases_are_chains_that_are_divided(spark):
     said = ["the effect of the drug and the dose", "dose can go"]
     df = frame(spark, [(1, i, s) for i, s in enumerate(said)], "doc_id int, pos int, sentence string")
