@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ from ..functions import text as T
 
 #: Entries beyond this could overflow when squared; rows of a table compared at a time.
 LARGEST, ROWS = 1e100, 2_000
+#: Numbers of a vector that are summed as columns; word counts of a batch.
+COLUMNS, COUNTS = 64, 1 << 17
 
 
 def dot(u: Column, v: Column) -> Column:
@@ -177,20 +180,37 @@ def spell_corrected(words: DataFrame, vocabulary: DataFrame, edits: int = 2) ->
 def embed_texts(docs: DataFrame, lut: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: bool = True, unit: bool = True, size: int | None = None) -> DataFrame:
     """(id, vec): weighted sum of word vectors with repetition, of length one; zeros for a text without known words.
 
-    Word counts are summed by (text, word), joined with vectors and weights, and whole vectors are summed by text in
-    the tasks before and after the shuffle: rows don't grow with the dimension and no vector table is collected.
+    Words are counted in the tasks that read the texts, joined with vectors and weights, and whole vectors are summed by
+    text in the tasks before and after the shuffle: rows don't grow with the dimension and no vector table is collected.
     """
     size = size if size is not None else lut.select(F.max(F.size("vec"))).first()[0] or 0
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(T.words(F.lower(F.col(text_col)))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    texts = docs.select(F.col(id_col).alias("id"), T.squeeze(F.lower(F.col(text_col))).alias("s")).where("s <> ''")
+    tokens = texts.mapInArrow(_word_counts, f"id {texts.schema['id'].dataType.simpleString()}, word string, tf long")
     vec = normalized(F.col("vec")) if unit_words else F.col("vec")
     table = lut.join(weights, "word").where("weight <> 0").select("word", F.transform(vec, lambda x: x * F.col("weight")).alias("v"))
-    summed = Summarizer.sum(array_to_vector("v"), F.col("tf").cast("double"))
-    rows = tokens.join(table, "word").groupBy("id").agg(vector_to_array(summed).alias("v"))
+    tf = F.col("tf").cast("double")
+    if 0 < size <= COLUMNS:
+        sums = tokens.join(table, "word").groupBy("id").agg(*[F.sum(tf * F.col("v")[i]).alias(f"v{i}") for i in range(size)])
+        rows = sums.select("id", F.array(*[f"v{i}" for i in range(size)]).alias("v"))
+    else:
+        rows = tokens.join(table, "word").groupBy("id").agg(vector_to_array(Summarizer.sum(array_to_vector("v"), tf)).alias("v"))
     zero = F.array_repeat(F.lit(0.0), size)
     out = docs.select(F.col(id_col).alias("id")).join(rows, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
     return out.select("id", (normalized(F.col("v")) if unit else F.col("v")).alias("vec"))
 
 
+def _word_counts(batches):
+    """(id, word, tf) of each text (id, words between single spaces)."""
+    for b in batches:
+        split = pc.split_pattern(b.column(1), " ")
+        size, coded = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
+        many = len(coded.dictionary)
+        both, tf = np.unique(np.repeat(np.arange(len(size)), size) * many + coded.indices.to_numpy(), return_counts=True)
+        for at in range(0, len(both), COUNTS):
+            of, word = np.divmod(both[at:at + COUNTS], max(1, many))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), coded.dictionary.take(pa.array(word)), pa.array(tf[at:at + COUNTS].astype(np.int64))], ["id", "word", "tf"])
+
+
 def segment_groups(rows: DataFrame, n: int, keys=("doc_id",), pos: str = "sent_id", text: str = "content") -> DataFrame:
     """(keys, member_ids, segment): n neighbouring segments with their places."""
     w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, n - 1)

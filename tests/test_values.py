@@ -629,6 +629,26 @@ def test_gram_features_in_place(spark):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_embedded_texts_count_words_in_place(spark):
+    """Sums of word vectors by brute force, of few and of many numbers, also for repeated ids; counts are not shuffled, and
+    short vectors are summed as columns."""
+    rng = random.Random(12)
+    rows = [(i % 30, " ".join(rng.choice(["a", "B", "b", "cell\u00a0c", "\n", "unknown", "\u00c9t\u00e9"]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(30, None), (31, " \n")]
+    for size in (3, 70):
+        vec = {w: [rng.uniform(-1, 1) for _ in range(size)] for w in ("a", "b", "c", "cell", "\u00e9t\u00e9")}
+        weight = {"a": 1.0, "b": 2.0, "c": 0.0, "cell": 0.5, "\u00e9t\u00e9": 3.0}
+        docs = frame(spark, rows, "doc_id long, text string")
+        found = vectors.embed_texts(docs, frame(spark, list(vec.items()), "word string, vec array<double>"), frame(spark, list(weight.items()), "word string, weight double"), unit_words=False, unit=False, size=size)
+        want = defaultdict(lambda: np.zeros(size))
+        for i, text in rows:
+            for w in (text or "").lower().split():
+                want[i] += weight.get(w, 0) * np.array(vec.get(w, np.zeros(size)))
+        got = found.collect()
+        assert len(got) == len(rows) and all(np.allclose(r.vec, want[r.id]) for r in got)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and plan.count("Aggregate [") == 1 and ("aggregate_metrics" not in plan.lower() and "summary" not in plan.lower() or size > 64)
+
+
 def test_noun_phrases_are_chains_that_are_divided(spark):
     said = ["the effect of the drug and the dose", "dose can go"]
     df = frame(spark, [(1, i, s) for i, s in enumerate(said)], "doc_id int, pos int, sentence string")
