@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import pathlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.operators import completion, grams, sparse, stats, vectors
 from inkwell.plans import queries
@@ -108,3 +110,32 @@ def test_products_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
 def test_pairs_are_neither_joined_nor_shuffled(spark):
     plan = queries()["ppmi"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Repartition") and "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_counts_of_blocks_are_not_shuffled(spark):
+    """Only numbers of pairs of blocks move once the texts are counted."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f: f.stat().st_size for d in manager.localDirsString() for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pairs = stats.cooccurrence(stats.counted(docs, min_df=5) if hasattr(stats, "counted") else stats.term_counts(docs, min_df=5))
+    before = held()
+    assert pairs.count() > 1000
+    assert sum(n for f, n in held().items() if f not in before) < 20_000
+
+
+def test_texts_without_an_id_and_with_one_twice(spark):
+    """As the SQL has it: rows of one id are one text, and one without an id meets nothing but counts as a text of a term."""
+    import duckdb
+
+    from inkwell.plans import relations
+
+    rng = random.Random(8)
+    for ids in ([*range(40)], [*range(40), None], [*range(40), 3, 3, 7, None, None]):
+        rows = [(n, " ".join(rng.choice(["ab", "cd", "\u00c9t", "x", "gh_1", "ij"]) + rng.choice([" ", ". "]) for _ in range(rng.randint(0, 9)))) for n in ids] + [(100, None), (101, "")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        want = con.execute(relations.QUERIES["cooccurrence"][1].replace(f">= {relations.MIN_DF}", ">= 15")).fetchall()
+        got = stats.cooccurrence(stats.counted(docs, min_df=15), docs.count()).select("i", "j", F.round("c", 6).alias("c")).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3
