@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -107,3 +109,66 @@ def randomized_svd(entries: DataFrame, k: int, extra: int = 16, power: int = 6,
     signs = left.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.max_by(F.signum("x"), F.abs("x")).alias("sign")).collect()  # k numbers
     turn = np.diag([next((row["sign"] for row in signs if row["d"] == d), 1.0) for d in range(k)])
     return times(left, turn), [float(x) for x in s[:k]] if signs else []
+
+
+def _tiled_product(tiles: DataFrame, edges: list[int], tall: np.ndarray) -> np.ndarray:
+    """A symmetric matrix, given as tiles (p, q, i, j, x) of its upper half, times a tall one. A task adds up its tiles'
+    rows by block, and tasks' sums meet by block."""
+    width = tall.shape[1]
+    known = tiles.sparkSession.sparkContext.broadcast(tall)
+
+    def run(batches):
+        t, sums = known.value, {}
+        for b in batches:
+            for p, q, i, j, x in zip(*(b.column(c).to_pylist() for c in ("p", "q", "i", "j", "x"))):
+                i, j, x = np.frombuffer(i, np.int32), np.frombuffer(j, np.int32), np.frombuffer(x)
+                rows, at = np.unique(i, return_inverse=True)
+                part = np.zeros((len(rows), edges[q + 1] - edges[q]))
+                part[at, j] = x
+                for of in (p, q):
+                    sums.setdefault(of, np.zeros((edges[of + 1] - edges[of], width)))
+                sums[p][rows] += part @ t[edges[q]:edges[q + 1]]
+                if p == q:
+                    part[np.arange(len(rows)), rows] = 0
+                sums[q] += part.T @ t[edges[p] + rows]
+        for of, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "v"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(v) for b in batches for v in b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "v"])
+
+    out = np.zeros((edges[-1], width))
+    for r in tiles.mapInArrow(run, "block int, v binary").groupBy("block").applyInArrow(add, "block int, v binary").toLocalIterator():
+        out[edges[r["block"]]:edges[r["block"] + 1]] = np.frombuffer(r["v"]).reshape(-1, width)
+    known.destroy()
+    return out
+
+
+def symmetric_svd(tiles: DataFrame, names: pa.Array, edges: list[int], k: int, extra: int = 16, power: int = 6, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(places of the names that have an entry, their first ``k`` singular vectors, singular values) of a symmetric matrix
+    in tiles, by the steps of ``randomized_svd`` from the same directions.
+
+    The matrix is read in place, neither joined nor shuffled. The tall matrices, k + extra numbers for each name, are
+    held on the driver.
+    """
+    spark, width = tiles.sparkSession, k + extra
+    square = lambda t: np.vstack([r := np.linalg.qr(t, mode="r"), np.zeros((width - len(r), width))])
+
+    def orthogonal_of(t):
+        for _ in range(2):
+            t = t @ np.linalg.pinv(square(t), rcond=1e-10)
+        return t
+
+    drawn = start(spark.createDataFrame(pa.table({"k": names})), width, seed).orderBy("k").toArrow()  # names are in order
+    basis = _tiled_product(tiles, edges, _rows(drawn["v"].combine_chunks(), width))
+    met = np.flatnonzero(_tiled_product(tiles, edges, np.ones((len(names), 1)))[:, 0] > 0)
+    if not len(met):
+        return met, np.zeros((0, k)), []
+    basis = orthogonal_of(basis)
+    for _ in range(2 * power):
+        basis = orthogonal_of(_tiled_product(tiles, edges, basis))
+    u, s, _ = np.linalg.svd(square(_tiled_product(tiles, edges, basis)).T)
+    left = (basis @ u[:, :k])[met]
+    sign = np.sign(left[np.abs(left).argmax(0), np.arange(k)])
+    return met, left * np.where(sign == 0, 1.0, sign), [float(x) for x in s[:k]]

@@ -139,3 +139,28 @@ def test_texts_without_an_id_and_with_one_twice(spark):
         want = con.execute(relations.QUERIES["cooccurrence"][1].replace(f">= {relations.MIN_DF}", ">= 15")).fetchall()
         got = stats.cooccurrence(stats.counted(docs, min_df=15), docs.count()).select("i", "j", F.round("c", 6).alias("c")).collect()
         assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3
+
+
+def test_vectors_of_a_matrix_in_tiles(spark, monkeypatch):
+    """Those of the same matrix in long form, read in place: no entry is joined or shuffled."""
+    for name, value in {"ENTRIES": 500, "PAIRS": 50, "BATCH": 40}.items():
+        monkeypatch.setattr(stats, name, value)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(d, " ".join(rng.sample([f"t{t}" for t in range(30 * (d % 2), 30 + 30 * (d % 2))], rng.randint(2, 20)))) for d in range(200)] + [(999, "alone")], "doc_id long, text string")
+    blocks = stats.counted(docs)
+    tiles = stats.positive_information(blocks, 201)
+    assert len(blocks.parts) > 1
+    half = stats.pmi_of_counts(stats.term_counts(docs), 201, positive=True).select("i", "j", F.col("pmi").alias("x")).where("x > 1e-12")
+    entries = vectors.mirrored(half)
+    want, values = sparse.randomized_svd(entries, 4)
+    met, got, same = sparse.symmetric_svd(tiles, blocks.terms, blocks.edges, 4)
+    want = {r.k: r.v for r in want.collect()}
+    assert same == pytest.approx(values, rel=1e-9) and [blocks.terms[int(i)].as_py() for i in met] == sorted(want)
+    assert np.abs(got - np.array([want[t] for t in sorted(want)])).max() < 1e-6
+    met, got, same = sparse.symmetric_svd(tiles.limit(0), blocks.terms, blocks.edges, 4)
+    assert len(met) == len(got) == 0 and same == []
+
+
+def test_svd_ppmi_has_no_joins(spark):
+    plan = queries()["svd_ppmi"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Scan parquet" not in plan and "Relation" not in plan.replace("LocalRelation", "")
