@@ -32,8 +32,9 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back.
+def materialize(df: DataFrame, *more: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared scratch folder and read it back; ``more`` are further rows of the same columns,
+    written one after the other, so that only one job's shuffle files are there at a time.
 
     Cuts the lineage like a reliable checkpoint, in columnar form, so a lost executor only re-reads a file.
     The files go when the driver's JVM ends; the shuffle files of the job go when it ends.
@@ -42,6 +43,8 @@ def materialize(df: DataFrame) -> DataFrame:
     name = uuid.uuid4().hex
     path = f"{scratch_root(spark)}/inkwell/{name}"
     write_table(df, path)
+    for part in more:
+        write_table(part, path, "append")
     _MADE.add(name)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -131,6 +131,8 @@ SAMPLE = 20_000
 FREQUENT = 1 << 16
 #: One key in so many is taken in the first round; what it joins isn't compared again in the second.
 FIRST = 8
+#: Jobs, one after the other, in which sets and their keys are shuffled, each some of them.
+TURNS = 6
 #: Members of a larger key, and shingles of them, in one of the pieces that are compared with each other.
 CROWD, CROWD_SHINGLES = 4096, 1 << 20
 
@@ -424,11 +426,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("doc_id"), F.encode(text_col, "UTF-8").alias("t"))
     known = docs.sparkSession.sparkContext.broadcast(_frequent(src))
     marked = materialize(src.mapInArrow(tidy(sketch), f"doc_id {kind}, node long, size int, fp array<long>, keys array<long>"))
-    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("size", "fp", "keys")]))
     known.destroy()
+    turn = lambda df, c: [df.where(F.pmod(c, F.lit(TURNS)) == k) for k in range(TURNS)]
+    nodes = materialize(*[df.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("size", "fp", "keys")]) for df in turn(marked, "node")])
+    marked, sketches = materialize(marked.select("doc_id", "node")), marked  # fingerprints and keys are with the nodes now
+    discard(sketches)
     groups = nodes.select("node", F.col("node").alias("root"))
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    met = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    met = materialize(*[df.join(df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key") for df in turn(keyed, "key")])
     few, first = met.where(F.col("n") <= PAIR_LIMIT), F.pmod("key", F.lit(FIRST)) == 0
     for some in (few.where(first), few.where(~first)):
         groups = _link(nodes, groups, _pairs(some.join(groups, "node"), nodes), src)

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -168,3 +169,27 @@ def test_ids_may_be_structs(spark):
     rows = spark.createDataFrame([((False, 5), "a b c d e f"), ((True, 0), "a b c d e f"), ((False, 2), "other words here")], "id struct<none:boolean,n:long>, text string")
     got = {tuple(r.doc_id): tuple(r.group_id) for r in simhash.near_copies(rows, "id").collect()}
     assert got == {(False, 5): (False, 5), (True, 0): (False, 5), (False, 2): (False, 2)}
+
+
+def test_sets_are_shuffled_in_turns_and_sketches_go(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts[:20]] + texts[20:30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = []
+
+    def spied(*parts):
+        made.append((len(parts), common.materialize(*parts)))
+        return made[-1][1]
+
+    monkeypatch.setattr(simhash, "materialize", spied)
+    found = {}
+    for turns in (1, 4):
+        monkeypatch.setattr(simhash, "TURNS", turns)
+        made.clear()
+        found[turns] = sorted(map(tuple, simhash.near_copies(docs).collect()))
+        assert sorted(n for n, _ in made)[-2:] == [turns, turns]
+        sketches = [t for _, t in made if {"doc_id", "fp", "keys"} <= set(t.columns)]
+        assert len(sketches) == 1 and not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in sketches[0].inputFiles())
+    assert found[1] == found[4] and len({g for _, g in found[1]}) == 60
