@@ -3,7 +3,9 @@
 import itertools
 import math
 import pathlib
+import pickle
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -164,3 +166,22 @@ def test_vectors_of_a_matrix_in_tiles(spark, monkeypatch):
 def test_svd_ppmi_has_no_joins(spark):
     plan = queries()["svd_ppmi"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Scan parquet" not in plan and "Relation" not in plan.replace("LocalRelation", "")
+
+
+def test_a_pair_of_blocks_holds_few_bytes_for_a_count(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+
+    def block(many=4_000, each=50, width=3_000):
+        place = np.sort(rng.integers(0, width, (many, each)), 1).ravel()
+        return pickle.dumps([(0, stats._told([np.arange(many), np.full(many, each), place, np.full(many * each, 2)]))])
+
+    one, other = (stats._side(SimpleNamespace(value=block())) for _ in range(2))
+    assert [x.dtype for x in one] == [np.int64, np.int32, np.int32, np.int32]
+    tracemalloc.start()
+    sums = sum(total.sum() for _, total in stats._products(one, other, 3_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums == 4 * 4_000 * 50 * 50
+    assert peak < 40 * 200_000 + 60 * stats.PAIRS  # beside the counts themselves
